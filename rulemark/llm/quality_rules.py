@@ -43,7 +43,7 @@ class LineRules:
     exclaim_percent: int = 30
     stutter_words: int = 10
     distinct_percent: int = 35
-    boilerplate_words: int = 30
+    boilerplate_words: int = 12
     min_kept_percent: int = 50
 
 
@@ -52,73 +52,88 @@ def _count(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]+", F.lit("")))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS), "")
 
 
 def line_passes(line: Column, words: Column, rules: LineRules) -> Column:
     """Whether a line with words is prose. ``words``: the line's words."""
-    n = F.size(words)
-    solid = F.length(F.array_join(words, ""))
-    bars, symbols, marks = _count(line, "|"), _count(line, r"#*$%&|<>{}~\^\\"), _count(line, "!")
-    ends = line.rlike(r"[.!?:;,\"'\)\]…。」！？»”’]" + r"[\x20\x09-\x0D]*\z")
-    navigation = (bars >= 2) & (bars * 100 >= n * rules.bar_percent)
-    noise = symbols * 100 > solid * rules.symbol_percent
-    shouting = (marks >= 3) & (marks * 100 >= n * rules.exclaim_percent)
+    n, size = F.size(words), F.length(line)
+    ends = F.right(line, F.lit(16)).rlike(r"[.!?:;,\"'\)\]…。」！？»”’]" + r"[\x20\x09-\x0D]*\z")
+
+    def by_symbols(found: Column) -> Column:
+        bars, marks = _count(found, "|"), _count(found, "!")
+        navigation = (bars >= 2) & (bars * 100 >= n * rules.bar_percent)
+        noise = (F.length(found) - marks) * 100 > size * rules.symbol_percent
+        shouting = (marks >= 3) & (marks * 100 >= n * rules.exclaim_percent)
+        return (found != "") & (navigation | noise | shouting)
+
+    odd = _let(F.regexp_replace(line, r"[^!#*$%&|<>{}~\^\\]+", F.lit("")), by_symbols)
     stutter = (n >= rules.stutter_words) & (F.size(F.array_distinct(words)) * 100 < n * rules.distinct_percent)
     furniture = (n <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return ends & ~(navigation | noise | shouting | stutter | furniture)
+    return ends & ~odd & ~furniture & ~stutter
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: Distinct repeated windows up to which they are looked up one by one.
+FEW = 32
+
+
+def repeat_words(words: Column, windows: Column, twins: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more.
+
+    ``windows``: the text's windows in order; ``twins``: the repeated ones. With
+    few of those the windows are looked up in them; else windows sorted with
+    their positions bring equal ones together, in n log n steps for any text.
+    """
+    spread = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+    looked_up = spread(F.filter(F.transform(windows, lambda x, i: F.when(F.array_contains(twins, x), i)), lambda i: i.isNotNull()))
+    n = F.greatest(F.size(words), F.lit(1))
+    placed = F.sort_array(F.arrays_zip(windows.alias("g"), F.sequence(F.lit(0), F.size(windows) - 1).alias("p")))
+    pair = lambda s: F.filter(F.arrays_zip(s.alias("a"), F.slice(s, 2, n).alias("b")), lambda z: z["a"]["g"] == z["b"]["g"])
+    sorted_out = _let(placed, lambda s: _let(pair(s), lambda z: spread(F.concat(F.transform(z, lambda x: x["a"]["p"]), F.transform(z, lambda x: x["b"]["p"])))))
+    return F.when(F.size(twins) == 0, 0).when(F.size(twins) <= FEW, looked_up).otherwise(sorted_out)
 
 
 def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules(), out: str = "quality") -> DataFrame:
     """docs with a struct column ``out``: counts, verdict and the cleaned text.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, kept (boolean), line_chars, kept_chars, n_lines_removed (long), clean_text.
+    line_chars, kept_chars, n_lines_removed (long), clean_text, base_failed, kept (boolean).
     ``out`` gets underscores in front if docs has that column.
     """
-    full, words, lines, marked, sorted3 = fresh(docs, "q_full", "q_words", "q_lines", "q_marked", "q_sorted")
+    full, words, solid, lines, windows, twins = fresh(docs, "q_full", "q_words", "q_solid", "q_lines", "q_windows", "q_twins")
     (out,) = fresh(docs, out)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     a = docs.withColumn(full, body).withColumns({words: words_of(F.col(full)), lines: F.split(F.col(full), "\n")})
-    # Each line once: its text, whether it has words, its solid characters and verdict.
-    a = a.withColumn(
-        marked,
-        F.transform(
-            lines,
-            lambda line: _let(
-                words_of(line),
-                lambda w: F.struct(
-                    line.alias("line"), (F.size(w) > 0).alias("full"), F.length(F.array_join(w, "")).alias("chars"), line_passes(line, w, rules).alias("good")
-                ),
-            ),
-        ),
+    # Each line once: its text, whether it has words, its length and verdict.
+    judged = lambda line: _let(
+        words_of(line), lambda w: F.struct(line.alias("line"), (F.size(w) > 0).alias("full"), F.length(line).alias("chars"), line_passes(line, w, rules).alias("good"))
     )
-    w, n = F.col(words), F.size(words)
-    triples = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("p")))
-    a = a.withColumn(sorted3, F.when(n >= 3, F.sort_array(triples)).otherwise(F.sort_array(F.slice(F.array(F.struct(F.lit("").alias("g"), F.lit(0).alias("p"))), 1, 0))))
-    s = F.col(sorted3)
-    twins = F.filter(F.arrays_zip(s.alias("a"), F.slice(s, 2, F.greatest(F.size(s), F.lit(1))).alias("b")), lambda z: z["a"]["g"] == z["b"]["g"])
-    covered = F.flatten(F.transform(twins, lambda z: F.array(*(z[x]["p"] + k for x in "ab" for k in range(3)))))
-    with_words = F.transform(F.filter(marked, lambda x: x["full"]), lambda x: x["line"])
-    total = lambda test: F.aggregate(marked, F.lit(0), lambda acc, x: acc + F.when(test(x), x["chars"]).otherwise(0))
+    a = a.withColumns({lines: F.transform(lines, judged), solid: F.array_join(words, " ")})
+    # A window begins at every word that two more follow: taken in order by one pattern.
+    a = a.withColumn(windows, F.regexp_extract_all(solid, F.lit("(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), 1))
+    a = a.withColumn(twins, F.sort_array(windows))
+    a = a.withColumn(twins, F.array_distinct(F.filter(twins, lambda x, i: x == F.get(F.col(twins), i + 1))))
+    n = F.size(words)
+    with_words = F.transform(F.filter(lines, lambda x: x["full"]), lambda x: x["line"])
+    total = lambda test: F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when(test(x), x["chars"]).otherwise(0))
     counts = {
         "n_words": n,
-        "word_chars": F.length(F.array_join(words, "")),
+        "word_chars": F.length(solid) - F.greatest(n - 1, F.lit(0)),
         "n_symbols": _count(F.col(full), BASE_SYMBOLS[1:-1]),
         "n_dup_lines": _let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": F.size(F.array_distinct(covered)),
-        "line_chars": total(lambda x: F.lit(True)),
-        "kept_chars": total(lambda x: x["good"]),
-        "n_lines_removed": F.size(F.filter(marked, lambda x: x["full"] & ~x["good"])),
+        "n_repeat_words": repeat_words(F.col(words), F.col(windows), F.col(twins)),
+        "line_chars": total(lambda x: x["full"]),
+        "kept_chars": total(lambda x: x["full"] & x["good"]),
+        "n_lines_removed": F.size(F.filter(lines, lambda x: x["full"] & ~x["good"])),
     }
-    clean = F.array_join(F.transform(F.filter(marked, lambda x: ~x["full"] | x["good"]), lambda x: x["line"]), "\n")
-    a = a.withColumn(out, F.struct(*(c.cast("long").alias(k) for k, c in counts.items()), clean.alias("clean_text"))).drop(full, words, lines, marked, sorted3)
+    clean = F.array_join(F.transform(F.filter(lines, lambda x: ~x["full"] | x["good"]), lambda x: x["line"]), "\n")
+    a = a.withColumn(out, F.struct(*(c.cast("long").alias(k) for k, c in counts.items()), clean.alias("clean_text"))).drop(full, words, solid, lines, windows, twins)
     q = F.col(out)
     failed = (q["n_words"] < rules.min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * rules.max_repeat_percent)
     kept = ~failed & (q["kept_chars"] * 100 >= q["line_chars"] * rules.min_kept_percent)

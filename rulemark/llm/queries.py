@@ -26,3 +26,6 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
 }
+
+#: DuckDB SQL over the same tables, for the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {}
