@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import quality_rules
+from rulemark.llm import piece_codec, quality_rules
 from rulemark.llm.frames import small_batches
 
 
@@ -23,8 +23,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", *(F.col("quality")[c].alias(c) for c in fields))
 
 
+def token_model() -> str:
+    """The file of the public 32k piece model; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    a = piece_codec.encode_documents(docs, token_model(), ids=None, decimals="decimals", decoded="decoded", keep=["doc_id"])
+    return a.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_piece_codec": op2_piece_codec,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
