@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import piece_codec, quality_rules, secrets
-from rulemark.llm.frames import small_batches
+from rulemark.llm import piece_codec, quality_rules, secrets, toxicity
+from rulemark.llm.frames import crc_mod, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = lambda df: df.where(crc_mod("doc_id", 3) != 1)
+    model = toxicity.fit(learn(docs), learn(_table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    scored = toxicity.score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_piece_codec": op2_piece_codec,
     "op8_secrets": op8_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.

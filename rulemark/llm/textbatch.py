@@ -57,12 +57,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: All bytes but ASCII letters and those of non-ASCII characters.
+NOT_LETTER = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, text index) of every word, in order."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SEP[data]
+    inside = ~separators[data]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < len(data))]
     before = np.empty_like(inside)
@@ -103,22 +107,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the bytes from each start to each end, the same wherever they stand.
+
+    Starts and the last ends must ascend; the other ends lie before the last.
+    """
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
+    last, at = ends[-1], 0
     while at < len(starts):
         low = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, low + HASH_BLOCK, "right")))
-        part = data[low : ends[to - 1]].astype(np.uint64) + np.uint64(1)
+        to = max(at + 1, int(np.searchsorted(last, low + HASH_BLOCK, "right")))
+        part = data[low : last[to - 1]].astype(np.uint64) + np.uint64(1)
         up, down = _powers(len(part) + 1)
         total = np.empty(len(part) + 1, np.uint64)
         total[0] = 0
         np.cumsum(part * up[: len(part)], out=total[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        s = starts[at:to] - low
+        before, shift = total[s], down[s]
+        for made, end in zip(out, ends, strict=True):
+            e = end[at:to] - low
+            made[at:to] = mix((total[e] - before) * shift + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         at = to
-    return mix(out)
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+    return span_hashes(data, starts, ends)[0]
 
 
 def windows(hashes: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,3 +147,24 @@ def windows(hashes: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray
             value = mix(value * np.uint64(0x100000001B3) + hashes[k : k + m])
     inside = text_of[:m] == text_of[n - 1 :]
     return value[inside], text_of[:m][inside]
+
+
+class TermTable:
+    """Numbers of a bounded set of term hashes; absent terms get -1."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(np.asarray(hashes, np.uint64))
+        self.there = np.zeros(1 << 20, bool)
+        self.there[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int32)
+        maybe = np.flatnonzero(self.there[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+            good = self.hashes[at] == hashes[maybe]
+            out[maybe[good]] = at[good]
+        return out
