@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import piece_codec, quality_rules, secrets, toxicity
+from rulemark.llm import piece_codec, quality_model, quality_rules, secrets, toxicity
 from rulemark.llm.frames import crc_mod, small_batches
 
 
@@ -36,6 +36,14 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
+    model = quality_model.fit(docs, labels)
+    scored = quality_model.score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     a = secrets.find_secrets(docs, keep=["doc_id"])
@@ -56,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_piece_codec": op2_piece_codec,
+    "op4_quality_model": op4_quality_model,
     "op8_secrets": op8_secrets,
     "op10_toxicity": op10_toxicity,
 }
