@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import piece_codec, quality_model, quality_rules, secrets, topk, toxicity
+from rulemark.llm import ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
 from rulemark.llm.frames import crc_mod, small_batches
 
 
@@ -58,6 +58,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs, n=3, percent=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = lambda df: df.where(crc_mod("doc_id", 3) != 1)
@@ -72,11 +77,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_model": op4_quality_model,
     "op6_topk": op6_topk,
     "op8_secrets": op8_secrets,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op9_ngram_join": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+            FROM t
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+        ), both_ways AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM t
+            UNION
+            SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+        )
+        SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+        FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) AS r USING (doc_id)
+    """,
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
