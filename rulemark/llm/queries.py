@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
+from rulemark.llm import line_dedup, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
 from rulemark.llm.frames import crc_mod, small_batches
 
 
@@ -49,6 +49,14 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.later_lines(docs).groupBy("did").agg(F.count("*").alias("n_removed"), F.sum(F.xxhash64("line_no") % 1000003).alias("removed_check"))
+    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    joined = counts.join(gone, F.coalesce("doc_id", F.lit(line_dedup.LAST)) == F.col("did"), "left")
+    return joined.select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "removed_check")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     a = secrets.find_secrets(docs, keep=["doc_id"])
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
     "op4_quality_model": op4_quality_model,
     "op6_topk": op6_topk,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
