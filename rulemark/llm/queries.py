@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import line_dedup, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
+from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
 from rulemark.llm.frames import crc_mod, small_batches
 
 
@@ -36,6 +36,21 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Target weights of the sources, of 100; all that are not named share the last.
+WEIGHTS = {"src0": 20, "src1": 12, "src2": 8, "src3": 5, mixing.OTHER: 55}
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file ``<source>/<doc_id>``; sources are the directories."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    return license_scan.scan(docs, keep=["doc_id", "path"])
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, WEIGHTS)
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
@@ -82,7 +97,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_piece_codec": op2_piece_codec,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_model": op4_quality_model,
+    "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
