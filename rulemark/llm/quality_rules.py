@@ -145,8 +145,11 @@ def clean_documents(docs: DataFrame, text: str = "text", rules: LineRules = Line
 
     ``length``, where docs has that column, gets the cleaned text's code points.
     """
-    (out,) = fresh(docs, "quality")
-    a = assess(docs, text, rules, out).where(F.col(out)["kept"])
+    out, once = fresh(docs, "quality", "q_once")
+    a = assess(docs, text, rules, out)
+    # A filter would be pushed below the projections and work the whole verdict out in
+    # its own condition, column by column; a generator of one row or none stays above.
+    a = a.withColumn(once, F.explode(F.when(F.col(out)["kept"], F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))).drop(once)
     a = a.withColumn(text, F.col(out)["clean_text"])
     if length in docs.columns:
         a = a.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
