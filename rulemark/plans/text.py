@@ -1 +1,109 @@
-"""Queries."""
+"""Queries on policy texts: quotes, wording, numbers, names."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rulemark.functions import text as words
+from rulemark.operators import documents
+from rulemark.plans.registry import query
+from rulemark.sources import readers
+from rulemark.sources.tables import read
+
+#: Policy sentences assembled from fixed clauses, so that every kind of wording occurs.
+CLAUSES = ("The fund must hold at least 80% in equities", "The fund seeks to invest primarily in large companies", "No single holding may exceed 7%", "The fund may invest up to 1,250 million in bonds", "It will not buy tobacco", "Weights are between 2 and 4.5 percent", "Cash is held")
+
+
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda k: F.element_at(F.array(*(F.lit(c) for c in CLAUSES)), (k % len(CLAUSES) + 1).cast("int"))
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.concat(pick(k), F.lit(". "), pick(F.floor(k / 7)), F.lit(".")).alias("text"))
+
+
+CLAUSES_SQL = "WITH l AS (SELECT [" + ", ".join(f"'{c}'" for c in CLAUSES) + f"] AS c), t AS (SELECT o_orderkey, c[o_orderkey % {len(CLAUSES)} + 1] || '. ' || c[o_orderkey // 7 % {len(CLAUSES)} + 1] || '.' AS text FROM orders, l)"
+
+
+def _flags(patterns: dict[str, str], column: str) -> str:
+    def one(name: str, pattern: str) -> str:
+        where = r"regexp_replace(lower(text), '\bmay\s+not\b|\bno\b[^.;:]{0,80}?\bmay\b', ' ', 'g')" if name == "may" else "lower(text)"
+        return f"CASE WHEN regexp_matches({where}, '{pattern}') THEN '{name}' END"
+
+    return f"list_filter([{', '.join(one(n, p) for n, p in patterns.items())}], lambda x: x IS NOT NULL) AS {column}"
+
+
+@query("modality_terms", CLAUSES_SQL + f""", m AS (SELECT o_orderkey, {_flags(words.HARD, 'hard')}, {_flags(words.SOFT, 'soft')} FROM t)
+    SELECT o_orderkey, array_to_string(hard, '|') AS hard, array_to_string(soft, '|') AS soft, CASE WHEN len(hard) > 0 AND len(soft) = 0 THEN 'hard' ELSE 'soft' END AS kind FROM m""")
+def modality_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = clauses(spark, sf_dir).select("o_orderkey", words.terms(F.col("text"), words.HARD).alias("h"), words.terms(F.col("text"), words.SOFT).alias("s"))
+    return m.select("o_orderkey", F.array_join("h", "|").alias("hard"), F.array_join("s", "|").alias("soft"), words.modality(F.col("h"), F.col("s")).alias("kind"))
+
+
+@query("numbers_digits", CLAUSES_SQL + r""" SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all(text, '\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?'), lambda x: CAST(CAST(replace(x, ',', '') AS DECIMAL(18, 2)) AS VARCHAR)), '|') AS numbers FROM t""")
+def numbers_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.transform(words.digits(F.col("text")), lambda x: x.cast("decimal(18,2)").cast("string"))
+    return clauses(spark, sf_dir).select("o_orderkey", F.array_join(found, "|").alias("numbers"))
+
+
+@query("numbers_full", None)
+def numbers_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(words.numbers_in)
+
+    return clauses(spark, sf_dir).select("o_orderkey", found("text").alias("numbers"))
+
+
+NAMES_SQL = """WITH n AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ' ESG Leaders' WHEN 1 THEN ' Social Transition' WHEN 2 THEN ' Net-Zero Progress' WHEN 3 THEN ' Greenery' ELSE '' END AS name FROM part)"""
+
+
+@query("name_categories", NAMES_SQL + rf""" SELECT p_partkey, name, concat_ws('|', CASE WHEN regexp_matches(lower(name), '{words.NAME_STRICT}') OR regexp_matches(lower(name), '{words.NAME_LIGHT}') THEN 'name_any' END,
+    CASE WHEN regexp_matches(lower(name), '{words.NAME_LIGHT}') THEN 'name_ctb' END, CASE WHEN regexp_matches(lower(name), '{words.NAME_STRICT}') THEN 'name_pab' END) AS categories FROM n""")
+def name_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.element_at(F.array(*(F.lit(x) for x in (" ESG Leaders", " Social Transition", " Net-Zero Progress", " Greenery", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    n = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("name"))
+    return n.select("p_partkey", "name", F.array_join(words.name_categories(F.col("name")), "|").alias("categories"))
+
+
+@query("enforcement_reason", """
+    WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'x' END AS target, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'disclosed' END AS status, ['direct', 'proxy', 'unobservable'][o_orderkey % 3 + 1] AS observability,
+        CASE WHEN o_orderstatus = 'F' THEN 'soft' ELSE 'hard' END AS kind, ['approved', 'draft', 'rejected', 'approved'][o_custkey % 4 + 1] AS review FROM orders)
+    SELECT id, CASE WHEN target IS NULL THEN 'no numeric form' WHEN status = 'unknown' THEN 'value not established' WHEN observability = 'unobservable' THEN 'not observable' WHEN review = 'rejected' THEN 'rejected in review'
+        WHEN kind = 'soft' THEN 'soft wording' WHEN review <> 'approved' THEN 'not approved' END AS reason FROM c""")
+def enforcement_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(v) for v in values)), (i + 1).cast("int"))
+    reason = words.not_enforced(
+        F.when(k % 11 != 0, F.lit("x")), F.when(k % 7 == 0, "unknown").otherwise("disclosed"), pick(("direct", "proxy", "unobservable"), k % 3),
+        F.when(F.col("o_orderstatus") == "F", "soft").otherwise("hard"), pick(("approved", "draft", "rejected", "approved"), F.col("o_custkey") % 4),
+    )
+    return read(spark, sf_dir, "orders").select(k.alias("id"), reason.alias("reason"))
+
+
+@query("confidence_score", """
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 0 WHEN o_orderkey % 5 = 0 THEN 0.3::DOUBLE ELSE round(0.95::DOUBLE - 0.15 * CAST(o_orderkey % 2 = 0 AS INT) - 0.10 * CAST(o_custkey % 3 > 1 AS INT) - 0.10 * CAST(o_orderkey % 4 = 1 AS INT), 2) END AS confidence FROM orders""")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    score = words.confidence(k % 9 != 0, k % 5 != 0, k % 2 == 0, F.col("o_custkey") % 3, k % 4 == 1)
+    return read(spark, sf_dir, "orders").select(k.alias("id"), score.alias("confidence"))
+
+
+@query("quote_contains", """SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS char_start, CAST((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS INT) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.quoted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query("paragraphs_split", r"""
+    WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE lang = 'es'),
+    s AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS s FROM p)
+    SELECT doc_id, CAST(i - 1 AS INT) AS idx, CAST(s + (i - 1) AS INT) AS char_start, CAST(s + (i - 1) + length(t) AS INT) AS char_end FROM s WHERE trim(t) <> ''""")
+def paragraphs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank-line paragraphs with offsets; the documents' line ends are doubled to be such."""
+    d = read(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return readers.paragraphs(d).select("doc_id", "idx", "char_start", "char_end")
+
+
+@query("html_paragraphs", None)
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.html_paragraphs(read(spark, sf_dir, "pages"))
