@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch handed to Python: bounds a worker's memory, as texts may be long.
 ARROW_ROWS = 1024
@@ -45,3 +51,38 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the column's text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+#: Slots of the filter below: a fixed size, 1 MB as bytes.
+SLOTS = 1 << 20
+
+
+def likely(df: DataFrame, keys: list[str], wanted: DataFrame, flag: str | None = None) -> DataFrame:
+    """df less most rows whose keys are not in ``wanted`` (same column names).
+
+    A bitmap of key hashes, of fixed size, spares a following join the shuffle of
+    rows that cannot match; rows it lets through in error, that join drops. With
+    ``flag`` no row goes: that boolean column is false where a row surely matches none.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    there = np.zeros(SLOTS, bool)
+    there[[r[0] for r in wanted.select(slot.alias("s")).distinct().collect()]] = True  # SLOTS rows at most
+    name = flag or fresh(df, "slot")[0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(there[batch.column(batch.num_columns - 1).to_numpy()])
+            if flag:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hit], names=batch.schema.names)
+            else:
+                kept = batch.filter(hit)
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())]) if flag else df.schema
+    return df.withColumn(name, slot).mapInArrow(work, schema)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle and checkpoint files of frames that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -17,7 +17,10 @@ Copies in a group share thousands of entries. Instead of all pairs in an entry,
 each member is compared with one hub; members already connected need no more
 comparing, and only members of different components of one entry are compared
 with further hubs or, when few pairs are left, with each other. That gives every
-connection between different texts without listing all pairs.
+connection between different texts without listing all pairs. Before any text is
+read, pairs must pass the size filter and a bound from parity sketches: a bit
+tells whether an odd number of elements fell on it, so every bit that differs
+between two sets stands for one element at least that they do not share.
 
 Defined results: null, empty and word-less texts have the empty set and are
 linked with nothing; texts of fewer than n words hold their whole sequence as
@@ -41,12 +44,15 @@ from pyspark.sql import functions as F
 
 from rulemark.llm import textbatch as tb
 from rulemark.llm.components import components
-from rulemark.llm.frames import cut, fresh
+from rulemark.llm.frames import cut, fresh, likely, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Hub rounds before the pairs left over are compared one by one, however many.
-HUB_ROUNDS = 12
+HUB_ROUNDS = 5
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
 def element_set(text: str | None, n: int = 3) -> set:
@@ -120,6 +126,19 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements on each of 64 * SKETCH bits."""
+    slots = (tb.mix(elements ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+
+
+def near(a: str, b: str, percent: int):
+    """Whether sets described by the struct columns a and b may reach the threshold."""
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
+    return (x * 100 >= y * percent) & (y * 100 >= x * percent) & (apart * (100 + percent) <= (x + y) * (100 - percent))
+
+
 def _hashed_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashed elements of each text."""
     data, offsets = tb.buffers(column)
@@ -142,21 +161,23 @@ def _hashed_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def _profiles(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(id, text) to (id, n_elements, class, entries)."""
+    """(id, text) to (id, n_elements, class, sketch words, entries)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.pieces(batch):
-                sizes, keys, entries = [], [], []
+                sizes, keys, entries, sketches = [], [], [], []
                 for s in _hashed_sets(part.column("text"), n):
                     sizes.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sketches.append(sketch(s))
                     entries.append(signatures(s, bands).astype(np.int64) if len(s) else np.zeros(0, np.int64))
                 ends = np.append(0, np.cumsum([len(e) for e in entries]))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(entries)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["id", "n_elements", "class", "entries"])
+                words = [pa.array(w) for w in np.array(sketches).T]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *words, lists], names=["id", "n_elements", "class", *SKETCHES, "entries"])
 
-    return docs.mapInArrow(work, "id long, n_elements long, class binary, entries array<long>")
+    return docs.mapInArrow(work, f"id long, n_elements long, class binary, {', '.join(f'{w} long' for w in SKETCHES)}, entries array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -188,50 +209,55 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     profiles = cut(_profiles(source, n, bands))
     members = profiles.where(F.col("class").isNotNull() & F.col("id").isNotNull())
-    # One row a class; the smallest id stands for it. Entries are a function of the class.
-    classes = members.groupBy("class").agg(F.min("id").alias("rep"), F.first("entries").alias("entries"))
-    by_class = members.select("class", "id").distinct()
-    heads = classes.select("class", "rep")
+    # One row a class; the smallest id stands for it. All else is a function of the class.
+    heads = cut(members.groupBy("class").agg(F.min("id").alias("rep"), F.struct(F.first("n_elements").alias("n"), *(F.first(w).alias(w) for w in SKETCHES)).alias("set")))
     # Rows of one id are one document: its classes connect.
-    same_id = by_class.join(heads, "class").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    entries = classes.select("rep", F.explode("entries").alias("entry"))
-    # Entries of two classes or more, from counts made before the shuffle of members.
-    shared = entries.repartition("entry")
+    same_id = members.select("class", "id").distinct().join(heads, "class").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    first = members.groupBy("class").agg(F.min("id").alias("rep"), F.first("entries").alias("entries"))
+    shared = first.select("rep", F.explode("entries").alias("entry")).repartition("entry")
+    # Entries of two classes or more, each with its smallest member for a hub.
     shared = shared.join(shared.groupBy("entry").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last"), "entry").select("entry", "rep", "hub")
-    shared = cut(shared)
-    hubs = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    nodes = shared.select(F.col("rep").alias("id")).distinct()
-    texts = cut(source.join(nodes, "id", "left_semi"))
-    tried = cut(hubs)
-    links = cut(_verified(tried, texts, n, percent))
+    open_ = cut(shared)
+    del shared, first
+    sweep(docs.sparkSession)
+    nodes = open_.select(F.col("rep").alias("id")).distinct()
+    texts = cut(likely(source.where("id IS NOT NULL"), ["id"], nodes).join(nodes, "id", "left_semi"))
+    sets = heads.groupBy("rep").agg(F.first("set").alias("set"))
+    sets = cut(sets.join(nodes, F.col("rep") == F.col("id"), "left_semi"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the bounds, then those of them whose texts match."""
+        x, y = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+        return cut(_verified(pairs.distinct().join(x, "a").join(y, "b").where(near("x", "y", percent)).select("a", "b"), texts, n, percent))
+
+    links = verified(open_.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    open_ = open_.select("entry", "rep")
     for turn in range(1, HUB_ROUNDS + 1):
-        found = cut(components(links)) if turn == 1 or grown else found  # noqa: F821
-        at = shared.select("entry", "rep").join(found, F.col("rep") == F.col("node"), "left").select("entry", "rep", F.coalesce("component", "rep").alias("part"))
-        open_ = at.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("entry")
-        # The same members often share many entries: each such set of members once.
-        at = cut(at.join(open_, "entry"))
-        kinds = at.groupBy("entry").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("set"), F.count("*").alias("n"))
-        kinds = kinds.groupBy("set", "n").agg(F.min("entry").alias("entry")).select("entry")
-        at = cut(at.join(kinds, "entry"))
+        found = components(links)
+        at = open_.join(found, F.col("rep") == F.col("node"), "left").select("entry", "rep", F.coalesce("component", "rep").alias("part"))
+        # Only entries of several components are still open, and those of equal members count once.
+        state = at.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.count("*").alias("n"))
+        state = state.where("low < high").groupBy("members", "n").agg(F.min("entry").alias("entry")).select("entry")
+        at = cut(at.join(state, "entry"))
+        open_ = at.select("entry", "rep")
+        sweep(docs.sparkSession)
         per = at.groupBy("entry", "part").agg(F.count("*").cast("double").alias("k")).groupBy("entry").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= 8 * left["rows"] or turn == HUB_ROUNDS
+        last = left["pairs"] <= 64 * left["rows"] or turn == HUB_ROUNDS
         if last:
-            one, two = at.select("entry", F.col("rep").alias("a"), F.col("part").alias("p")), at.select("entry", F.col("rep").alias("b"), F.col("part").alias("q"))
-            pairs = one.join(two, "entry").where("p <> q and a > b").select("a", "b")
+            full = at.join(sets, "rep")
+            one, two = full.select("entry", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("set").alias("x")), full.select("entry", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("set").alias("y"))
+            pairs = one.join(two, (one["entry"] == two["entry"]) & (F.col("p") != F.col("q")) & (F.col("a") > F.col("b")) & near("x", "y", percent)).select("a", "b")
         else:
             hub = at.groupBy("entry").agg(F.min_by(F.struct("rep", "part"), F.xxhash64("rep", F.lit(turn))).alias("h"))
             pairs = at.join(hub, "entry").where("part <> h.part").select(F.greatest("rep", "h.rep").alias("a"), F.least("rep", "h.rep").alias("b"))
-        new = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        good = cut(_verified(new, texts, n, percent))
-        grown = not good.isEmpty()
-        links, tried = links.unionByName(good), tried.unionByName(new)
+        links = links.unionByName(verified(pairs))
         if last:
             break
     final = components(links.unionByName(same_id))
-    out = profiles.select("id", "n_elements", "class").join(heads, "class", "left")
+    out = profiles.select("id", "n_elements", "class").join(heads.select("class", "rep"), "class", "left")
     out = out.join(final, F.col("rep") == F.col("node"), "left")
     (name,) = fresh(docs.select(doc_id), "n_shingles")
     own = F.coalesce("component", "rep", "id")
