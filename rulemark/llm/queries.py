@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
 from rulemark.llm.frames import crc_mod, small_batches
+from rulemark.llm.oracle import QUALITY_RULES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": QUALITY_RULES,
     "op9_ngram_join": """
         WITH RECURSIVE t AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
