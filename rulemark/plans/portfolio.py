@@ -94,13 +94,13 @@ def median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("attribution_total_return", sql(""", d AS (SELECT report_date, lead(report_date) OVER (ORDER BY report_date) AS nxt FROM (SELECT DISTINCT report_date FROM idx)),
     r AS (SELECT a.report_date AS start, a.asset_id, (b.value / b.balance) / (a.value / a.balance) - 1 AS ret FROM idx a JOIN d USING (report_date) JOIN idx b ON b.report_date = d.nxt AND b.asset_id = a.asset_id),
     f AS (SELECT fund_id, h.report_date AS start, sum(value * ret) / sum(value) AS ret FROM holdings h JOIN r ON r.start = h.report_date AND r.asset_id = h.asset_id GROUP BY 1, 2)
-    SELECT fund_id, count(*) AS n_periods, round(exp(sum(ln(1 + ret))) - 1, 5) AS total_return, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * 2 ELSE 0 END, 6) AS sharpe FROM f GROUP BY 1""", "holdings", "idx"))
+    SELECT fund_id, count(*) AS n_periods, round(sum(ln(1 + ret)), 6) AS log_growth, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * 2 ELSE 0 END, 6) AS sharpe FROM f GROUP BY 1""", "holdings", "idx"))
 def attribution_total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = prices.paired(index_holdings(spark, sf_dir).withColumn("one", F.lit(1)), ["one"])
     r = idx.select(F.col("start").alias("report_date"), "asset_id", ((F.col("value1") / F.col("balance1")) / (F.col("value0") / F.col("balance0")) - 1).alias("ret"))
     f = holdings(spark, sf_dir).join(r, ["report_date", "asset_id"]).groupBy("fund_id", "report_date").agg((F.sum(F.col("value") * F.col("ret")) / F.sum("value")).alias("ret"))
     sharpe = F.when(F.stddev_samp("ret") > 0, F.avg("ret") / F.stddev_samp("ret") * 2).otherwise(0.0)
-    return f.groupBy("fund_id").agg(F.count("*").alias("n_periods"), R(F.exp(F.sum(F.ln(1 + F.col("ret")))) - 1, 5).alias("total_return"), R(sharpe, 6).alias("sharpe"))
+    return f.groupBy("fund_id").agg(F.count("*").alias("n_periods"), R(F.sum(F.ln(1 + F.col("ret"))), 6).alias("log_growth"), R(sharpe, 6).alias("sharpe"))
 
 
 # Samples of K of the first N assets, with a stand-in benchmark weight and variance.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,27 +26,27 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TE_BETA, TE_RESID = 0.9, 0.0001
 SELECTION = {
-    "rule_cardinality": (rules.cardinality(K), f"count(*) = {K}"),
-    "rule_sector_cap": (rules.sector_cap("PROMO", 3), "count(*) FILTER (sector = 'PROMO') <= 3"),
-    "rule_exclusion_anti": (rules.exclusion((F.col("asset_id") % 40 == 0) | (F.col("country") == "Brand#13")), "count(*) FILTER (asset_id % 40 = 0 OR country = 'Brand#13') = 0"),
-    "rule_min_avg": (rules.min_avg("esg", 25.0), "avg(esg) >= 25"),
-    "rule_max_avg": (rules.max_avg("carbon", 906.0), "avg(carbon) <= 906"),
-    "rule_count_bound": (rules.count_bound(F.col("esg") > 30, 3, 6), "count(*) FILTER (esg > 30) BETWEEN 3 AND 6"),
-    "rule_avg_bound": (rules.avg_bound("esg", 20.0, 30.0), "avg(esg) BETWEEN 20 AND 30"),
-    "rule_linear_threshold": (rules.linear_threshold(F.col("esg") - F.lit(25.0), 0.0), "coalesce(sum(esg - 25.0), 0) >= 0"),
-    "rule_min_groups": (rules.min_groups("sector", 5), "count(DISTINCT sector) >= 5"),
-    "rule_volatility_cap": (rules.volatility_cap(0.21, MARKET_VARIANCE), f"sqrt({MARKET_VARIANCE} * avg({BETA}) ** 2 + sum({RESID}) / (count(*) * count(*))) <= 0.21"),
+    "rule_cardinality": (lambda: rules.cardinality(K), f"count(*) = {K}"),
+    "rule_sector_cap": (lambda: rules.sector_cap("PROMO", 3), "count(*) FILTER (sector = 'PROMO') <= 3"),
+    "rule_exclusion_anti": (lambda: rules.exclusion((F.col("asset_id") % 40 == 0) | (F.col("country") == "Brand#13")), "count(*) FILTER (asset_id % 40 = 0 OR country = 'Brand#13') = 0"),
+    "rule_min_avg": (lambda: rules.min_avg("esg", 25.0), "avg(esg) >= 25"),
+    "rule_max_avg": (lambda: rules.max_avg("carbon", 906.0), "avg(carbon) <= 906"),
+    "rule_count_bound": (lambda: rules.count_bound(F.col("esg") > 30, 3, 6), "count(*) FILTER (esg > 30) BETWEEN 3 AND 6"),
+    "rule_avg_bound": (lambda: rules.avg_bound("esg", 20.0, 30.0), "avg(esg) BETWEEN 20 AND 30"),
+    "rule_linear_threshold": (lambda: rules.linear_threshold(F.col("esg") - F.lit(25.0), 0.0), "coalesce(sum(esg - 25.0), 0) >= 0"),
+    "rule_min_groups": (lambda: rules.min_groups("sector", 5), "count(DISTINCT sector) >= 5"),
+    "rule_volatility_cap": (lambda: rules.volatility_cap(0.21, MARKET_VARIANCE), f"sqrt({MARKET_VARIANCE} * avg({BETA}) ** 2 + sum({RESID}) / (count(*) * count(*))) <= 0.21"),
     "rule_tracking_error_cap": (
-        rules.tracking_error_cap(0.065, MARKET_VARIANCE, bench="bw", bench_risk=(TE_BETA, TE_RESID)),
+        lambda: rules.tracking_error_cap(0.065, MARKET_VARIANCE, bench="bw", bench_risk=(TE_BETA, TE_RESID)),
         f"sqrt(greatest({MARKET_VARIANCE} * (avg({BETA}) - {TE_BETA}) ** 2 + sum({RESID}) / (count(*) * count(*)) - 2 * sum(bench / 2000.0::DOUBLE * {RESID}) / count(*) + {TE_RESID}, 0)) <= 0.065",
     ),
 }
 
 
-def _selection(name: str, rule: rules.Rule, condition: str) -> None:
+def _selection(name: str, rule: Callable[[], rules.Rule], condition: str) -> None:
     @query(name, sql(SAMPLES_SQL + f" SELECT sample_id, {condition} AS ok FROM s GROUP BY 1", "assets"))
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.evaluate(_held(spark, sf_dir), [rule]).select("sample_id", "ok")
+        return rules.evaluate(_held(spark, sf_dir), [rule()]).select("sample_id", "ok")
 
 
 for _name, (_rule, _condition) in SELECTION.items():
@@ -56,7 +58,7 @@ OK_SQL = SAMPLES_SQL + f", ok AS (SELECT sample_id, {SET_SQL} AS ok FROM s GROUP
 
 
 def _set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(_held(spark, sf_dir), [SELECTION[n][0] for n in SET])
+    return rules.evaluate(_held(spark, sf_dir), [SELECTION[n][0]() for n in SET])
 
 
 @query("rule_set_conjunction", sql(SAMPLES_SQL + " SELECT sample_id, " + ", ".join(f"{SELECTION[n][1]} AS {n[5:]}" for n in SET) + f", {SET_SQL} AS ok FROM s GROUP BY 1", "assets"))
@@ -90,12 +92,12 @@ def constraint_manager_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WEIGHTED = {
-    "w_holdings_range": (rules.holdings_range(10, 12), "count(*) FILTER (w > 1e-9) BETWEEN 10 AND 12"),
-    "w_position_bound": (rules.position_bound(0.01, 0.16), "min(w) >= 0.01 - 1e-9 AND max(w) <= 0.16 + 1e-9"),
-    "w_group_sum": (rules.group_sum(F.col("sector") == "ECONOMY", 0.05, 0.35), "coalesce(sum(w) FILTER (sector = 'ECONOMY'), 0) BETWEEN 0.05 - 1e-9 AND 0.35 + 1e-9"),
-    "w_average_ineligible": (rules.weighted_average("score", 10.0, None), "coalesce(sum(CASE WHEN score IS NULL THEN w ELSE 0 END) <= 1e-9 AND sum(w * score) >= 10 - 1e-9, false)"),
-    "w_average_renormalise": (rules.weighted_average("score", 25.0, None, "renormalise"), "coalesce(sum(w) FILTER (score IS NOT NULL) > 1e-9 AND sum(w * score) / sum(w) FILTER (score IS NOT NULL) >= 25 - 1e-9, false)"),
-    "w_turnover": (rules.turnover("previous", 0.15), "sum(abs(w - previous)) / 2 <= 0.15 + 1e-9"),
+    "w_holdings_range": (lambda: rules.holdings_range(10, 12), "count(*) FILTER (w > 1e-9) BETWEEN 10 AND 12"),
+    "w_position_bound": (lambda: rules.position_bound(0.01, 0.16), "min(w) >= 0.01 - 1e-9 AND max(w) <= 0.16 + 1e-9"),
+    "w_group_sum": (lambda: rules.group_sum(F.col("sector") == "ECONOMY", 0.05, 0.35), "coalesce(sum(w) FILTER (sector = 'ECONOMY'), 0) BETWEEN 0.05 - 1e-9 AND 0.35 + 1e-9"),
+    "w_average_ineligible": (lambda: rules.weighted_average("score", 10.0, None), "coalesce(sum(CASE WHEN score IS NULL THEN w ELSE 0 END) <= 1e-9 AND sum(w * score) >= 10 - 1e-9, false)"),
+    "w_average_renormalise": (lambda: rules.weighted_average("score", 25.0, None, "renormalise"), "coalesce(sum(w) FILTER (score IS NOT NULL) > 1e-9 AND sum(w * score) / sum(w) FILTER (score IS NOT NULL) >= 25 - 1e-9, false)"),
+    "w_turnover": (lambda: rules.turnover("previous", 0.15), "sum(abs(w - previous)) / 2 <= 0.15 + 1e-9"),
 }
 WEIGHTS_SQL = SAMPLES_SQL + f", h AS (SELECT *, bench / sum(bench) OVER (PARTITION BY sample_id)::DOUBLE AS w, CASE WHEN asset_id % 25 <> 0 THEN esg END AS score, 1.0::DOUBLE / {K} AS previous FROM s)"
 
@@ -105,10 +107,10 @@ def _weighted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumns({"score": F.when(F.col("asset_id") % 25 != 0, F.col("esg")), "previous": F.lit(1.0 / K)})
 
 
-def _weighted(name: str, rule: rules.Rule, condition: str) -> None:
+def _weighted(name: str, rule: Callable[[], rules.Rule], condition: str) -> None:
     @query(name, sql(WEIGHTS_SQL + f" SELECT sample_id, {condition} AS ok FROM h GROUP BY 1", "assets"))
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.evaluate(_weighted_rows(spark, sf_dir), [rule]).select("sample_id", "ok")
+        return rules.evaluate(_weighted_rows(spark, sf_dir), [rule()]).select("sample_id", "ok")
 
 
 for _name, (_rule, _condition) in WEIGHTED.items():
@@ -117,7 +119,7 @@ for _name, (_rule, _condition) in WEIGHTED.items():
 
 @query("w_violations", sql(WEIGHTS_SQL + ", r AS (SELECT sample_id, " + ", ".join(f"{c} AS {n[2:]}" for n, (_, c) in WEIGHTED.items()) + " FROM h GROUP BY 1) SELECT " + ", ".join(f"count(*) FILTER (NOT {n[2:]}) AS {n[2:]}" for n in WEIGHTED) + " FROM r", "assets"))
 def w_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.evaluate(_weighted_rows(spark, sf_dir), [rules.Rule(n[2:], r.ok) for n, (r, _) in WEIGHTED.items()])
+    out = rules.evaluate(_weighted_rows(spark, sf_dir), [rules.Rule(n[2:], r().ok) for n, (r, _) in WEIGHTED.items()])
     return out.agg(*(F.count_if(~F.col(n[2:])).alias(n[2:]) for n in WEIGHTED))
 
 
