@@ -30,16 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulemark.llm import textbatch as tb
-from rulemark.llm.frames import cut, fresh
+from rulemark.llm.frames import cut, fresh, likely, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Buckets of the rarity counts and slots of the filter on wanted lines: fixed sizes.
-BUCKETS, SLOTS = 1 << 16, 1 << 20
+#: Buckets of the rarity counts: a fixed size.
+BUCKETS = 1 << 16
+#: Places in a prefix that an index entry can tell: no line has as many distinct words.
+POSITIONS = 1 << 24
 LAST = (1 << 63) - 1
 KEY = ("did", "th", "line_no")
 
@@ -48,8 +51,8 @@ def line_set(line: str) -> set[str]:
     return set(_WORDS.findall(line.translate(_LOWER)))
 
 
-def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a batch's lines: (line, word hash), and each line's text and number in it."""
+def _hashed(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Word hashes of a batch, each word's line and text, and each line's number in its text."""
     data, offsets = tb.buffers(column)
     newline = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], newline + 1]))
@@ -57,14 +60,24 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     s, e, text_of = tb.words(data, offsets)
     line = np.searchsorted(starts, s, "right") - 1
     hashes = tb.word_hashes(data, s, e)
-    by = np.lexsort((hashes, line))
-    line, hashes, text_of = line[by], hashes[by], text_of[by]
-    keep = np.ones(len(by), bool)
-    keep[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    line, hashes, text_of = line[keep], hashes[keep], text_of[keep]
     # A line's number: newlines between its text's start and its own.
-    number = np.searchsorted(newline, starts[line], "left") - np.searchsorted(newline, offsets[text_of], "left") if len(line) else np.zeros(0, np.int64)
-    return line, hashes, text_of, number
+    own = np.searchsorted(offsets, starts, "right") - 1
+    number = np.searchsorted(newline, starts, "left") - np.searchsorted(newline, offsets[np.minimum(own, len(offsets) - 2)], "left")
+    return hashes, line, text_of, number
+
+
+def _ordered(hashes: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Positions of the distinct words of every line, rarest first, lines in order."""
+    bucket = rank[(hashes >> np.uint64(48)).astype(np.int64)]
+    if not len(line):
+        return np.zeros(0, np.int64)
+    dense = np.cumsum(np.append(0, line[1:] != line[:-1]))
+    key = (dense.astype(np.uint64) << np.uint64(44)) | (bucket << np.uint64(28)) | ((hashes >> np.uint64(20)) & np.uint64((1 << 28) - 1))
+    # 20 bits for the line, as many as blocks of text have; a longer text sorts by the parts.
+    by = np.argsort(key, kind="stable") if dense[-1] < 1 << 20 else np.lexsort((hashes, bucket, dense))
+    keep = np.ones(len(by), bool)
+    keep[1:] = (hashes[by][1:] != hashes[by][:-1]) | (line[by][1:] != line[by][:-1])
+    return by[keep]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -79,7 +92,10 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in tb.pieces(batch):
-                total += np.bincount((_sets(part.column("text"))[1] >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                data, offsets = tb.buffers(part.column("text"))
+                data = tb.lower_ascii(data)
+                hashes = tb.word_hashes(data, *tb.words(data, offsets)[:2])
+                total += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -90,110 +106,137 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _lines(rows: DataFrame, counts: np.ndarray, percent: int, min_words: int) -> DataFrame:
-    """Every line of min_words distinct words or more: key, class, size, bitmap, minima and prefix."""
+def _lines(rows: DataFrame, counts: np.ndarray, percent: int, min_words: int, full: bool = True) -> DataFrame:
+    """Every line of min_words distinct words or more: key and class; in full also size, bitmap, minima, prefix."""
+    rank = np.empty(BUCKETS, np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.pieces(batch):
-                line, word, text_of, number = _sets(part.column("text"))
+                hashes, line, text_of, number = _hashed(part.column("text"))
                 if not len(line):
                     continue
-                by = np.lexsort((word, counts[(word >> np.uint64(48)).astype(np.int64)], line))
-                line, word, text_of, number = line[by], word[by], text_of[by], number[by]
+                by = _ordered(hashes, line, rank)
+                word, line, text_of = hashes[by], line[by], text_of[by]
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 size = np.diff(np.append(first, len(line)))
-                place = np.arange(len(line)) - np.repeat(first, size)
-                prefix = size - (percent * size + 99) // 100 + 1
-                cls = tb.mix(np.add.reduceat(tb.mix(word), first) + size.astype(np.uint64))
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (tb.mix(word + np.uint64(7)) >> np.uint64(58)), first)
-                minima = [np.minimum.reduceat(tb.mix(word + np.uint64(k)), first) for k in (11, 13)]
-                inside = (place < np.repeat(prefix, size)) & np.repeat(size >= min_words, size)
                 ok = size >= min_words
-                tokens = (word[inside] >> np.uint64(8)).astype(np.int64) & 0xFFFFFFFFFF
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(prefix[ok])).astype(np.int32)), pa.array(tokens))
-                of = text_of[first][ok]
-                columns = [part.column("did").take(pa.array(of)), part.column("th").take(pa.array(of)), pa.array(number[first][ok].astype(np.int32))]
-                columns += [pa.array(x[ok].astype(np.int64)) for x in (cls, size, bits, *minima)]
-                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*KEY, "cls", "n", "bits", "m1", "m2", "prefix"])
-
-    return rows.mapInArrow(work, "did long, th long, line_no int, cls long, n long, bits long, m1 long, m2 long, prefix array<long>")
+                cls = tb.mix(np.add.reduceat(tb.mix(word), first) + size.astype(np.uint64))
+                of = pa.array(text_of[first][ok])
+                columns = [part.column("did").take(of), part.column("th").take(of), pa.array(number[line[first]][ok].astype(np.int32)), pa.array(cls[ok].astype(np.int64))]
+                if full:
+                    place = np.arange(len(line)) - np.repeat(first, size)
+                    prefix = size - (percent * size + 99) // 100 + 1
+                    bits = np.bitwise_or.reduceat(np.uint64(1) << (tb.mix(word + np.uint64(7)) >> np.uint64(58)), first)
+                    # Minima over the rarer half only: a common word would gather lines that share little.
+                    rarer = place < np.repeat((size + 1) // 2, size)
+                    minima = [np.minimum.reduceat(np.where(rarer, tb.mix(word + np.uint64(k)), np.uint64(2**64 - 1)), first) for k in (11, 13)]
+                    inside = (place < np.repeat(prefix, size)) & np.repeat(ok, size)
+                    tokens = (word[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(prefix[ok])).astype(np.int32)), pa.array(tokens))
+                    columns += [pa.array(size[ok].astype(np.int32)), *(pa.array(x[ok].astype(np.int64)) for x in (bits, *minima)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "cls", *(("n", "bits", "m1", "m2", "prefix") if full else ())])
+
+    return rows.mapInArrow(work, "did long, th long, line_no int, cls long" + ", n int, bits long, m1 long, m2 long, prefix array<int>" * full)
 
 
 def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The lines of ``keys`` with their text. A fixed-size filter keeps most others from being shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(*c), F.lit(SLOTS))
-    there = np.zeros(SLOTS, bool)
-    there[[r[0] for r in keys.select(slot(("did", "th")).alias("s")).distinct().collect()]] = True  # SLOTS rows at most
+    """The lines of ``keys`` with their text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pick = batch.filter(pa.array(there[batch.column("slot").to_numpy()]))
-            for part in tb.pieces(pick) if pick.num_rows else ():
+            for part in tb.pieces(batch):
                 split = [t.split("\n") for t in part.column("text").to_pylist()]
-                of = np.repeat(np.arange(len(split)), [len(x) for x in split])
-                flat = [line for x in split for line in x]
-                number = [k for x in split for k in range(len(x))]
-                yield pa.RecordBatch.from_arrays([part.column("did").take(pa.array(of)), part.column("th").take(pa.array(of)), pa.array(number, pa.int32()), pa.array(flat, pa.string())], names=[*KEY, "line"])
+                of = pa.array(np.repeat(np.arange(len(split)), [len(x) for x in split]))
+                number = pa.array([k for x in split for k in range(len(x))], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("did").take(of), part.column("th").take(of), number, pa.array([line for x in split for line in x], pa.string())], names=[*KEY, "line"])
 
-    lines = rows.withColumn("slot", slot(("did", "th"))).mapInArrow(work, "did long, th long, line_no int, line string")
-    return lines.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
+    texts = likely(rows, ["did", "th"], keys)
+    lines = texts.mapInArrow(work, "did long, th long, line_no int, line string")
+    return likely(lines, list(KEY), keys).join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
 
 
-def _matched(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x later, y earlier) of line keys, those that match: (x)."""
+def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, the later class (cls) of each pair that matches."""
     pairs = cut(pairs)
-    keys = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    texts = cut(_wanted(rows, keys).select(F.struct(*KEY).alias("k"), "line"))
+    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    places = cut(likely(classes.select("cls", "k.*"), ["cls"], nodes).join(nodes, "cls", "left_semi"))
+    texts = cut(_wanted(rows, places.select(*KEY)).join(places, list(KEY)).select("cls", F.struct(*KEY).alias("k"), "line"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set] = {}
         for batch in batches:
             good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                s, t = line_set(a), line_set(b)
+            for a, x, c, y in zip(*(batch.column(n).to_pylist() for n in ("a", "x", "b", "y")), strict=True):
+                if c not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[c] = line_set(y)
+                s, t = line_set(x), known[c]
                 both = len(s & t)
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["x"]).filter(pa.array(good, pa.bool_()))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    good.append(a)
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["cls"])
 
-    both = pairs.join(texts.select(F.col("k").alias("x"), F.col("line").alias("a")), "x").join(texts.select(F.col("k").alias("y"), F.col("line").alias("b")), "y")
-    return both.select("x", "a", "b").mapInArrow(work, "x struct<did:long,th:long,line_no:int>").distinct()
+    side = lambda c, k, t: texts.select(F.col("cls").alias(c), F.col("k").alias(k), F.col("line").alias(t))
+    both = pairs.join(side("a", "ka", "x"), "a").join(side("b", "kb", "y"), "b")
+    # a stands for the later line from here on.
+    late = F.col("ka") > F.col("kb")
+    both = both.select(*(F.when(late, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("x", "y"))), *(F.when(late, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("b", "a"), ("y", "x"))))
+    return cut(both.mapInArrow(work, "cls long").distinct())
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
     """(did, th, line_no) of every line that goes."""
+    spark = docs.sparkSession
     rows = _rows(docs, doc_id, text)
     counts = _word_counts(rows)
     lines = _lines(rows, counts, percent, min_words)
-    key = F.struct(*KEY)
-    classes = cut(lines.groupBy("cls").agg(F.min(key).alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "m1", "m2", "prefix"))))
+    classes = cut(lines.groupBy("cls").agg(F.min(F.struct(*KEY)).alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "m1", "m2", "prefix"))))
+    sweep(spark)
+
+    def bounded(xn: Column, yn: Column, xb: Column, yb: Column) -> Column:
+        """The length filter, and the one by bitmaps: bits that differ are words not shared."""
+        total = xn + yn
+        apart = total - 2 * F.ceil(total * percent / (100 + percent))
+        return (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent) & (F.bit_count(xb.bitwiseXOR(yb)) <= apart)
+
+    def meet(m: str) -> DataFrame:
+        """Classes (a) with the earliest class (b) of equal minimum, where the two may match."""
+        hub = F.min(F.struct("k.did", "k.line_no", "cls", "n", "bits")).over(Window.partitionBy(m))
+        met = classes.select("cls", "n", "bits", hub.alias("h")).where("cls <> h.cls")
+        return met.where(bounded(F.col("n"), F.col("h.n"), F.col("bits"), F.col("h.bits"))).select(F.col("cls").alias("a"), F.col("h.cls").alias("b"))
+
     # First the earliest class of equal minimum, for each of two minima.
-    shared = [classes.select("k", F.min("k").over(_by(m)).alias("y")).where("k <> y").select(F.col("k").alias("x"), "y") for m in ("m1", "m2")]
-    settled = cut(_matched(shared[0].unionByName(shared[1]).distinct(), rows, percent))
+    settled = _matched(meet("m1").unionByName(meet("m2")).distinct(), classes, rows, percent)
+    sweep(spark)
     # Then the exact join for the classes without a match so far.
-    open_ = classes.join(settled.select(F.col("x").alias("k"), F.lit(True).alias("done")), "k", "left").withColumn("open", F.col("done").isNull())
-    entries = open_.select("k", "n", "bits", "open", F.posexplode("prefix").alias("pos", "word")).repartition("word")
-    x = entries.where("open").select("word", *(F.col(c).alias(f"x_{c}") for c in ("k", "n", "bits", "pos")))
-    y = entries.select("word", *(F.col(c).alias(f"y_{c}") for c in ("k", "n", "bits", "pos")))
-    total = F.col("x_n") + F.col("y_n")
-    need = F.ceil(total * percent / (100 + percent))
+    told = likely(classes.select("cls", "k.did", "n", "bits", "prefix"), ["cls"], settled, "maybe")
+    done = settled.withColumn("done", F.lit(True))
+    checked = told.where("maybe").join(done, "cls", "left").withColumn("open", F.col("done").isNull()).drop("done", "maybe")
+    told = checked.unionByName(told.where("NOT maybe").drop("maybe").withColumn("open", F.lit(True)))
+    entries = told.select("cls", "did", "n", "bits", "open", F.posexplode("prefix").alias("pos", "word"))
+    entries = entries.select("word", "cls", "did", "bits", ((F.col("n").cast("long") * POSITIONS + F.col("pos")) * 2 + F.col("open").cast("int")).alias("packed")).repartition("word")
+    side = lambda t: entries.select(
+        "word", F.col("cls").alias(f"{t}_cls"), F.col("did").alias(f"{t}_did"), F.col("bits").alias(f"{t}_bits"), F.shiftright("packed", 25).alias(f"{t}_n"), F.shiftright("packed", 1).bitwiseAND(POSITIONS - 1).alias(f"{t}_pos"), (F.col("packed") % 2 == 1).alias(f"{t}_open")
+    )
+    x, y = side("x"), side("y")
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
     close = (
-        (F.col("y_k") < F.col("x_k"))
-        & (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+        (F.col("x_cls") < F.col("y_cls"))
+        # Only a class that may be the later one and still lacks its match has need of the pair.
+        & ((F.col("x_open") & (F.col("x_did") >= F.col("y_did"))) | (F.col("y_open") & (F.col("y_did") >= F.col("x_did"))))
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= need)
-        & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= total - 2 * need)
+        & bounded(F.col("x_n"), F.col("y_n"), F.col("x_bits"), F.col("y_bits"))
     )
-    pairs = x.join(y, (x["word"] == y["word"]) & close).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
-    settled = settled.unionByName(_matched(pairs, rows, percent)).withColumn("gone", F.lit(True))
+    pairs = x.join(y, (x["word"] == y["word"]) & close).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+    settled = settled.unionByName(_matched(pairs, classes, rows, percent)).distinct()
+    sweep(spark)
     # A line stays only where it is its class's first and that has no earlier match.
-    first = classes.select("cls", "k").join(settled.select(F.col("x").alias("k"), "gone"), "k", "left").where("gone IS NULL").select("cls", F.col("k").alias("stays"))
-    every = lines.select("cls", *KEY).distinct()
-    return every.join(first, "cls", "left").where(F.col("stays").isNull() | (F.struct(*KEY) != F.col("stays"))).select(*KEY)
-
-
-def _by(column: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(column)
+    stays = classes.select("cls", F.col("k").alias("stays")).join(settled, "cls", "left_anti")
+    every = _lines(rows, counts, percent, min_words, full=False).distinct()
+    return every.join(stays, "cls", "left").where(F.col("stays").isNull() | (F.struct(*KEY) != F.col("stays"))).select(*KEY)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", percent: int = 80, min_words: int = 5) -> DataFrame:
@@ -201,14 +244,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
     ``length``, where docs has that column, gets the new text's code points.
     """
-    did, th, gone = fresh(docs, "did", "th", "gone")
-    goes = later_lines(docs, doc_id, text, percent, min_words).groupBy("did", "th").agg(F.collect_set("line_no").alias("gone"))
+    did, th, gone, maybe = fresh(docs, "did", "th", "gone", "maybe")
+    goes = cut(later_lines(docs, doc_id, text, percent, min_words).groupBy("did", "th").agg(F.collect_set("line_no").alias("gone")))
     goes = goes.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(gone))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    a = docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), th: F.xxhash64(body)}).join(goes, [did, th], "left")
+    a = likely(docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), th: F.xxhash64(body)}), [did, th], goes, maybe)
+    # Documents that surely lose nothing need no join.
+    rest = a.where(~F.col(maybe)).select(*docs.columns)
+    a = a.where(F.col(maybe)).join(goes, [did, th], "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
     changed = F.col(gone).isNotNull() & F.col(text).isNotNull()
-    a = a.withColumn(text, F.when(changed, kept).otherwise(F.col(text)))
-    if length in docs.columns:
-        a = a.withColumn(length, F.when(changed, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return a.select(*docs.columns)
+    size = {length: F.when(changed, F.length(kept).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length in docs.columns else {}
+    return a.withColumns({text: F.when(changed, kept).otherwise(F.col(text)), **size}).select(*docs.columns).unionByName(rest)
