@@ -50,6 +50,9 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Hub rounds before the pairs left over are compared one by one, however many.
 HUB_ROUNDS = 5
+#: Pairs a row of open entries up to which they are bounded one by one at once: a
+#: bound takes some nanoseconds, while a round of hubs takes several shuffles.
+PAIRS_A_ROW = 2000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
@@ -233,7 +236,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = verified(open_.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     open_ = open_.select("entry", "rep")
     for turn in range(1, HUB_ROUNDS + 1):
-        found = components(links)
+        found = cut(components(links))
         at = open_.join(found, F.col("rep") == F.col("node"), "left").select("entry", "rep", F.coalesce("component", "rep").alias("part"))
         # Only entries of several components are still open, and those of equal members count once.
         state = at.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.count("*").alias("n"))
@@ -245,7 +248,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= 64 * left["rows"] or turn == HUB_ROUNDS
+        last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or turn == HUB_ROUNDS
         if last:
             full = at.join(sets, "rep")
             one, two = full.select("entry", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("set").alias("x")), full.select("entry", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("set").alias("y"))
@@ -253,7 +256,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         else:
             hub = at.groupBy("entry").agg(F.min_by(F.struct("rep", "part"), F.xxhash64("rep", F.lit(turn))).alias("h"))
             pairs = at.join(hub, "entry").where("part <> h.part").select(F.greatest("rep", "h.rep").alias("a"), F.least("rep", "h.rep").alias("b"))
-        links = links.unionByName(verified(pairs))
+        # What is connected already needs no more than a link to its component.
+        links = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(pairs))
         if last:
             break
     final = components(links.unionByName(same_id))
