@@ -128,7 +128,7 @@ def _lines(rows: DataFrame, counts: np.ndarray, percent: int, min_words: int, fu
                 if full:
                     place = np.arange(len(line)) - np.repeat(first, size)
                     prefix = size - (percent * size + 99) // 100 + 1
-                    bits = np.bitwise_or.reduceat(np.uint64(1) << (tb.mix(word + np.uint64(7)) >> np.uint64(58)), first)
+                    bits = np.bitwise_xor.reduceat(np.uint64(1) << (tb.mix(word + np.uint64(7)) >> np.uint64(58)), first)
                     # Minima over the rarer half only: a common word would gather lines that share little.
                     rarer = place < np.repeat((size + 1) // 2, size)
                     minima = [np.minimum.reduceat(np.where(rarer, tb.mix(word + np.uint64(k)), np.uint64(2**64 - 1)), first) for k in (11, 13)]
@@ -197,7 +197,7 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     sweep(spark)
 
     def bounded(xn: Column, yn: Column, xb: Column, yb: Column) -> Column:
-        """The length filter, and the one by bitmaps: bits that differ are words not shared."""
+        """The length filter, and the one by parity bitmaps: each bit that differs is a word not shared."""
         total = xn + yn
         apart = total - 2 * F.ceil(total * percent / (100 + percent))
         return (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent) & (F.bit_count(xb.bitwiseXOR(yb)) <= apart)
