@@ -43,6 +43,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 BUCKETS = 1 << 16
 #: Places in a prefix that an index entry can tell: no line has as many distinct words.
 POSITIONS = 1 << 24
+#: Columns of the wide parity sketch.
+WORDS = [f"p{k}" for k in range(8)]
 LAST = (1 << 63) - 1
 KEY = ("did", "th", "line_no")
 
@@ -157,6 +159,27 @@ def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return likely(lines, list(KEY), keys).join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, line) to (cls, number of distinct words, parities of the words on 512 bits)."""
+    for batch in batches:
+        for part in tb.pieces(batch, "line"):
+            data, offsets = tb.buffers(part.column("line"))
+            data = tb.lower_ascii(data)
+            s, e, of = tb.words(data, offsets)
+            hashes = tb.word_hashes(data, s, e)
+            by = np.lexsort((hashes, of))
+            hashes, of = hashes[by], of[by]
+            keep = np.ones(len(by), bool)
+            keep[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+            hashes, of = hashes[keep], of[keep]
+            wide = 64 * len(WORDS)
+            slot = of * wide + (tb.mix(hashes + np.uint64(17)) % np.uint64(wide)).astype(np.int64)
+            bits = (np.bincount(slot, minlength=part.num_rows * wide) & 1).astype(np.uint8).reshape(part.num_rows, wide)
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            columns = [part.column("cls"), pa.array(np.bincount(of, minlength=part.num_rows)), *(pa.array(np.ascontiguousarray(w)) for w in packed.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", *WORDS])
+
+
 def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, the later class (cls) of each pair that matches."""
     pairs = cut(pairs)
@@ -179,6 +202,14 @@ def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int
                     good.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["cls"])
 
+    # Wider parity sketches of the wanted lines come first: texts are shuffled for likely pairs only.
+    sketches = cut(texts.select("cls", "line").mapInArrow(_sketched, f"cls long, n long, {', '.join(f'{w} long' for w in WORDS)}"))
+    told = lambda c: sketches.select(F.col("cls").alias(c), F.struct("n", *WORDS).alias(f"s{c}"))
+    pairs = pairs.join(told("a"), "a").join(told("b"), "b")
+    total = F.col("sa.n") + F.col("sb.n")
+    apart = sum((F.bit_count(F.col(f"sa.{w}").bitwiseXOR(F.col(f"sb.{w}"))) for w in WORDS), F.lit(0))
+    pairs = pairs.where(apart <= total - 2 * F.ceil(total * percent / (100 + percent))).select("a", "b")
+
     side = lambda c, k, t: texts.select(F.col("cls").alias(c), F.col("k").alias(k), F.col("line").alias(t))
     both = pairs.join(side("a", "ka", "x"), "a").join(side("b", "kb", "y"), "b")
     # a stands for the later line from here on.
