@@ -114,6 +114,25 @@ def test_license_scan(spark):
     assert out["r/lib/x/y.py"]["licensed_by"] == "r/lib" and out["r/lib/own.py"]["licensed_by"] is None and out["r/a/b/c.py"]["license"] == "mine"
 
 
+def test_license_windows():
+    """Wrapped headers, notices inside a line, SPDX lines, and window norms against counts."""
+    gpl = "/* This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU {} Public License\n * as published by the Free Software Foundation; either version {}\n * of the License, or (at your option) any later version.\n */\nint main;"
+    bsd = license_scan._BSD + 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    cases = [(gpl.format("General", "2"), "GPL-2.0"), (gpl.format("General", "3"), "GPL-3.0"), (gpl.format("Lesser General", "2.1"), "LGPL-2.1"), (gpl.format("Affero General", "3"), "AGPL-3.0"), (bsd, "BSD-2-Clause")]
+    cases += [("Released under the MIT License. " + "some other word " * 40, "MIT"), ("x = 1\n# SPDX-License-Identifier: MIT\n", "MIT"), ("// SPDX-License-Identifier: (GPL-2.0-only OR Zlib)", "(GPL-2.0 OR Zlib)")]
+    for df, n in (({}, 9), ({"the": 900, "of": 900, "version": 40, "2": 500, "3": 500, "license": 60}, 1000)):
+        matcher = license_scan.Matcher(df, n, 0.6)
+        assert [matcher.judge(t)[0] for t, _ in cases] == [name for _, name in cases]
+    assert matcher.judge("the license of the poet")[0] is None
+    _, score, lines, share = matcher.judge(cases[5][0])
+    assert score == 1 and lines == 1 and share < 0.1
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 6, 60)
+    for size in (1, 7, 60):
+        want = [sum((c * (t + 1.0)) ** 2 for t, c in Counter(ids[k : k + size].tolist()).items()) for k in range(61 - size)]
+        assert np.allclose(license_scan._window_norms(ids, (ids + 1.0) ** 2, size), want)
+
+
 def labelled(n, good, bad, seed=4):
     rng = random.Random(seed)
     filler = [f"w{k}" for k in range(80)]
