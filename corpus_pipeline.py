@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that match an earlier one; some may end empty."""
     small_batches(spark)
-    return line_dedup.dedup_lines(docs, percent=80, min_words=5)
+    return line_dedup.dedup_lines(docs, percent=80, min_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

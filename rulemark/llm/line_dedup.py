@@ -18,8 +18,13 @@ needs only one earlier match. So classes first meet the earliest class of equal
 minimum word hash; those that find their match there only remain as partners,
 and the exact join looks for the rest.
 
-Defined results: null and empty texts have no lines; lines of fewer than
-``min_words`` distinct words always stay; rows equal in id and text count as one
+Lines too short to match any but their own set (fewer than four words at 80 %)
+take no part in the joins: their class's first line stays, all later ones go, by
+an aggregation by class alone.
+
+Defined results: null and empty texts have no lines; lines without a word stay,
+and so do lines of fewer than ``min_words`` distinct words (the queries pass 1,
+so that no line with a word is exempt); rows equal in id and text count as one
 document; a null id comes after all others.
 """
 
@@ -226,6 +231,8 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     lines = _lines(rows, counts, percent, min_words)
     classes = cut(lines.groupBy("cls").agg(F.min(F.struct(*KEY)).alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "m1", "m2", "prefix"))))
     sweep(spark)
+    # n words at most share n of n + 1 with another set.
+    near = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
 
     def bounded(xn: Column, yn: Column, xb: Column, yb: Column) -> Column:
         """The length filter, and the one by parity bitmaps: each bit that differs is a word not shared."""
@@ -236,14 +243,14 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     def meet(m: str) -> DataFrame:
         """Classes (a) with the earliest class (b) of equal minimum, where the two may match."""
         hub = F.min(F.struct("k.did", "k.line_no", "cls", "n", "bits")).over(Window.partitionBy(m))
-        met = classes.select("cls", "n", "bits", hub.alias("h")).where("cls <> h.cls")
+        met = near.select("cls", "n", "bits", hub.alias("h")).where("cls <> h.cls")
         return met.where(bounded(F.col("n"), F.col("h.n"), F.col("bits"), F.col("h.bits"))).select(F.col("cls").alias("a"), F.col("h.cls").alias("b"))
 
     # First the earliest class of equal minimum, for each of two minima.
     settled = _matched(meet("m1").unionByName(meet("m2")).distinct(), classes, rows, percent)
     sweep(spark)
     # Then the exact join for the classes without a match so far.
-    told = likely(classes.select("cls", "k.did", "n", "bits", "prefix"), ["cls"], settled, "maybe")
+    told = likely(near.select("cls", "k.did", "n", "bits", "prefix"), ["cls"], settled, "maybe")
     done = settled.withColumn("done", F.lit(True))
     checked = told.where("maybe").join(done, "cls", "left").withColumn("open", F.col("done").isNull()).drop("done", "maybe")
     told = checked.unionByName(told.where("NOT maybe").drop("maybe").withColumn("open", F.lit(True)))
@@ -264,10 +271,10 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     pairs = x.join(y, (x["word"] == y["word"]) & close).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
     settled = settled.unionByName(_matched(pairs, classes, rows, percent)).distinct()
     sweep(spark)
-    # A line stays only where it is its class's first and that has no earlier match.
-    stays = classes.select("cls", F.col("k").alias("stays")).join(settled, "cls", "left_anti")
-    every = _lines(rows, counts, percent, min_words, full=False).distinct()
-    return every.join(stays, "cls", "left").where(F.col("stays").isNull() | (F.struct(*KEY) != F.col("stays"))).select(*KEY)
+    # A line stays only where it is its class's first and that has no earlier match; keys are unique, so no common line gathers rows.
+    stays = classes.select("cls", "k.*").join(settled, "cls", "left_anti").select(*KEY)
+    every = _lines(rows, counts, percent, min_words, full=False).select(*KEY).distinct()
+    return every.join(stays, list(KEY), "left_anti")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", percent: int = 80, min_words: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
+from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, queries, secrets, topk, toxicity
 from rulemark.llm.queries import token_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -230,6 +230,24 @@ def test_line_dedup(docs, rows):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage exempt no line with a word: repeats go, near ones of four and five words too."""
+    import corpus_pipeline
+
+    texts = ["Home | About\n日本語の行\na b c\n\none two three four", "home | ABOUT\n日本語の行\na b d\n\none two three four five", "Home | About | Contact\n \nc b a\nx", None, "x\nx"]
+    docs = [(k, t, "en", "s", len(t or "")) for k, t in enumerate([*texts, *(r[1] for r in corpus(30))])]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    flat = [(i, k, line_dedup.line_set(x)) for i, t, *_ in docs for k, x in enumerate((t or "").split("\n"))]
+    flat = [x for x in flat if x[2]]
+    want = {x[:2] for n, x in enumerate(flat) if any(100 * len(x[2] & y[2]) >= 80 * len(x[2] | y[2]) for y in flat[:n])}
+    assert {(1, 0), (1, 1), (1, 4), (2, 2), (4, 0), (4, 1)} <= want and (1, 2) not in want
+    got = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["n_removed"]} == Counter(i for i, _ in want)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    for i, t, *_ in docs:
+        assert (left[i] or "") == "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in want)
+
+
 def slow_spans(t):
     """The base spans, from the patterns as they are written."""
     out = []
