@@ -2,7 +2,8 @@
 
 Base patterns find assignments, access keys and hexadecimal strings. Beyond
 them, every value standing in a credential context (``password: ...``,
-``client_secret=...``) is priced: a dynamic program splits it into dictionary
+``client_secret=...``, ``dbPassword = ...``: any identifier that contains a
+credential word, whatever joins it) is priced: a dynamic program splits it into dictionary
 words, dates, repeats, keyboard walks and brute-force characters at the lowest
 total cost, the decimal logarithm of the guesses an attacker needs. Values that
 cost ``threshold`` or more and lie in no base span are reported as ``guess``.
@@ -35,12 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "api")
 
-#: A value in a credential context: a name, a separator, then up to a blank, quote or bracket.
-CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth(?:orization)?|(?:api|access|private|client|secret)[_\-]?(?:key|secret|token))"
-    r"""["']?[\x20\t]*(?:[:=]|:=|=>)[\x20\t]*(?:(?:basic|bearer)[\x20\t]+)?["']?([!#-&(-;=?-~]{6,})""",
-    re.IGNORECASE | re.ASCII,
-)
+#: A credential context: a name and a separator. A name starts only where no other goes on, so a text is read once.
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]+)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:(?:basic|bearer)[\x20\t]+)?["']?""", re.IGNORECASE | re.ASCII)
+#: What makes a name a credential's, wherever it stands in it: dbPassword, authtoken, SECRET_KEY_BASE.
+CREDENTIAL = re.compile(r"pass|pwd|secret|token|credential|bearer|auth|(?:api|access|private|client)[_\-]?key", re.IGNORECASE | re.ASCII)
+#: Its value: up to a blank, quote or bracket.
+VALUE = re.compile(r"[!#-&(-;=?-~]{6,}")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key")
 
 # Words that attackers try first, commonest first.
@@ -143,9 +144,12 @@ def scan(text: str | None, threshold: float = 10.0) -> list[tuple[str, int, int,
     spans += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted((a, b) for _, a, b, _ in spans)
+        to = 0  # where the last value's run ends: one that begins within it is a part of it
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            b = a + len(m[1].rstrip(".,;:)]}"))
+            if m.end() < to or not CREDENTIAL.search(m[1]) or not (v := VALUE.match(text, m.end())):
+                continue
+            a, to = v.span()
+            b = a + len(v[0].rstrip(".,;:)]}"))
             if b - a >= ASSIGN_LENGTH and not any(x <= a and b <= y for x, y in base) and (cost := guess_cost(text[a:b])) >= threshold:
                 spans.append(("guess", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

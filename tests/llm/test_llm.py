@@ -268,6 +268,13 @@ def test_secret_spans():
     assert secrets.guess_cost("password") < 1 < secrets.guess_cost("qwertyui") < secrets.guess_cost("x9$K!mQ2") and secrets.guess_cost("aaaaaaaaaaaaaaaa") < 4
 
 
+@pytest.mark.parametrize("name", ["password", "db_password", "dbPassword", "DBPASSWORD", "userToken", "authToken", "x-auth-token", "passwordHash", "SECRET_KEY_BASE", "apiKey", "MYAPIKEY2", "smtpPwd"])
+def test_secrets_under_joined_names(name):
+    for t in (f'{name} = "x9$K!mQ2zz@L"', f"{name}: x9$K!mQ2zz@L.", f"if x=1 {name}=x9$K!mQ2zz@L\n", f"'{name}' => 'x9$K!mQ2zz@L'", f"size={name}=x9$K!mQ2zz@L"):
+        assert [t[a:b] for k, a, b, _ in secrets.scan(t) if k == "guess"] == ["x9$K!mQ2zz@L"], t
+    assert [s for s in secrets.scan(f"{name}: letmein! monkey: x9$K!mQ2zz@L") if s[0] == "guess"] == []
+
+
 def test_guess_cost_is_minimal_over_plain_splits():
     """Against all splits of a short value into words and single characters."""
     def slow(v):
