@@ -212,6 +212,27 @@ def test_top_k(spark):
     assert len(got) == 7 * 7
 
 
+def test_top_k_of_large_components(spark):
+    """Every finite vector takes part; scores beyond 64 bits rank exactly and are null."""
+    rng = random.Random(8)
+    pick = lambda big: [rng.choice([0.5, -0.25, 3.0, *big]) for _ in range(4)]
+    vectors = [(k, pick([])) for k in range(40)] + [(40 + k, pick([2.0**20, -(2.0**21) - 1, 5e6])) for k in range(20)] + [(60 + k, pick([3e9, -1e15, 7e30, -7e30, 1e300, 1.7e308])) for k in range(20)]
+    vectors += [(80, [1.7e308, 0.0, 0.0, 0.0]), (81, [-1.7e308, 0.0, 0.0, 0.0]), (82, list(vectors[65][1]))]
+    df = spark.createDataFrame([*vectors, (90, [float("inf"), 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    whole = {i: [topk._whole(x, 64) for x in v] for i, v in vectors}
+    assert whole[80][0] == 64 * int(1.7e308)
+    before = topk.CANDIDATES
+    try:
+        topk.CANDIDATES = 32  # several blocks, some without large components
+        out = topk.top_k(df, df.where("vec_id % 20 = 0 OR vec_id > 64"), k=9).collect()
+    finally:
+        topk.CANDIDATES = before
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out}
+    for q in [0, 20, 40, 60, *range(65, 83)]:
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:9]
+        assert [got[q, k + 1] for k in range(9)] == [(i, -s if -(2**63) <= -s < 2**63 else None) for s, i in want], q
+
+
 def test_line_dedup(docs, rows):
     flat, seen = [], set()
     for i, t, *_ in rows:
