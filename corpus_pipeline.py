@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rulemark.llm import line_dedup, mixing, ngram_join, piece_codec, quality_rules
 from rulemark.llm.frames import cut, small_batches
-from rulemark.llm.queries import WEIGHTS, token_model
+from rulemark.llm.queries import token_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that holds the sources' target weights."""
-    return mixing.mixed(docs, WEIGHTS)
+    return mixing.mixed(docs, mixing.tempered_weights(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

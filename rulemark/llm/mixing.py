@@ -9,8 +9,9 @@ source ends, the others go on with their own weights over the smaller total.
 
 That pattern repeats every H slots, so the driver schedules one round for each
 set of sources still running (at most one set a named source); a block's slot
-follows from its number by arithmetic. Sources without a weight of their own
-share the weight ``OTHER`` as one stream. No document is dropped or repeated.
+follows from its number by arithmetic. ``tempered_weights`` gives every source
+present a weight of its own from its count; under weights that leave sources
+out, these share the weight ``OTHER`` as one stream. No document is dropped or repeated.
 
 Defined results: null sources belong to the shared stream; repeated rows each
 get a place; a stream without documents takes no slots; empty tables give none.
@@ -18,6 +19,7 @@ get a place; a stream without documents takes no slots; empty tables give none.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -31,17 +33,37 @@ from rulemark.llm.frames import fresh
 OTHER = "*"
 #: Documents of one rank bucket: what a task sorts at once.
 BUCKET_ROWS = 20_000
+#: Weight of the largest source under tempered weights: one round has at most so many slots a source.
+TOP_WEIGHT = 16
+
+
+def tempered_weights(docs: DataFrame, source: str = "source") -> dict[str, int]:
+    """A weight for every source: TOP_WEIGHT x the square root of its count over the largest one's, rounded, 1 at least.
+
+    So small sources stand above their natural share and large ones below it.
+    Null sources are OTHER, which has weight 1 where there are none.
+    """
+    counted = docs.groupBy(F.coalesce(F.col(source), F.lit(OTHER)).alias("s")).count().collect()  # a row a source
+    most = max((r["count"] for r in counted), default=1)
+    return {OTHER: 1} | {r["s"]: max(1, round(TOP_WEIGHT * math.sqrt(r["count"] / most))) for r in sorted(counted)}
 
 
 def pattern(weights: dict[str, int]) -> list[str]:
     """One round of sum(weights) slots: the stream of each, by earliest deadline first."""
     total = sum(weights.values())
     done = dict.fromkeys(weights, 0)
+    later = [(0, s) for s in weights]  # (release, stream)
+    heapq.heapify(later)
+    ready: list[tuple[int, str]] = []  # (deadline, stream)
     out = []
     for slot in range(total):
-        ready = [s for s, n in weights.items() if done[s] < n and done[s] * total // n <= slot]
-        pick = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), s))
+        while later and later[0][0] <= slot:
+            _, s = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s))
+        _, pick = heapq.heappop(ready)
         done[pick] += 1
+        if done[pick] < weights[pick]:
+            heapq.heappush(later, (done[pick] * total // weights[pick], pick))
         out.append(pick)
     return out
 
@@ -68,7 +90,9 @@ def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
         live = {s: n // divisor for s, n in live.items()}
         round_ = pattern(live)
         period = len(round_)
-        slots = {s: [k for k, x in enumerate(round_) if x == s] for s in live}
+        slots: dict[str, list[int]] = {s: [] for s in live}
+        for k, s in enumerate(round_):
+            slots[s].append(k)
         last = {s: (n - 1) // live[s] * period + slots[s][(n - 1) % live[s]] for s, n in left.items()}
         end = min(last.values()) + 1  # slots of this phase
         for s, n in list(left.items()):

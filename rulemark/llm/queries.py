@@ -37,10 +37,6 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "n_tokens", F.sha2("decimals", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-#: Target weights of the sources, of 100; all that are not named share the last.
-WEIGHTS = {"src0": 20, "src1": 12, "src2": 8, "src3": 5, mixing.OTHER: 55}
-
-
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a file ``<source>/<doc_id>``; sources are the directories."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), "text")
@@ -49,7 +45,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, WEIGHTS)
+    return mixing.mix(docs, mixing.tempered_weights(docs))
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,33 @@ def test_mix_keeps_all_rows(docs, rows):
     assert mixing.mixed(docs.limit(0), {mixing.OTHER: 1}).count() == 0
 
 
+def test_every_source_has_its_own_stream(spark, tmp_path):
+    """Whatever the names: while all sources run, each is less than one block off the share its weight gives."""
+    sizes = {"hot": 900, "mid": 225, "small": 100, "tiny": 9, None: 60}
+    rows = [(k, "t", "en", s, 1) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    weights = mixing.tempered_weights(docs)
+    assert weights == {"hot": 16, "mid": 8, "small": 5, "tiny": 2, mixing.OTHER: 4}
+    out = queries.op5_mixing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(r["stream"] == (r["source"] or mixing.OTHER) for r in out)
+    at = {r["slot"]: r["stream"] for r in out}
+    ends = min(max(k for k, s in at.items() if s == name) for name in weights)
+    order = [at[k] for k in range(ends + 1)]
+    for name, n in weights.items():
+        assert all(abs(order[:t].count(name) - t * n / 35) < 1 for t in range(ends + 2))
+    assert mixing.tempered_weights(docs.limit(0)) == {mixing.OTHER: 1}
+
+
+def test_pattern_is_earliest_deadline_first():
+    for weights in ({"a": 1, "*": 1}, {"a": 20, "b": 12, "c": 8, "d": 5, "*": 55}, {f"s{k}": 1 + k % 5 for k in range(40)}):
+        total, done = sum(weights.values()), dict.fromkeys(weights, 0)
+        for slot, got in enumerate(mixing.pattern(weights)):
+            ready = [s for s, n in weights.items() if done[s] < n and done[s] * total // n <= slot]
+            assert got == min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), s))
+            done[got] += 1
+
+
 def test_top_k(spark):
     rng = random.Random(7)
     vectors = [(k, [rng.choice([-0.5, 0.25, 0.1, 1.5]) for _ in range(5)]) for k in range(130)]
