@@ -74,19 +74,32 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when(F.length(quote) > 0, ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("int")).otherwise(0)
 
 
-def quoted(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str, words: int = 4) -> DataFrame:
-    """(doc, item, char_start, n): documents that contain a quote, by its first words.
+#: A word of a quote's key: letters and digits only, so that brackets, quotation marks and full stops part words.
+WORD = r"[\p{L}\p{N}]+"
+
 
-    The quote's first ``words`` words are a key that the document's word runs are
-    joined on, so documents and quotes meet by equality and only likely pairs are
-    compared. Quotes of fewer words are not looked for.
+def quoted(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str, words: int = 4) -> DataFrame:
+    """(doc, item, char_start, n): documents that contain a quote, whatever stands around it.
+
+    A quote's words that touch neither its start nor its end are whole words of
+    any text that contains it. The first run of them, ``words`` at most, is a key
+    that the document's word runs of that length are joined on, so documents and
+    quotes meet by equality and only likely pairs are compared. Quotes without
+    such a word (of one or two words, mostly) are compared with every document.
+    Empty quotes are not looked for.
     """
-    first = lambda c: F.array_join(F.slice(F.split(F.trim(c), r"\s+"), 1, words), " ")
-    q = quotes.select(F.col(item), F.col(quote).alias("_q"), first(F.col(quote)).alias("_key"), (F.size(F.split(F.trim(F.col(quote)), r"\s+")) >= words).alias("_long")).where("_q IS NOT NULL AND trim(_q) <> ''")
-    # Every run of that many words, taken in order by one pattern.
-    solid = F.regexp_replace(F.trim(F.col(text)), r"\s+", " ")
-    runs = F.array_distinct(F.regexp_extract_all(solid, F.lit("(?=((?:[^ ]++ ){%d}[^ ]++))[^ ]++" % (words - 1)), 1))
-    keyed = docs.select(doc, F.explode(runs).alias("_key")).join(q.where("_long").select(item, "_key").distinct(), "_key").select(doc, item).distinct()
-    likely = keyed.join(docs.select(doc, F.col(text).alias("_t")), doc).join(q.select(item, "_q"), item)
-    hit = likely.where(F.contains("_t", "_q"))
-    return hit.select(doc, item, (F.position(F.col("_q"), F.col("_t")) - 1).alias("char_start"), occurrences(F.col("_t"), F.col("_q")).alias("n"))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), 1)
+    q = quotes.select(F.col(item), F.col(quote).alias("_q")).where("_q <> ''")
+    at_start, at_end = (F.col("_q").rlike(r).cast("int") for r in (r"\A[\p{L}\p{N}]", r"[\p{L}\p{N}]\z"))
+    inner = F.slice(tokens(F.col("_q")), at_start + 1, F.greatest(F.size(tokens(F.col("_q"))) - at_start - at_end, F.lit(0)))
+    q = q.withColumn("_inner", F.slice(inner, 1, words)).withColumn("_size", F.size("_inner")).withColumn("_key", F.array_join("_inner", " "))
+    sizes = sorted(r[0] for r in q.where("_size > 0").select("_size").distinct().collect())  # ``words`` rows at most
+    # Every run of those lengths, taken in order.
+    t = docs.select(doc, tokens(F.col(text)).alias("_w")) if sizes else docs.select(doc, F.array().cast("array<string>").alias("_w"))
+    run = lambda m: F.when(F.size("_w") >= m, F.transform(F.sequence(F.lit(1), F.size("_w") - (m - 1)), lambda i: F.array_join(F.slice("_w", i, m), " "))).otherwise(F.array())
+    runs = F.array_distinct(F.flatten(F.array(*(run(m) for m in sizes)))) if sizes else F.col("_w")
+    keyed = t.select(doc, F.explode(runs).alias("_key")).join(q.where("_size > 0").select(item, "_key").distinct(), "_key").select(doc, item).distinct()
+    texts = docs.select(doc, F.col(text).alias("_t"))
+    hit = keyed.join(texts, doc).join(q.where("_size > 0").select(item, "_q"), item).where(F.contains("_t", "_q")).select(doc, item, "_t", "_q")
+    short = texts.join(q.where("_size = 0").select(item, "_q"), F.contains("_t", "_q")).select(doc, item, "_t", "_q")
+    return hit.unionByName(short).select(doc, item, (F.position(F.col("_q"), F.col("_t")) - 1).alias("char_start"), occurrences(F.col("_t"), F.col("_q")).alias("n"))

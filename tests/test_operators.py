@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rulemark.functions import identifiers as ids
 from rulemark.functions.text import numbers_in
-from rulemark.operators import joins, prices, rules, sampling, store
+from rulemark.operators import documents, joins, prices, rules, sampling, store
 from rulemark.sources import readers
 
 D0, D1 = dt.date(2020, 3, 31), dt.date(2020, 6, 30)
@@ -137,3 +137,13 @@ def test_intake_appends_once(spark, tmp_path):
     spark.createDataFrame([("u2", "h2"), ("u3", "h3")], "url string, sha string").write.mode("append").json(src)
     intake(spark, src, out, mark, "url string, sha string", ["url", "sha"]).awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["u1", "u2", "u3"]
+
+
+def test_quotes_of_any_length_and_surrounding(spark):
+    """Against plain containment: short quotes, and ones beside brackets, quotation marks and full stops."""
+    texts = ["He said (the cost of carry is high), twice.", "“the cost of carry” is high; part of it: 80% of x", "The Fund may\tnot borrow.", "a  b c d e, f", "état civil — 日本語", "", None, "the cost of carry the cost of carry"]
+    quotes = ["the cost of carry", "the cost of carry is", "cost", "art of", "(the", "%", "80% of x", "may\tnot", "may not", "b c d e", "b c d e,", "tat", "日本", " of ", "e, f", "cost of", "", None, "carry is high), twice."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
+    got = {(r["doc_id"], r["item_id"]): (r["char_start"], r["n"]) for r in documents.quoted(docs, items, "doc_id", "text", "item_id", "quote").collect()}
+    assert got == {(d, i): (t.index(q), t.count(q)) for d, t in enumerate(texts) for i, q in enumerate(quotes) if t and q and q in t}
