@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows in one Arrow batch handed to Python: bounds a worker's memory, as texts may be long.
 ARROW_ROWS = 1024
@@ -34,55 +31,74 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that spark.checkpoint.dir names.
-
-    That folder is shared on a cluster; only where it is unset (tests on one
-    machine) a folder of the session's warehouse takes its place.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables; gone when the driver's JVM ends."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = context._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    folder = f"{root.rstrip('/')}/rulemark-{context.applicationId}"
+    if folder not in _KNOWN:
+        _KNOWN.add(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
-def crc_mod(column: str, n: int):
-    """crc32 of the column's text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+_KNOWN: set[str] = set()
 
 
-#: Slots of the filter below: a fixed size, 1 MB as bytes.
-SLOTS = 1 << 20
+class Store:
+    """Intermediate tables of one job, as zstd Parquet below the folder that spark.checkpoint.dir names.
 
+    A table cuts the lineage as a checkpoint does, survives lost executors, is read
+    by columns, and goes as soon as ``drop`` is told, not when garbage is collected.
+    Where spark.checkpoint.dir is unset (tests on one machine), a folder beside the
+    warehouse takes its place.
+    """
 
-def likely(df: DataFrame, keys: list[str], wanted: DataFrame, flag: str | None = None) -> DataFrame:
-    """df less most rows whose keys are not in ``wanted`` (same column names).
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str, str | None]] = {}
+
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df, written and read again; with ``by`` in one bucket a shuffle partition, so that joins on it move no row of it."""
+        name = f"rulemark_{uuid.uuid4().hex}"
+        path = f"{_folder(self.spark)}/{name}"
+        writer = df.write.option("compression", "zstd")
+        if by:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer.bucketBy(parts, by).option("path", path).format("parquet").saveAsTable(name)
+            out = self.spark.table(name)
+        else:
+            writer.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path, name if by else None)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes the tables behind frames that ``put`` returned; nothing may read them any more."""
+        context = self.spark.sparkContext
+        for frame in frames:
+            _, path, table = self.paths.pop(id(frame))
+            if table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
-    A bitmap of key hashes, of fixed size, spares a following join the shuffle of
-    rows that cannot match; rows it lets through in error, that join drops. With
-    ``flag`` no row goes: that boolean column is false where a row surely matches none.
-    """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-    there = np.zeros(SLOTS, bool)
-    there[[r[0] for r in wanted.select(slot.alias("s")).distinct().collect()]] = True  # SLOTS rows at most
-    name = flag or fresh(df, "slot")[0]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = pa.array(there[batch.column(batch.num_columns - 1).to_numpy()])
-            if flag:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hit], names=batch.schema.names)
-            else:
-                kept = batch.filter(hit)
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, as a table that stays until the application ends."""
+    return Store(df.sparkSession).put(df)
+
 
-    schema = T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())]) if flag else df.schema
-    return df.withColumn(name, slot).mapInArrow(work, schema)
+def crc_mod(column: str, n: int):
+    """crc32 of the column's text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle and checkpoint files of frames that are no longer referred to."""
+    """Lets Spark drop shuffle files of frames that are no longer referred to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -5,23 +5,28 @@ set form one class, whose first line, by (document id, text hash, line number),
 stands for it. Two classes match when the Jaccard similarity of their sets
 reaches ``percent`` / 100. A line goes when an earlier line has its set or
 matches it, whether that earlier line stays or not; so the result does not
-depend on the order of work.
+depend on the order of work. A class is told by 128 bits: sums over its words of
+two independent hashes of their bytes.
 
 Words are put in order of rarity, by corpus counts in hash buckets (any one order
 keeps the filters exact, the counts make the prefixes rare). Sets that match
 share a word in the first n - ceil(t n) + 1: those prefixes are joined by word,
-with the length filter, the positional filter and a bound from the sets' 64-bit
-bitmaps inside the join, and pairs that pass are verified on the lines themselves.
+less the words that stand in one line only, with the length filter, the
+positional filter and a bound from parity bitmaps inside the join. Wider bitmaps
+follow, and pairs that pass are verified on the lines' own words.
 
 A line varied in thousands of copies would make millions of pairs, though each
-needs only one earlier match. So classes first meet the earliest class of equal
-minimum word hash; those that find their match there only remain as partners,
+needs only one earlier match. So classes first meet the earliest class of each
+word of their prefix; those that find their match there only remain as partners,
 and the exact join looks for the rest.
 
 Lines too short to match any but their own set (fewer than four words at 80 %)
 take no part in the joins: their class's first line stays, all later ones go, by
 an aggregation by class alone.
 
+The table of classes, a line of text each, is written in buckets of the class, so
+lines of candidate pairs are found without moving it.
+
 Defined results: null and empty texts have no lines; lines without a word stay,
 and so do lines of fewer than ``min_words`` distinct words (the queries pass 1,
 so that no line with a word is exempt); rows equal in id and text count as one
@@ -37,19 +42,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rulemark.llm import textbatch as tb
-from rulemark.llm.frames import cut, fresh, likely, sweep
+from rulemark.llm.frames import Store, cut, fresh, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Buckets of the rarity counts: a fixed size.
-BUCKETS = 1 << 16
-#: Places in a prefix that an index entry can tell: no line has as many distinct words.
-POSITIONS = 1 << 24
-#: Columns of the wide parity sketch.
-WORDS = [f"p{k}" for k in range(8)]
+#: Buckets of the rarity counts: a fixed size, a byte each where tasks use them.
+BUCKETS = 1 << 22
+#: 64-bit words of a line's wide parity bitmap.
+WIDE = [f"b{k}" for k in range(4)]
 LAST = (1 << 63) - 1
 KEY = ("did", "th", "line_no")
 
@@ -59,29 +61,34 @@ def line_set(line: str) -> set[str]:
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Word hashes of a batch, each word's line and text, and each line's number in its text."""
+    """Two hashes of every word of a batch, each word's line and text, and of each line its start, end and number in its text."""
     data, offsets = tb.buffers(column)
     newline = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], newline + 1]))
     data = tb.lower_ascii(data)
     s, e, text_of = tb.words(data, offsets)
     line = np.searchsorted(starts, s, "right") - 1
-    hashes = tb.word_hashes(data, s, e)
     # A line's number: newlines between its text's start and its own.
     own = np.searchsorted(offsets, starts, "right") - 1
     number = np.searchsorted(newline, starts, "left") - np.searchsorted(newline, offsets[np.minimum(own, len(offsets) - 2)], "left")
-    return hashes, line, text_of, number
+    return tb.word_hashes(data, s, e), tb.word_hashes(data, s, e, tb.OTHER_BASE), line, text_of, number
+
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(42)).astype(np.int64)
 
-def _ordered(hashes: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+
+def _ordered(hashes: np.ndarray, line: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Positions of the distinct words of every line, rarest first, lines in order."""
-    bucket = rank[(hashes >> np.uint64(48)).astype(np.int64)]
     if not len(line):
         return np.zeros(0, np.int64)
+    rank = level[_bucket(hashes)].astype(np.uint64)
     dense = np.cumsum(np.append(0, line[1:] != line[:-1]))
-    key = (dense.astype(np.uint64) << np.uint64(44)) | (bucket << np.uint64(28)) | ((hashes >> np.uint64(20)) & np.uint64((1 << 28) - 1))
-    # 20 bits for the line, as many as blocks of text have; a longer text sorts by the parts.
-    by = np.argsort(key, kind="stable") if dense[-1] < 1 << 20 else np.lexsort((hashes, bucket, dense))
+    key = (dense.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+    by = np.argsort(key, kind="stable")
+    tied = (key[by][1:] == key[by][:-1]) & (hashes[by][1:] != hashes[by][:-1])
+    if tied.any() or dense[-1] >= 1 << 24:
+        by = np.lexsort((hashes, hashes & np.uint64(0xFFFFFFFF), rank, dense))
     keep = np.ones(len(by), bool)
     keep[1:] = (hashes[by][1:] != hashes[by][:-1]) | (line[by][1:] != line[by][:-1])
     return by[keep]
@@ -92,8 +99,8 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def _word_counts(rows: DataFrame) -> np.ndarray:
-    """How often words of each hash bucket stand in the corpus's lines."""
+def _levels(rows: DataFrame) -> np.ndarray:
+    """Rarity of each hash bucket, a byte: four times the binary logarithm of how often its words stand in the corpus's lines."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -101,180 +108,162 @@ def _word_counts(rows: DataFrame) -> np.ndarray:
             for part in tb.pieces(batch):
                 data, offsets = tb.buffers(part.column("text"))
                 data = tb.lower_ascii(data)
-                hashes = tb.word_hashes(data, *tb.words(data, offsets)[:2])
-                total += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount(_bucket(tb.word_hashes(data, *tb.words(data, offsets)[:2])), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    counted = rows.select("text").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    for r in counted.collect():  # BUCKETS rows at most
-        out[r["bucket"]] = r["n"]
+    counted = rows.select("text").mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
+    # BUCKETS rows of five bytes at most; a bucket that is not told has one word at most.
+    got = counted.select("bucket", F.floor(4 * F.log2("n")).cast("short").alias("level")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[got.column("bucket").to_numpy()] = got.column("level").to_numpy()
     return out
 
 
-def _lines(rows: DataFrame, counts: np.ndarray, percent: int, min_words: int, full: bool = True) -> DataFrame:
-    """Every line of min_words distinct words or more: key and class; in full also size, bitmap, minima, prefix."""
-    rank = np.empty(BUCKETS, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+def _lines(rows: DataFrame, level: np.ndarray, percent: int, min_words: int) -> DataFrame:
+    """Every line of min_words distinct words or more: class, key, size, bitmap, prefix (its first place and its words), the line."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.pieces(batch):
-                hashes, line, text_of, number = _hashed(part.column("text"))
+                first_hash, second, line, text_of, number = _hashed(part.column("text"))
                 if not len(line):
                     continue
-                by = _ordered(hashes, line, rank)
-                word, line, text_of = hashes[by], line[by], text_of[by]
+                by = _ordered(first_hash, line, level)
+                word, other, line, text_of = first_hash[by], second[by], line[by], text_of[by]
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 size = np.diff(np.append(first, len(line)))
                 ok = size >= min_words
-                cls = tb.mix(np.add.reduceat(tb.mix(word), first) + size.astype(np.uint64))
+                if not ok.any():
+                    continue
+                told = [tb.mix(np.add.reduceat(tb.mix(h), first) + size.astype(np.uint64)) for h in (word, other)]
+                slot = tb.mix(word + np.uint64(7)) >> np.uint64(56)
+                bit = np.uint64(1) << (slot & np.uint64(63))
+                bits = [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == np.uint64(k), bit, np.uint64(0)), first) for k in range(len(WIDE))]
+                place = np.arange(len(line)) - np.repeat(first, size)
+                # Words that stand in one line of the corpus come first and match nothing.
+                alone = np.add.reduceat((level[_bucket(word)] == 0).astype(np.int64), first)
+                prefix = size - (percent * size + 99) // 100 + 1
+                skip = np.minimum(alone, prefix)
+                inside = (place < np.repeat(prefix, size)) & (place >= np.repeat(skip, size)) & np.repeat(ok, size)
+                tokens = (word[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((prefix - skip)[ok])).astype(np.int32)), pa.array(tokens))
                 of = pa.array(text_of[first][ok])
-                columns = [part.column("did").take(of), part.column("th").take(of), pa.array(number[line[first]][ok].astype(np.int32)), pa.array(cls[ok].astype(np.int64))]
-                if full:
-                    place = np.arange(len(line)) - np.repeat(first, size)
-                    prefix = size - (percent * size + 99) // 100 + 1
-                    bits = np.bitwise_xor.reduceat(np.uint64(1) << (tb.mix(word + np.uint64(7)) >> np.uint64(58)), first)
-                    # Minima over the rarer half only: a common word would gather lines that share little.
-                    rarer = place < np.repeat((size + 1) // 2, size)
-                    minima = [np.minimum.reduceat(np.where(rarer, tb.mix(word + np.uint64(k)), np.uint64(2**64 - 1)), first) for k in (11, 13)]
-                    inside = (place < np.repeat(prefix, size)) & np.repeat(ok, size)
-                    tokens = (word[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(prefix[ok])).astype(np.int32)), pa.array(tokens))
-                    columns += [pa.array(size[ok].astype(np.int32)), *(pa.array(x[ok].astype(np.int64)) for x in (bits, *minima)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "cls", *(("n", "bits", "m1", "m2", "prefix") if full else ())])
-
-    return rows.mapInArrow(work, "did long, th long, line_no int, cls long" + ", n int, bits long, m1 long, m2 long, prefix array<int>" * full)
-
-
-def _wanted(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The lines of ``keys`` with their text."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.pieces(batch):
-                split = [t.split("\n") for t in part.column("text").to_pylist()]
-                of = pa.array(np.repeat(np.arange(len(split)), [len(x) for x in split]))
-                number = pa.array([k for x in split for k in range(len(x))], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("did").take(of), part.column("th").take(of), number, pa.array([line for x in split for line in x], pa.string())], names=[*KEY, "line"])
-
-    texts = likely(rows, ["did", "th"], keys)
-    lines = texts.mapInArrow(work, "did long, th long, line_no int, line string")
-    return likely(lines, list(KEY), keys).join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY))
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, line) to (cls, number of distinct words, parities of the words on 512 bits)."""
-    for batch in batches:
-        for part in tb.pieces(batch, "line"):
-            data, offsets = tb.buffers(part.column("line"))
-            data = tb.lower_ascii(data)
-            s, e, of = tb.words(data, offsets)
-            hashes = tb.word_hashes(data, s, e)
-            by = np.lexsort((hashes, of))
-            hashes, of = hashes[by], of[by]
-            keep = np.ones(len(by), bool)
-            keep[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-            hashes, of = hashes[keep], of[keep]
-            wide = 64 * len(WORDS)
-            slot = of * wide + (tb.mix(hashes + np.uint64(17)) % np.uint64(wide)).astype(np.int64)
-            bits = (np.bincount(slot, minlength=part.num_rows * wide) & 1).astype(np.uint8).reshape(part.num_rows, wide)
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            columns = [part.column("cls"), pa.array(np.bincount(of, minlength=part.num_rows)), *(pa.array(np.ascontiguousarray(w)) for w in packed.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", *WORDS])
-
-
-def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, the later class (cls) of each pair that matches."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    places = cut(likely(classes.select("cls", "k.*"), ["cls"], nodes).join(nodes, "cls", "left_semi"))
-    texts = cut(_wanted(rows, places.select(*KEY)).join(places, list(KEY)).select("cls", F.struct(*KEY).alias("k"), "line"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set] = {}
-        for batch in batches:
-            good = []
-            for a, x, c, y in zip(*(batch.column(n).to_pylist() for n in ("a", "x", "b", "y")), strict=True):
-                if c not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[c] = line_set(y)
-                s, t = line_set(x), known[c]
-                both = len(s & t)
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    good.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["cls"])
-
-    # Wider parity sketches of the wanted lines come first: texts are shuffled for likely pairs only.
-    sketches = cut(texts.select("cls", "line").mapInArrow(_sketched, f"cls long, n long, {', '.join(f'{w} long' for w in WORDS)}"))
-    told = lambda c: sketches.select(F.col("cls").alias(c), F.struct("n", *WORDS).alias(f"s{c}"))
-    pairs = pairs.join(told("a"), "a").join(told("b"), "b")
-    total = F.col("sa.n") + F.col("sb.n")
-    apart = sum((F.bit_count(F.col(f"sa.{w}").bitwiseXOR(F.col(f"sb.{w}"))) for w in WORDS), F.lit(0))
-    pairs = pairs.where(apart <= total - 2 * F.ceil(total * percent / (100 + percent))).select("a", "b")
-
-    side = lambda c, k, t: texts.select(F.col("cls").alias(c), F.col("k").alias(k), F.col("line").alias(t))
-    both = pairs.join(side("a", "ka", "x"), "a").join(side("b", "kb", "y"), "b")
-    # a stands for the later line from here on.
-    late = F.col("ka") > F.col("kb")
-    both = both.select(*(F.when(late, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("x", "y"))), *(F.when(late, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("b", "a"), ("y", "x"))))
-    return cut(both.mapInArrow(work, "cls long").distinct())
+                split = [t.split("\n") if t else [""] for t in part.column("text").to_pylist()]
+                texts = pa.array([split[t][k] for t, k in zip(text_of[first][ok].tolist(), number[line[first]][ok].tolist(), strict=True)], pa.string())
+                columns = [*(pa.array(x[ok].view(np.int64)) for x in told), part.column("did").take(of), part.column("th").take(of), pa.array(number[line[first]][ok].astype(np.int32)), pa.array(size[ok].astype(np.int32))]
+                columns += [*(pa.array(x[ok].view(np.int64)) for x in bits), pa.array(skip[ok].astype(np.int32)), lists, texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", *KEY, "n", *WIDE, "skip", "prefix", "line"])
+
+    return rows.mapInArrow(work, f"c1 long, c2 long, did long, th long, line_no int, n int, {', '.join(f'{b} long' for b in WIDE)}, skip int, prefix array<int>, line string")
+
+
+def _most_apart(x: Column, y: Column, percent: int) -> Column:
+    """How many words two sets of these sizes may not share, at most, to match."""
+    return x + y - 2 * F.ceil((x + y) * percent / (100 + percent))
+
+
+def _words_of(line: str) -> Column:
+    upper, lower = ("".join(map(chr, range(a, a + 26))) for a in (65, 97))
+    return F.array_distinct(F.array_remove(F.split(F.translate(line, upper, lower), r"[\x20\x09-\x0D]+"), ""))
+
+
+def _settled(store: Store, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) of classes (c1), the later class (s1, s2) of each pair that matches."""
+    pairs = store.put(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    lines = store.put(classes.join(nodes, F.col("c1") == F.col("node"), "left_semi").select("c1", "c2", F.struct(*KEY).alias("k"), "n", *WIDE, _words_of("line").alias("words")))
+    told = lambda c: lines.select(F.col("c1").alias(c), F.col("n").alias(f"n{c}"), *(F.col(b).alias(f"{b}{c}") for b in WIDE))
+    near = pairs.join(told("a"), "a").join(told("b"), "b")
+    apart = sum((F.bit_count(F.col(f"{b}a").bitwiseXOR(F.col(f"{b}b"))) for b in WIDE), F.lit(0))
+    near = near.where(apart <= _most_apart(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    side = lambda c: lines.select(F.col("c1").alias(c), F.struct("c1", "c2", "k", "words").alias(f"x{c}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("xa.words", "xb.words"))
+    matched = both.where(shared * 100 >= percent * (F.size("xa.words") + F.size("xb.words") - shared))
+    late = F.when(F.col("xa.k") > F.col("xb.k"), F.struct("xa.c1", "xa.c2")).otherwise(F.struct("xb.c1", "xb.c2")).alias("s")
+    out = store.put(matched.select(late).select(F.col("s.c1").alias("s1"), F.col("s.c2").alias("s2")).distinct())
+    store.drop(pairs, lines)
+    return out
 
 
-def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
-    """(did, th, line_no) of every line that goes."""
+def staying_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
+    """(did, th, stays): numbers of the lines of min_words distinct words or more that stay, for each document that has one."""
     spark = docs.sparkSession
+    store = Store(spark)
     rows = _rows(docs, doc_id, text)
-    counts = _word_counts(rows)
-    lines = _lines(rows, counts, percent, min_words)
-    classes = cut(lines.groupBy("cls").agg(F.min(F.struct(*KEY)).alias("k"), *(F.first(c).alias(c) for c in ("n", "bits", "m1", "m2", "prefix"))))
+    lines = _lines(rows, _levels(rows), percent, min_words)
+    first = lines.groupBy("c1", "c2").agg(F.min(F.struct(*KEY, "n", *WIDE, "skip", "prefix", "line")).alias("first"))
+    classes = store.put(first.select("c1", "c2", "first.*"), by="c1")
     sweep(spark)
     # n words at most share n of n + 1 with another set.
-    near = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-
-    def bounded(xn: Column, yn: Column, xb: Column, yb: Column) -> Column:
-        """The length filter, and the one by parity bitmaps: each bit that differs is a word not shared."""
-        total = xn + yn
-        apart = total - 2 * F.ceil(total * percent / (100 + percent))
-        return (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent) & (F.bit_count(xb.bitwiseXOR(yb)) <= apart)
-
-    def meet(m: str) -> DataFrame:
-        """Classes (a) with the earliest class (b) of equal minimum, where the two may match."""
-        hub = F.min(F.struct("k.did", "k.line_no", "cls", "n", "bits")).over(Window.partitionBy(m))
-        met = near.select("cls", "n", "bits", hub.alias("h")).where("cls <> h.cls")
-        return met.where(bounded(F.col("n"), F.col("h.n"), F.col("bits"), F.col("h.bits"))).select(F.col("cls").alias("a"), F.col("h.cls").alias("b"))
-
-    # First the earliest class of equal minimum, for each of two minima.
-    settled = _matched(meet("m1").unionByName(meet("m2")).distinct(), classes, rows, percent)
+    near = classes.where((F.col("n") * 100 >= (F.col("n") + 1) * percent) & (F.size("prefix") > 0))
+    bits = F.col(WIDE[0])
+    for b in WIDE[1:]:
+        bits = bits.bitwiseXOR(F.col(b))
+    near = near.select("c1", "c2", "did", "n", bits.alias("bits"), "skip", "prefix")
+
+    def entries(of: DataFrame) -> DataFrame:
+        more = [c for c in of.columns if c not in ("c2", "skip", "prefix")]
+        return of.select(*more, "skip", F.posexplode("prefix").alias("pos", "word")).select(*more, "word", (F.col("pos") + F.col("skip")).alias("pos"))
+
+    def close(x: str, y: str) -> Column:
+        """Filters of a pair by size, by the place of its first common word, and by parity bitmaps: each bit that differs is a word not shared."""
+        xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
+        need = F.ceil((xn + yn) * percent / (100 + percent))
+        fits = F.least(xn - F.col(f"{x}.pos"), yn - F.col(f"{y}.pos")) >= need
+        return (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent) & fits & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= _most_apart(xn, yn, percent))
+
+    # First the earliest class of each word.
+    one = entries(near).select("word", F.struct("did", "c1", "n", "pos", "bits").alias("x"))
+    hubs = one.groupBy("word").agg(F.min("x").alias("h"), F.max("x.c1").alias("most"), F.min("x.c1").alias("least")).where("least < most").select(F.col("word").alias("at"), "h")
+    met = one.join(hubs, (F.col("word") == F.col("at")) & (F.col("x.c1") != F.col("h.c1")) & close("x", "h"))
+    settled = _settled(store, met.select(F.col("x.c1").alias("a"), F.col("h.c1").alias("b")).distinct(), classes, percent)
     sweep(spark)
-    # Then the exact join for the classes without a match so far.
-    told = likely(near.select("cls", "k.did", "n", "bits", "prefix"), ["cls"], settled, "maybe")
-    done = settled.withColumn("done", F.lit(True))
-    checked = told.where("maybe").join(done, "cls", "left").withColumn("open", F.col("done").isNull()).drop("done", "maybe")
-    told = checked.unionByName(told.where("NOT maybe").drop("maybe").withColumn("open", F.lit(True)))
-    entries = told.select("cls", "did", "n", "bits", "open", F.posexplode("prefix").alias("pos", "word"))
-    entries = entries.select("word", "cls", "did", "bits", ((F.col("n").cast("long") * POSITIONS + F.col("pos")) * 2 + F.col("open").cast("int")).alias("packed")).repartition("word")
-    side = lambda t: entries.select(
-        "word", F.col("cls").alias(f"{t}_cls"), F.col("did").alias(f"{t}_did"), F.col("bits").alias(f"{t}_bits"), F.shiftright("packed", 25).alias(f"{t}_n"), F.shiftright("packed", 1).bitwiseAND(POSITIONS - 1).alias(f"{t}_pos"), (F.col("packed") % 2 == 1).alias(f"{t}_open")
-    )
-    x, y = side("x"), side("y")
-    need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
-    close = (
-        (F.col("x_cls") < F.col("y_cls"))
-        # Only a class that may be the later one and still lacks its match has need of the pair.
-        & ((F.col("x_open") & (F.col("x_did") >= F.col("y_did"))) | (F.col("y_open") & (F.col("y_did") >= F.col("x_did"))))
-        & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos") >= need)
-        & bounded(F.col("x_n"), F.col("y_n"), F.col("x_bits"), F.col("y_bits"))
-    )
-    pairs = x.join(y, (x["word"] == y["word"]) & close).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
-    settled = settled.unionByName(_matched(pairs, classes, rows, percent)).distinct()
+    # Then the exact join for the classes without a match so far: one of a pair may be the later and lacks its match.
+    told = near.join(settled, (F.col("c1") == F.col("s1")) & (F.col("c2").bitwiseXOR(F.col("s2")) == 0), "left").withColumn("open", F.col("s1").isNull()).drop("s1", "s2")
+    all_ = entries(told)
+    x = all_.select("word", F.struct("did", "c1", "n", "pos", "bits", "open").alias("x"))
+    y = all_.select(F.col("word").alias("at"), F.struct("did", "c1", "n", "pos", "bits", "open").alias("y"))
+    wanted = (F.col("x.open") & (F.col("x.did") >= F.col("y.did"))) | (F.col("y.open") & (F.col("y.did") >= F.col("x.did")))
+    pairs = x.join(y, (F.col("word") == F.col("at")) & (F.col("x.c1") < F.col("y.c1")) & wanted & close("x", "y"))
+    late = _settled(store, pairs.select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b")).distinct(), classes, percent)
     sweep(spark)
-    # A line stays only where it is its class's first and that has no earlier match; keys are unique, so no common line gathers rows.
-    stays = classes.select("cls", "k.*").join(settled, "cls", "left_anti").select(*KEY)
-    every = _lines(rows, counts, percent, min_words, full=False).select(*KEY).distinct()
-    return every.join(stays, list(KEY), "left_anti")
+    # A line stays only where it is its class's first and that has no earlier match.
+    gone = settled.union(late)
+    stays = classes.select("c1", "c2", *KEY).join(gone, (F.col("c1") == F.col("s1")) & (F.col("c2").bitwiseXOR(F.col("s2")) == 0), "left_anti")
+    out = cut(stays.groupBy("did", "th").agg(F.collect_list("line_no").alias("stays")))
+    store.drop(classes, settled, late)
+    return out
+
+
+def _judged(text: Column, min_words: int) -> Column:
+    """Numbers of the lines that are judged: those of min_words distinct words or more."""
+    split = F.split(text, "\n")
+    if min_words <= 1:
+        with_word = F.transform(split, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i))
+    else:
+        with_word = F.transform(split, lambda line, i: F.when(F.size(_words_of(line)) >= min_words, i))
+    return F.filter(with_word, lambda i: i.isNotNull())
+
+
+def marked(docs: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of docs (all, if None) and ``out``: the numbers of each row's lines that go."""
+    stays = staying_lines(docs, doc_id, text, percent, min_words)
+    did, th, judged, other_did, other_th, held = fresh(docs.withColumn(out, F.lit(0)), "did", "th", "judged", "other_did", "other_th", "stays")
+    stays = stays.select(F.col("did").alias(other_did), F.col("th").alias(other_th), F.col("stays").alias(held))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    names = docs.columns if keep is None else keep
+    told = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias(did), F.xxhash64(body).alias(th), _judged(body, min_words).alias(judged))
+    joined = told.join(stays, (F.col(did) == F.col(other_did)) & (F.col(th) == F.col(other_th)), "left")
+    return joined.select(*names, F.when(F.col(held).isNull(), F.col(judged)).otherwise(F.array_except(judged, held)).alias(out))
+
+
+def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
+    """(did, th, line_no) of every line that goes."""
+    rows = _rows(docs, doc_id, text)
+    found = marked(rows, "gone", "did", "text", percent, min_words, keep=["did", "th"])
+    return found.dropDuplicates(["did", "th"]).select("did", "th", F.explode("gone").alias("line_no"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", percent: int = 80, min_words: int = 5) -> DataFrame:
@@ -282,15 +271,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
 
     ``length``, where docs has that column, gets the new text's code points.
     """
-    did, th, gone, maybe = fresh(docs, "did", "th", "gone", "maybe")
-    goes = cut(later_lines(docs, doc_id, text, percent, min_words).groupBy("did", "th").agg(F.collect_set("line_no").alias("gone")))
-    goes = goes.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(gone))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    a = likely(docs.withColumns({did: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), th: F.xxhash64(body)}), [did, th], goes, maybe)
-    # Documents that surely lose nothing need no join.
-    rest = a.where(~F.col(maybe)).select(*docs.columns)
-    a = a.where(F.col(maybe)).join(goes, [did, th], "left")
+    (gone,) = fresh(docs, "gone")
+    a = marked(docs, gone, doc_id, text, percent, min_words)
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
-    changed = F.col(gone).isNotNull() & F.col(text).isNotNull()
+    changed = (F.size(gone) > 0) & F.col(text).isNotNull()
     size = {length: F.when(changed, F.length(kept).cast(docs.schema[length].dataType)).otherwise(F.col(length))} if length in docs.columns else {}
-    return a.withColumns({text: F.when(changed, kept).otherwise(F.col(text)), **size}).select(*docs.columns).unionByName(rest)
+    return a.withColumns({text: F.when(changed, kept).otherwise(F.col(text)), **size}).select(*docs.columns)

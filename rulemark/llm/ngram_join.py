@@ -1,31 +1,32 @@
 """Exact Jaccard self-join on word n-grams by partitioned universes.
 
-Documents with the same set of n-grams form one class first. Between classes the
-pigeonhole principle finds candidates: sets within one size band whose Jaccard
-similarity reaches the threshold differ in at most H elements, so when all
-possible elements are hashed into H + 1 segments, at least one segment of both
-sets is equal. Each set is indexed by its segments' contents in its own size
-band and the next (a partner is never farther). Empty segments would match far
-too much, so they are left out and paid for by reserved segments that are
-indexed with all their one-deletion neighbours, each of which covers a second
-difference; how many to reserve is the cheaper of their entries and of the
-matches that sets with still more empty segments would make (``reserve``). Sets
-with more empty segments than are reserved index those as well, so no pair is
-lost. Candidates are verified on the documents' n-grams themselves.
-
-Copies in a group share thousands of entries. Instead of all pairs in an entry,
-each member is compared with one hub; members already connected need no more
-comparing, and only members of different components of one entry are compared
-with further hubs or, when few pairs are left, with each other. That gives every
-connection between different texts without listing all pairs. Before any text is
-read, pairs must pass the size filter and a bound from parity sketches: a bit
-tells whether an odd number of elements fell on it, so every bit that differs
-between two sets stands for one element at least that they do not share.
+Documents with the same set of n-grams form one class first, told by 128 bits of
+the sorted elements. Between classes the pigeonhole principle finds candidates:
+sets within one size band whose Jaccard similarity reaches the threshold differ
+in at most H elements, so when all possible elements are hashed into H + 1
+segments, at least one segment of both sets is equal. A set that can differ from
+its own partners in fewer elements uses as many segments less, from the last
+back, so that any two partners use enough of the same. A set is indexed by its
+segments' contents in its size band, and in the next if a partner may lie there.
+Empty segments would match far too much, so they are left out and paid for by
+reserved segments that are indexed with all their one-deletion neighbours, each
+of which covers a second difference; how many to reserve is the cheaper of their
+entries and of the matches that sets with still more empty segments would make
+(``reserve``). Sets with more empty segments than are reserved index those as
+well, so no pair is lost. Candidates are verified on the documents' n-grams.
+
+Copies in a group share many entries. Instead of all pairs in an entry, each
+member is compared with one hub, the most alike of its hubs first; only members
+of one entry that are then still of different components are compared with each
+other, in blocks. That gives every connection between different texts without
+listing all pairs. Before any text is read, pairs must pass the size filter and
+a bound from parity sketches: a bit tells whether an odd number of elements fell
+on it, so every bit that differs stands for one element at least not shared.
 
 Defined results: null, empty and word-less texts have the empty set and are
 linked with nothing; texts of fewer than n words hold their whole sequence as
-one element; rows with one id count as one document; rows without an id take no
-part in linking and get a null component.
+one element; rows with one id count as one document, whatever texts they have;
+rows without an id take no part in linking and get a null component.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,18 +43,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulemark.llm import textbatch as tb
 from rulemark.llm.components import components
-from rulemark.llm.frames import cut, fresh, likely, sweep
+from rulemark.llm.frames import Store, cut, fresh, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Hub rounds before the pairs left over are compared one by one, however many.
-HUB_ROUNDS = 5
-#: Pairs a row of open entries up to which they are bounded one by one at once: a
-#: bound takes some nanoseconds, while a round of hubs takes several shuffles.
-PAIRS_A_ROW = 2000
+#: Members of an entry in one block, where many are still to be compared with each other.
+BLOCK = 256
+#: Classes that a task remembers, to tell the entries of copies once.
+SEEN = 100_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
@@ -73,30 +75,43 @@ class Bands:
     percent: int
     #: Sets a band may hold, for weighing entries against matches.
     expected: float = 1e9
+    #: A band spans this power of 1 / threshold.
+    width: int = 2
 
     @lru_cache(maxsize=None)  # noqa: B019  one small object lives as long as its worker
     def starts(self) -> np.ndarray:
         out = [1]
         while out[-1] < 1 << 40:
-            out.append(out[-1] * 100 // self.percent + 1)
+            start = out[-1]
+            for _ in range(self.width):
+                start = start * 100 // self.percent + 1
+            out.append(start)
         return np.array(out, np.int64)
 
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.starts(), size, "right")) - 1
 
+    def apart(self, total: int) -> int:
+        """The most elements that two matching sets of ``total`` elements together do not share."""
+        return total * (100 - self.percent) // (100 + self.percent)
+
     @lru_cache(maxsize=None)  # noqa: B019
     def plan(self, band: int) -> tuple[int, int]:
         """(segments, reserved ones) of a band; one segment means equal sets only."""
         low, high = int(self.starts()[band]), int(self.starts()[band + 1]) - 1
-        differences = 2 * high * (100 - self.percent) // (100 + self.percent)
-        m = differences + 1
+        m = self.apart(2 * high) + 1
         return m, self.reserve(low, m) if m > 1 else 0
 
+    def used(self, size: int, band: int) -> int:
+        """How many segments, from the last, a set of this size needs in a band's plan: more than any partner can break."""
+        high = int(self.starts()[band + 1]) - 1
+        return min(self.plan(band)[0], self.apart(size + min(size * 100 // self.percent, high)) + 1)
+
     def reserve(self, size: int, m: int) -> int:
         """Reserved segments at the lowest cost: their neighbours' entries, or matches of sets short of them."""
-        mean = m * math.exp(-size / m)
+        mean = min(m, self.apart(size + size * 100 // self.percent) + 1) * math.exp(-size / m)
         costs, chance, term = [], 1.0, math.exp(-mean)
-        for r in range(min(m, 6) + 1):
+        for r in range(min(m, 10) + 1):
             chance = max(0.0, chance - term)
             term *= mean / (r + 1)
             costs.append(self.expected * r * size / m + 100 * (self.expected * chance) ** 2 / m)
@@ -105,8 +120,10 @@ class Bands:
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """Index entries (64-bit) of a set of hashed elements."""
-    own, out = bands.of(len(elements)), []
-    for band in (own, own + 1):
+    size = len(elements)
+    own, out = bands.of(size), []
+    # A larger partner may lie in the next band.
+    for band in (own, own + 1) if size * 100 // bands.percent >= bands.starts()[own + 1] else (own,):
         m, reserved = bands.plan(band)
         if m < 2:
             continue
@@ -117,12 +134,14 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         np.add.at(total, segment, content)
         count = np.bincount(segment, minlength=m)
         tag = np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32)
+        first, held = m - bands.used(size, band), m - reserved
         emit = count > 0
-        if (~emit).sum() > reserved:
+        if (~emit[first:held]).sum() > reserved:
             emit[:] = True
-        emit[:reserved] = True
+        emit[held:] = True
+        emit[:first] = False
         out.append(tb.mix(tb.mix(total[emit]) + tag[emit] * np.uint64(0x9E3779B97F4A7C15)))
-        near = np.flatnonzero(segment < reserved)
+        near = np.flatnonzero(segment >= max(held, first))
         if len(near):
             s = segment[near]
             out.append(tb.mix(tb.mix(total[s] - content[near]) + tag[s] * np.uint64(0x9E3779B97F4A7C15)))
@@ -135,11 +154,15 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(slots, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
 
 
+def _apart(a: str, b: str):
+    """Bits that differ between the sketches of two struct columns: elements not shared, at least."""
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
+
+
 def near(a: str, b: str, percent: int):
     """Whether sets described by the struct columns a and b may reach the threshold."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
-    return (x * 100 >= y * percent) & (y * 100 >= x * percent) & (apart * (100 + percent) <= (x + y) * (100 - percent))
+    return (x * 100 >= y * percent) & (y * 100 >= x * percent) & (_apart(a, b) * (100 + percent) <= (x + y) * (100 - percent))
 
 
 def _hashed_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -163,109 +186,140 @@ def _hashed_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _profiles(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(id, text) to (id, n_elements, class, sketch words, entries)."""
+def _class(elements: np.ndarray) -> tuple[int, int]:
+    """A set's class: 128 bits of its sorted elements."""
+    return struct.unpack("<qq", hashlib.blake2b(elements.tobytes(), digest_size=16).digest())
+
+
+def _profiles(source: DataFrame, n: int) -> DataFrame:
+    """(id, th, text) to (id, th, n_elements, class, sketch words); the class is null for the empty set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.pieces(batch):
-                sizes, keys, entries, sketches = [], [], [], []
+                sets = list(_hashed_sets(part.column("text"), n))
+                told = [_class(s) if len(s) else (None, None) for s in sets]
+                words = np.array([sketch(s) for s in sets]).T
+                columns = [part.column("id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)), *(pa.array(w) for w in words)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "n_elements", "k1", "k2", *SKETCHES])
+
+    return source.mapInArrow(work, f"id long, th long, n_elements long, k1 long, k2 long, {', '.join(f'{w} long' for w in SKETCHES)}")
+
+
+def _entries(source: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """(entry, k1) of every class; a task tells a class it has just told no second time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in tb.pieces(batch):
+                keys, entries = [], []
                 for s in _hashed_sets(part.column("text"), n):
-                    sizes.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sketches.append(sketch(s))
-                    entries.append(signatures(s, bands).astype(np.int64) if len(s) else np.zeros(0, np.int64))
-                ends = np.append(0, np.cumsum([len(e) for e in entries]))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(entries)))
-                words = [pa.array(w) for w in np.array(sketches).T]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *words, lists], names=["id", "n_elements", "class", *SKETCHES, "entries"])
+                    if not len(s) or (key := _class(s)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    keys.append(key[0])
+                    entries.append(signatures(s, bands).view(np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries)), pa.array(np.repeat(np.array(keys, np.int64), [len(e) for e in entries]))], names=["entry", "k1"])
 
-    return docs.mapInArrow(work, f"id long, n_elements long, class binary, {', '.join(f'{w} long' for w in SKETCHES)}, entries array<long>")
+    return source.select("text").mapInArrow(work, "entry long, k1 long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold."""
+    """The pairs (a, b) of classes (k1) whose texts reach the threshold, as classes (a1, a2, b1, b2)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set] = {}
+        last, held = None, set()
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                if b not in known:
-                    if len(known) > 16:
-                        known.clear()
-                    known[b] = element_set(y, n)
-                s, t = element_set(x, n), known[b]
-                both = len(s & t)
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+            good = []
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                if y != last:
+                    last, held = y, element_set(y, n)
+                s = element_set(x, n)
+                both = len(s & held)
+                if 100 * both >= percent * (len(s) + len(held) - both):
+                    good.append(k)
+            yield batch.select(["a1", "a2", "b1", "b2"]).take(pa.array(good, pa.int64()))
+
+    one = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("text").alias("x"))
+    two = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("text").alias("y"))
+    both = pairs.join(one, F.col("a") == F.col("a1")).join(two, F.col("b") == F.col("b1"))
+    return both.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(work, "a1 long, a2 long, b1 long, b2 long")
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(<doc_id>, n_shingles, component_id) of every row; see the module's text."""
-    bands = Bands(percent)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    profiles = cut(_profiles(source, n, bands))
-    members = profiles.where(F.col("class").isNotNull() & F.col("id").isNotNull())
-    # One row a class; the smallest id stands for it. All else is a function of the class.
-    heads = cut(members.groupBy("class").agg(F.min("id").alias("rep"), F.struct(F.first("n_elements").alias("n"), *(F.first(w).alias(w) for w in SKETCHES)).alias("set")))
-    # Rows of one id are one document: its classes connect.
-    same_id = members.select("class", "id").distinct().join(heads, "class").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    first = members.groupBy("class").agg(F.min("id").alias("rep"), F.first("entries").alias("entries"))
-    shared = first.select("rep", F.explode("entries").alias("entry")).repartition("entry")
-    # Entries of two classes or more, each with its smallest member for a hub.
-    shared = shared.join(shared.groupBy("entry").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last"), "entry").select("entry", "rep", "hub")
-    open_ = cut(shared)
-    del shared, first
-    sweep(docs.sparkSession)
-    nodes = open_.select(F.col("rep").alias("id")).distinct()
-    texts = cut(likely(source.where("id IS NOT NULL"), ["id"], nodes).join(nodes, "id", "left_semi"))
-    sets = heads.groupBy("rep").agg(F.first("set").alias("set"))
-    sets = cut(sets.join(nodes, F.col("rep") == F.col("id"), "left_semi"))
+    spark, bands = docs.sparkSession, Bands(percent)
+    store = Store(spark)
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = source.select("id", F.xxhash64("text").alias("th"), "text")
+    profiles = cut(_profiles(source, n))
+    members = profiles.where(F.col("k1").isNotNull() & F.col("id").isNotNull())
+    # One row a class: its smallest id, and a text of that id.
+    heads = members.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("n_elements", *SKETCHES)))
+    heads = store.put(heads.select("k1", "k2", F.col("at.id").alias("rep"), F.col("at.th").alias("th"), F.struct(F.col("n_elements").alias("n"), *SKETCHES).alias("set")))
+    shared = _entries(source.where("id IS NOT NULL"), n, bands)
+    by = Window.partitionBy("entry")
+    shared = shared.select("entry", "k1", F.min("k1").over(by).alias("hub"), F.max("k1").over(by).alias("last")).where("hub < last")
+    # Entries of two classes or more, each with its smallest class for a hub.
+    opened = store.put(shared.select("entry", "k1", "hub"))
+    del shared
+    sweep(spark)
+    side = lambda k, c: heads.select(F.col("k1").alias(k), F.col("set").alias(c))
+    bounded = lambda pairs: pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that pass the bounds, then those of them whose texts match."""
-        x, y = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
-        return cut(_verified(pairs.distinct().join(x, "a").join(y, "b").where(near("x", "y", percent)).select("a", "b"), texts, n, percent))
-
-    links = verified(open_.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    open_ = open_.select("entry", "rep")
-    for turn in range(1, HUB_ROUNDS + 1):
-        found = cut(components(links))
-        at = open_.join(found, F.col("rep") == F.col("node"), "left").select("entry", "rep", F.coalesce("component", "rep").alias("part"))
-        # Only entries of several components are still open, and those of equal members count once.
-        state = at.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.count("*").alias("n"))
-        state = state.where("low < high").groupBy("members", "n").agg(F.min("entry").alias("entry")).select("entry")
-        at = cut(at.join(state, "entry"))
-        open_ = at.select("entry", "rep")
-        sweep(docs.sparkSession)
-        per = at.groupBy("entry", "part").agg(F.count("*").cast("double").alias("k")).groupBy("entry").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not left["pairs"]:
-            break
-        last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or turn == HUB_ROUNDS
-        if last:
-            full = at.join(sets, "rep")
-            one, two = full.select("entry", F.col("rep").alias("a"), F.col("part").alias("p"), F.col("set").alias("x")), full.select("entry", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("set").alias("y"))
-            pairs = one.join(two, (one["entry"] == two["entry"]) & (F.col("p") != F.col("q")) & (F.col("a") > F.col("b")) & near("x", "y", percent)).select("a", "b")
-        else:
-            hub = at.groupBy("entry").agg(F.min_by(F.struct("rep", "part"), F.xxhash64("rep", F.lit(turn))).alias("h"))
-            pairs = at.join(hub, "entry").where("part <> h.part").select(F.greatest("rep", "h.rep").alias("a"), F.least("rep", "h.rep").alias("b"))
-        # What is connected already needs no more than a link to its component.
-        links = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(pairs))
-        if last:
-            break
-    final = components(links.unionByName(same_id))
-    out = profiles.select("id", "n_elements", "class").join(heads.select("class", "rep"), "class", "left")
+        """Links between the smallest ids of the classes of those pairs (a, b) whose texts match."""
+        pairs = store.put(pairs.distinct())
+        nodes = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+        wanted = heads.join(nodes, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("id"), "th")
+        texts = source.join(wanted, ["id", "th"]).groupBy("id", "th", "k1", "k2").agg(F.first("text").alias("text"))
+        texts = store.put(texts.select("k1", "k2", "text"))
+        found = _verified(pairs, texts, n, percent)
+        own = lambda k: heads.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k))
+        out = store.put(found.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).select("a", "b"))
+        store.drop(pairs, texts)
+        sweep(spark)
+        return out
+
+    def parts(links: DataFrame) -> DataFrame:
+        """(k1, part): the component of each class, told by its smallest id."""
+        found = heads.select("k1", "rep").join(components(links), F.col("rep") == F.col("node"), "left")
+        return found.groupBy("k1").agg(F.min(F.coalesce("component", "rep")).alias("part"))
+
+    # Rows of one id are one document: its classes connect.
+    links = members.join(heads.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    # Each class meets the most alike of its hubs first; that connects most of what is connected.
+    pairs = store.put(bounded(opened.where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b"))).select("a", "b", _apart("x", "y").alias("apart")))
+    links = store.put(links.union(verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))))
+    at = store.put(parts(links))
+    part = lambda k, p: at.select(F.col("k1").alias(k), F.col("part").alias(p))
+    split = pairs.join(part("a", "pa"), "a").join(part("b", "pb"), "b").where("pa <> pb").select("a", "b")
+    links = store.put(links.union(verified(split)))
+    store.drop(pairs, at)
+    # What is left are members of one entry that are of several components, none of them the hub's.
+    at = store.put(parts(links))
+    rest = opened.select("entry", "k1").join(at, "k1").join(heads.select("k1", "set"), "k1")
+    state = rest.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("members"), F.count("*").alias("n"))
+    # Entries of equal members count once; those of many members are compared in blocks, a pair of blocks a group.
+    state = state.where("low < high").groupBy("members", "n").agg(F.min("entry").alias("entry"))
+    rest = store.put(rest.join(state.select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "entry"))
+    own = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = rest.select("entry", own.alias("i"), every.alias("j"), F.col("k1").alias("a"), F.col("part").alias("p"), F.col("set").alias("x"))
+    two = rest.select("entry", every.alias("i"), own.alias("j"), F.col("k1").alias("b"), F.col("part").alias("q"), F.col("set").alias("y"))
+    same = (one["entry"] == two["entry"]) & (one["i"] == two["i"]) & (one["j"] == two["j"])
+    met = one.join(two, same & (F.col("p") != F.col("q")) & (F.col("a") > F.col("b")) & near("x", "y", percent)).select("a", "b")
+    links = store.put(links.union(verified(met)))
+    store.drop(rest, at, opened)
+    final = components(links)
+    out = profiles.select("id", "n_elements", "k1", "k2").join(heads.select("k1", "k2", "rep"), ["k1", "k2"], "left")
     out = out.join(final, F.col("rep") == F.col("node"), "left")
     (name,) = fresh(docs.select(doc_id), "n_shingles")
-    own = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("n_elements").alias(name), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    return out.select(F.col("id").alias(doc_id), F.col("n_elements").alias(name), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

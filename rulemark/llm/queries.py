@@ -63,10 +63,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.later_lines(docs, min_words=1).groupBy("did").agg(F.count("*").alias("n_removed"), F.sum(F.xxhash64("line_no") % 1000003).alias("removed_check"))
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    joined = counts.join(gone, F.coalesce("doc_id", F.lit(line_dedup.LAST)) == F.col("did"), "left")
-    return joined.select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "removed_check")))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    found = line_dedup.marked(docs.withColumn("n_lines", lines), "gone", min_words=1, keep=["doc_id", "n_lines"])
+    check = F.aggregate("gone", F.lit(0).cast("long"), lambda a, i: a + F.xxhash64(i) % 1000003)
+    return found.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), check.alias("removed_check"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ are all above 0x7F, working on bytes splits exactly as working on code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
+#: Base of a second, independent hash.
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 #: Bytes hashed at a time; bounds the temporaries, whatever a text's length.
 HASH_BLOCK = 1 << 19
 #: Bytes of text that one pass of an operator works on, unless one text is longer.
@@ -91,26 +93,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans above this many bytes are hashed by a cryptographic hash: long strings can be built that collide as polynomials.
+POLYNOMIAL_BYTES = 256
+_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= HASH_BLOCK:
-        n = HASH_BLOCK
-    if n not in _POWERS:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(n, HASH_BLOCK)
+    if (n, base) not in _POWERS:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         made = np.cumprod(up), np.cumprod(down)
         if n > HASH_BLOCK:
             return made
-        _POWERS[n] = made
-    return _POWERS[n]
+        _POWERS[n, base] = made
+    return _POWERS[n, base]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, base: int = _BASE) -> list[np.ndarray]:
     """64-bit hashes of the bytes from each start to each end, the same wherever they stand.
 
     Starts and the last ends must ascend; the other ends lie before the last.
+    Hashes of another odd ``base`` are independent of these.
     """
     out = [np.empty(len(starts), np.uint64) for _ in ends]
     last, at = ends[-1], 0
@@ -118,7 +122,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(last, low + HASH_BLOCK, "right")))
         part = data[low : last[to - 1]].astype(np.uint64) + np.uint64(1)
-        up, down = _powers(len(part) + 1)
+        up, down = _powers(len(part) + 1, base)
         total = np.empty(len(part) + 1, np.uint64)
         total[0] = 0
         np.cumsum(part * up[: len(part)], out=total[1:])
@@ -128,12 +132,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list
             e = end[at:to] - low
             made[at:to] = mix((total[e] - before) * shift + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         at = to
+    for made, end in zip(out, ends, strict=True):
+        for k in np.flatnonzero(end - starts > POLYNOMIAL_BYTES):
+            made[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : end[k]], digest_size=8, key=base.to_bytes(8, "little")).digest(), "little")
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    return span_hashes(data, starts, ends)[0]
+    return span_hashes(data, starts, ends, base=base)[0]
 
 
 def windows(hashes: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
