@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python: bounds a worker's memory, as texts may be long.
-ARROW_ROWS = 1024
+#: Rows and bytes in one Arrow batch handed to Python: bound a worker's memory, as texts may be long.
+ARROW_ROWS = 1 << 14
+ARROW_BYTES = 4 << 20
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -25,10 +26,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the Arrow batch size of the session to ARROW_ROWS if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lowers the session's bounds of Arrow batches to ARROW_ROWS and ARROW_BYTES where they are larger."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -49,6 +52,11 @@ def _folder(spark: SparkSession) -> str:
 _KNOWN: set[str] = set()
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a table that ``Store.put`` writes by a column: the session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Store:
     """Intermediate tables of one job, as zstd Parquet below the folder that spark.checkpoint.dir names.
 
@@ -68,8 +76,14 @@ class Store:
         path = f"{_folder(self.spark)}/{name}"
         writer = df.write.option("compression", "zstd")
         if by:
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            writer.bucketBy(parts, by).option("path", path).format("parquet").saveAsTable(name)
+            # df must be dealt by this column already: a task writes one bucket, so rows need no sort by bucket.
+            key = "spark.sql.maxConcurrentOutputFileWriters"
+            before = self.spark.conf.get(key)
+            self.spark.conf.set(key, "8")
+            try:
+                writer.bucketBy(buckets(self.spark), by).option("path", path).format("parquet").saveAsTable(name)
+            finally:
+                self.spark.conf.set(key, before)
             out = self.spark.table(name)
         else:
             writer.parquet(path)

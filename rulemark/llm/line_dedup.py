@@ -11,14 +11,14 @@ two independent hashes of their bytes.
 Words are put in order of rarity, by corpus counts in hash buckets (any one order
 keeps the filters exact, the counts make the prefixes rare). Sets that match
 share a word in the first n - ceil(t n) + 1: those prefixes are joined by word,
-less the words that stand in one line only, with the length filter, the
-positional filter and a bound from parity bitmaps inside the join. Wider bitmaps
+less the words that stand in one line only, with the length filter (lists sorted by
+size), the positional filter and a bound from parity bitmaps. Wider bitmaps
 follow, and pairs that pass are verified on the lines' own words.
 
 A line varied in thousands of copies would make millions of pairs, though each
-needs only one earlier match. So classes first meet the earliest class of each
-word of their prefix; those that find their match there only remain as partners,
-and the exact join looks for the rest.
+needs only one earlier match. So of a class's candidates in a word's list the most
+alike are verified first; only classes that find no match there, and have further
+candidates, look at all of them.
 
 Lines too short to match any but their own set (fewer than four words at 80 %)
 take no part in the joins: their class's first line stays, all later ones go, by
@@ -40,16 +40,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulemark.llm import textbatch as tb
-from rulemark.llm.frames import Store, cut, fresh, sweep
+from rulemark.llm.frames import Store, buckets, cut, fresh, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Buckets of the rarity counts: a fixed size, a byte each where tasks use them.
 BUCKETS = 1 << 22
+#: Buckets of one block of counts that tasks send on.
+BLOCK = 1 << 12
+BLOCKS = BUCKETS // BLOCK
+#: Classes that a task remembers, to tell repeated lines once.
+SEEN = 100_000
+#: Candidates of a class and a word that are all verified at once; of more, only the FIRST most alike, the others where none of these matches.
+FEW = 8
+FIRST = 2
+#: Words up to which a filter by them is sent to tasks (4 bytes each); beyond, lists without an open class fall out where they are joined.
+WORDS_SENT = 1 << 20
+#: Pairs that are looked at in one numpy pass.
+PAIRS = 1 << 20
 #: 64-bit words of a line's wide parity bitmap.
 WIDE = [f"b{k}" for k in range(4)]
 LAST = (1 << 63) - 1
@@ -74,6 +88,14 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, ...]:
     return tb.word_hashes(data, s, e), tb.word_hashes(data, s, e, tb.OTHER_BASE), line, text_of, number
 
 
+def _texts(column: pa.Array, wanted: np.ndarray) -> pa.Array:
+    """The wanted ones of a batch's lines, without their newlines."""
+    data, offsets = tb.buffers(column)
+    starts = np.unique(np.concatenate([offsets, np.flatnonzero(data == 10) + 1])).astype(np.int64)
+    lines = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(data)))
+    return pc.utf8_rtrim(lines.take(pa.array(wanted)), characters="\n").cast(pa.string())
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(42)).astype(np.int64)
 
@@ -85,7 +107,7 @@ def _ordered(hashes: np.ndarray, line: np.ndarray, level: np.ndarray) -> np.ndar
     rank = level[_bucket(hashes)].astype(np.uint64)
     dense = np.cumsum(np.append(0, line[1:] != line[:-1]))
     key = (dense.astype(np.uint64) << np.uint64(40)) | (rank << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     tied = (key[by][1:] == key[by][:-1]) & (hashes[by][1:] != hashes[by][:-1])
     if tied.any() or dense[-1] >= 1 << 24:
         by = np.lexsort((hashes, hashes & np.uint64(0xFFFFFFFF), rank, dense))
@@ -102,21 +124,32 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _levels(rows: DataFrame) -> np.ndarray:
     """Rarity of each hash bucket, a byte: four times the binary logarithm of how often its words stand in the corpus's lines."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in tb.pieces(batch):
                 data, offsets = tb.buffers(part.column("text"))
                 data = tb.lower_ascii(data)
                 total += np.bincount(_bucket(tb.word_hashes(data, *tb.words(data, offsets)[:2])), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        for block in range(BLOCKS):
+            own = total[block * BLOCK : (block + 1) * BLOCK]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), own[at]))], names=["block", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        for block, total in held.items():
+            # A bucket that is not told, or once, has one word at most.
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()], pa.binary())], names=["block", "level"])
 
-    counted = rows.select("text").mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    # BUCKETS rows of five bytes at most; a bucket that is not told has one word at most.
-    got = counted.select("bucket", F.floor(4 * F.log2("n")).cast("short").alias("level")).toArrow()
+    counted = rows.select("text").mapInArrow(count, "block int, at binary, n binary").repartition("block")
     out = np.zeros(BUCKETS, np.uint8)
-    out[got.column("bucket").to_numpy()] = got.column("level").to_numpy()
+    for block, level in counted.mapInArrow(add, "block int, level binary").collect():  # BUCKETS bytes at most
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
     return out
 
 
@@ -124,6 +157,7 @@ def _lines(rows: DataFrame, level: np.ndarray, percent: int, min_words: int) ->
     """Every line of min_words distinct words or more: class, key, size, bitmap, prefix (its first place and its words), the line."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             for part in tb.pieces(batch):
                 first_hash, second, line, text_of, number = _hashed(part.column("text"))
@@ -133,10 +167,21 @@ def _lines(rows: DataFrame, level: np.ndarray, percent: int, min_words: int) ->
                 word, other, line, text_of = first_hash[by], second[by], line[by], text_of[by]
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
                 size = np.diff(np.append(first, len(line)))
+                told = [tb.mix(np.add.reduceat(tb.mix(h), first) + size.astype(np.uint64)).view(np.int64) for h in (word, other)]
+                of = text_of[first]
+                keys = (part.column("did").to_numpy()[of], part.column("th").to_numpy()[of], number[line[first]])
                 ok = size >= min_words
+                # A line goes on only where the task has told none of its class that comes before it.
+                for k, (c, d, *key) in enumerate(zip(*(x.tolist() for x in (*told, *keys)), strict=True)):
+                    if ok[k]:
+                        if (known := seen.get((c, d))) is not None and known <= tuple(key):
+                            ok[k] = False
+                        else:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen[c, d] = tuple(key)
                 if not ok.any():
                     continue
-                told = [tb.mix(np.add.reduceat(tb.mix(h), first) + size.astype(np.uint64)) for h in (word, other)]
                 slot = tb.mix(word + np.uint64(7)) >> np.uint64(56)
                 bit = np.uint64(1) << (slot & np.uint64(63))
                 bits = [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == np.uint64(k), bit, np.uint64(0)), first) for k in range(len(WIDE))]
@@ -148,16 +193,144 @@ def _lines(rows: DataFrame, level: np.ndarray, percent: int, min_words: int) ->
                 inside = (place < np.repeat(prefix, size)) & (place >= np.repeat(skip, size)) & np.repeat(ok, size)
                 tokens = (word[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((prefix - skip)[ok])).astype(np.int32)), pa.array(tokens))
-                of = pa.array(text_of[first][ok])
-                split = [t.split("\n") if t else [""] for t in part.column("text").to_pylist()]
-                texts = pa.array([split[t][k] for t, k in zip(text_of[first][ok].tolist(), number[line[first]][ok].tolist(), strict=True)], pa.string())
-                columns = [*(pa.array(x[ok].view(np.int64)) for x in told), part.column("did").take(of), part.column("th").take(of), pa.array(number[line[first]][ok].astype(np.int32)), pa.array(size[ok].astype(np.int32))]
-                columns += [*(pa.array(x[ok].view(np.int64)) for x in bits), pa.array(skip[ok].astype(np.int32)), lists, texts]
+                columns = [*(pa.array(x[ok]) for x in (*told, *keys[:2])), pa.array(keys[2][ok].astype(np.int32)), pa.array(size[ok].astype(np.int32))]
+                columns += [*(pa.array(x[ok].view(np.int64)) for x in bits), pa.array(skip[ok].astype(np.int32)), lists, _texts(part.column("text"), line[first][ok])]
                 yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", *KEY, "n", *WIDE, "skip", "prefix", "line"])
 
     return rows.mapInArrow(work, f"c1 long, c2 long, did long, th long, line_no int, n int, {', '.join(f'{b} long' for b in WIDE)}, skip int, prefix array<int>, line string")
 
 
+#: The columns of an index entry: word, class, document, size, place of the word in the line's order, parities on 64 bits or (q) on 128, whether its matches are looked for.
+ENTRY = np.dtype([("word", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("open", "<i4"), ("c1", "<i8"), ("did", "<i8"), ("p", "<i8"), ("q", "<i8")])
+#: Entries that a task sorts at a time before it sends them on, packed by parts.
+FLUSH = 1 << 20
+#: Lines of more words have parities on 128 bits.
+LONG = 64
+
+
+def _entries(near: DataFrame, parts: int, words: np.ndarray | None = None) -> DataFrame:
+    """(part, packed): the index entries of classes (c1, did, n, WIDE, skip, prefix, open), of these words (sorted) if told, packed by ``parts`` parts of the words."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        if not len(rows):
+            return
+        part = (tb.mix(rows["word"].astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        rows, part = rows[by], part[by]
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        # Column after column, for they compress so.
+        packed = [b"".join(chunk[name].tobytes() for name in ENTRY.names) for chunk in np.split(rows, start[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            c1, did, n, *wide, skip = (batch.column(k).to_numpy() for k in range(len(batch.columns) - 2))
+            prefix, is_open = batch.column("prefix"), batch.column("open").to_numpy(zero_copy_only=False)
+            count = pc.list_value_length(prefix).to_numpy().astype(np.int64)
+            rows = np.empty(int(count.sum()), ENTRY)
+            of = np.repeat(np.arange(len(count)), count)
+            rows["word"] = prefix.flatten().to_numpy()
+            rows["pos"] = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + skip[of]
+            p, q = wide[0] ^ wide[2], wide[1] ^ wide[3]
+            short = n <= LONG
+            for name, column in (("n", n), ("open", is_open), ("c1", c1), ("did", did), ("p", np.where(short, p ^ q, p)), ("q", np.where(short, 0, q))):
+                rows[name] = column[of]
+            if words is not None:
+                at = np.minimum(np.searchsorted(words, rows["word"]), len(words) - 1)
+                rows = rows[words[at] == rows["word"]]
+            held.append(rows)
+            if sum(map(len, held)) >= FLUSH:
+                yield from flush(held)
+                held = []
+        if held:
+            yield from flush(held)
+
+    return near.select("c1", "did", "n", *WIDE, "skip", "prefix", "open").mapInArrow(work, "part int, packed binary")
+
+
+def _unpacked(packed: list[bytes]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {name: [] for name in ENTRY.names}
+    for blob in packed:
+        size, at = len(blob) // ENTRY.itemsize, 0
+        for name in ENTRY.names:
+            out[name].append(np.frombuffer(blob, ENTRY[name], size, at))
+            at += size * ENTRY[name].itemsize
+    return {name: np.concatenate(x) for name, x in out.items()}
+
+
+def _candidates(near: DataFrame, percent: int, some: bool, words: np.ndarray | None = None) -> DataFrame:
+    """Pairs (a, b) of classes that share a word of their prefixes and pass the filters, b before a and a open.
+
+    With ``some``, where a word has more than FEW for an a, only the FIRST most alike;
+    ``more`` tells that a has others.
+    """
+
+    def passing(x: dict[str, np.ndarray], group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs of places in the arrays that pass the filters by size, by the place of the first common word and by parity bitmaps."""
+        n, pos, p, q = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["p"], x["q"]
+        key = (group << 32) | n
+        low = np.searchsorted(key, (group << 32) | (n * percent + 99) // 100)
+        many = np.arange(len(n)) - low
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            count = many[at:to]
+            i = np.repeat(np.arange(at, to), count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at:to], count)
+            total = n[i] + n[j]
+            need = -(-total * percent // (100 + percent))
+            fits = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            i, j, most = i[fits], j[fits], (total - 2 * need)[fits]
+            by_p, by_q = p[i] ^ p[j], q[i] ^ q[j]
+            both = np.minimum(n[i], n[j]) > LONG
+            apart = np.where(both, np.bitwise_count(by_p).astype(np.int64) + np.bitwise_count(by_q), np.bitwise_count(by_p ^ by_q))
+            fits = apart <= most
+            yield i[fits], j[fits], apart[fits]
+            at = to
+
+    def pairs(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x = _unpacked(packed)
+        _, group = np.unique(x["word"], return_inverse=True)
+        useful = (np.bincount(group) > 1) & (np.bincount(group, x["open"]) > 0)
+        by = np.flatnonzero(useful[group])
+        by = by[np.argsort((group[by] << 32) | x["n"][by])]
+        x, group = {name: c[by] for name, c in x.items()}, group[by]
+        c1, did, is_open = x["c1"], x["did"], x["open"] > 0
+        for i, j, apart in passing(x, group):
+            late, soon = did[i] >= did[j], did[i] <= did[j]
+            a, b, apart = np.append(i[late], j[soon]), np.append(j[late], i[soon]), np.append(apart[late], apart[soon])
+            good = (c1[a] != c1[b]) & is_open[a]
+            a, b, apart = a[good], b[good], apart[good]
+            more = np.zeros(len(a), bool)
+            if some and len(a):
+                by = np.lexsort((c1[b], apart, a))
+                a, b = a[by], b[by]
+                start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                size = np.diff(np.append(start, len(a)))
+                kept = np.arange(len(a)) - np.repeat(start, size) < np.repeat(np.where(size > FEW, FIRST, size), size)
+                a, b, more = a[kept], b[kept], np.repeat(size > FEW, size)[kept]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c1[a]), pa.array(c1[b]), pa.array(more)], names=["a", "b", "more"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and held:
+                    yield from pairs(held)
+                    held = []
+                last = part
+                held.append(packed)
+        if held:
+            yield from pairs(held)
+
+    parts = 4 * buckets(near.sparkSession)
+    return _entries(near, parts, words).repartition("part").sortWithinPartitions("part").mapInArrow(work, "a long, b long, more boolean")
+
+
 def _most_apart(x: Column, y: Column, percent: int) -> Column:
     """How many words two sets of these sizes may not share, at most, to match."""
     return x + y - 2 * F.ceil((x + y) * percent / (100 + percent))
@@ -172,17 +345,29 @@ def _settled(store: Store, pairs: DataFrame, classes: DataFrame, percent: int) -
     """Of candidate pairs (a, b) of classes (c1), the later class (s1, s2) of each pair that matches."""
     pairs = store.put(pairs)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    lines = store.put(classes.join(nodes, F.col("c1") == F.col("node"), "left_semi").select("c1", "c2", F.struct(*KEY).alias("k"), "n", *WIDE, _words_of("line").alias("words")))
-    told = lambda c: lines.select(F.col("c1").alias(c), F.col("n").alias(f"n{c}"), *(F.col(b).alias(f"{b}{c}") for b in WIDE))
-    near = pairs.join(told("a"), "a").join(told("b"), "b")
-    apart = sum((F.bit_count(F.col(f"{b}a").bitwiseXOR(F.col(f"{b}b"))) for b in WIDE), F.lit(0))
-    near = near.where(apart <= _most_apart(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    side = lambda c: lines.select(F.col("c1").alias(c), F.struct("c1", "c2", "k", "words").alias(f"x{c}"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("xa.words", "xb.words"))
-    matched = both.where(shared * 100 >= percent * (F.size("xa.words") + F.size("xb.words") - shared))
-    late = F.when(F.col("xa.k") > F.col("xb.k"), F.struct("xa.c1", "xa.c2")).otherwise(F.struct("xb.c1", "xb.c2")).alias("s")
-    out = store.put(matched.select(late).select(F.col("s.c1").alias("s1"), F.col("s.c2").alias("s2")).distinct())
+    # The nodes of a bucket are a small part of its classes, so they are hashed and no text is sorted.
+    lines = store.put(classes.join(nodes.hint("shuffle_hash"), F.col("c1") == F.col("node"), "left_semi").select("c1", "c2", F.struct(*KEY).alias("k"), "n", *WIDE, "line"))
+    side = lambda c: lines.select(F.col("c1").alias(c), F.struct(*lines.columns).alias(f"x{c}"))
+    apart = sum((F.bit_count(F.col(f"xa.{b}").bitwiseXOR(F.col(f"xb.{b}"))) for b in WIDE), F.lit(0))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= _most_apart(F.col("xa.n"), F.col("xb.n"), percent))
+    late = F.col("xa.k") > F.col("xb.k")
+    later = F.when(late, F.struct("xa.c1", "xa.c2")).otherwise(F.struct("xb.c1", "xb.c2"))
+    both = both.select(later["c1"].alias("s1"), later["c2"].alias("s2"), F.col("xa.line").alias("x"), F.col("xb.line").alias("y"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in batches:
+            good = []
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                if y != last:
+                    last, held = y, line_set(y)
+                own = line_set(x)
+                shared = len(own & held)
+                if shared * 100 >= percent * (len(own) + len(held) - shared):
+                    good.append(k)
+            yield batch.select(["s1", "s2"]).take(pa.array(good, pa.int64()))
+
+    out = store.put(both.mapInArrow(work, "s1 long, s2 long").distinct())
     store.drop(pairs, lines)
     return out
 
@@ -193,47 +378,31 @@ def staying_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     store = Store(spark)
     rows = _rows(docs, doc_id, text)
     lines = _lines(rows, _levels(rows), percent, min_words)
-    first = lines.groupBy("c1", "c2").agg(F.min(F.struct(*KEY, "n", *WIDE, "skip", "prefix", "line")).alias("first"))
-    classes = store.put(first.select("c1", "c2", "first.*"), by="c1")
+    first = Window.partitionBy("c1", "c2").orderBy(*KEY)
+    dealt = lines.repartition(buckets(spark), "c1").withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
+    classes = store.put(dealt, by="c1")
     sweep(spark)
     # n words at most share n of n + 1 with another set.
     near = classes.where((F.col("n") * 100 >= (F.col("n") + 1) * percent) & (F.size("prefix") > 0))
-    bits = F.col(WIDE[0])
-    for b in WIDE[1:]:
-        bits = bits.bitwiseXOR(F.col(b))
-    near = near.select("c1", "c2", "did", "n", bits.alias("bits"), "skip", "prefix")
-
-    def entries(of: DataFrame) -> DataFrame:
-        more = [c for c in of.columns if c not in ("c2", "skip", "prefix")]
-        return of.select(*more, "skip", F.posexplode("prefix").alias("pos", "word")).select(*more, "word", (F.col("pos") + F.col("skip")).alias("pos"))
-
-    def close(x: str, y: str) -> Column:
-        """Filters of a pair by size, by the place of its first common word, and by parity bitmaps: each bit that differs is a word not shared."""
-        xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = F.ceil((xn + yn) * percent / (100 + percent))
-        fits = F.least(xn - F.col(f"{x}.pos"), yn - F.col(f"{y}.pos")) >= need
-        return (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent) & fits & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= _most_apart(xn, yn, percent))
-
-    # First the earliest class of each word.
-    one = entries(near).select("word", F.struct("did", "c1", "n", "pos", "bits").alias("x"))
-    hubs = one.groupBy("word").agg(F.min("x").alias("h"), F.max("x.c1").alias("most"), F.min("x.c1").alias("least")).where("least < most").select(F.col("word").alias("at"), "h")
-    met = one.join(hubs, (F.col("word") == F.col("at")) & (F.col("x.c1") != F.col("h.c1")) & close("x", "h"))
-    settled = _settled(store, met.select(F.col("x.c1").alias("a"), F.col("h.c1").alias("b")).distinct(), classes, percent)
+    pairs = store.put(_candidates(near.withColumn("open", F.lit(True)), percent, some=True))
+    settled = _settled(store, pairs.select("a", "b").distinct(), classes, percent)
     sweep(spark)
-    # Then the exact join for the classes without a match so far: one of a pair may be the later and lacks its match.
-    told = near.join(settled, (F.col("c1") == F.col("s1")) & (F.col("c2").bitwiseXOR(F.col("s2")) == 0), "left").withColumn("open", F.col("s1").isNull()).drop("s1", "s2")
-    all_ = entries(told)
-    x = all_.select("word", F.struct("did", "c1", "n", "pos", "bits", "open").alias("x"))
-    y = all_.select(F.col("word").alias("at"), F.struct("did", "c1", "n", "pos", "bits", "open").alias("y"))
-    wanted = (F.col("x.open") & (F.col("x.did") >= F.col("y.did"))) | (F.col("y.open") & (F.col("y.did") >= F.col("x.did")))
-    pairs = x.join(y, (F.col("word") == F.col("at")) & (F.col("x.c1") < F.col("y.c1")) & wanted & close("x", "y"))
-    late = _settled(store, pairs.select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b")).distinct(), classes, percent)
+    # Classes whose first candidates do not match, and that have others, look at all of them.
+    left = pairs.where("more").select("a").distinct().join(settled, F.col("a") == F.col("s1"), "left_anti")
+    left = store.put(left)
+    late = None
+    if not left.isEmpty():
+        again = near.join(left.hint("shuffle_hash"), F.col("c1") == F.col("a"), "left").withColumn("open", F.col("a").isNotNull())
+        words = store.put(again.where("open").select(F.explode("prefix").alias("word")).distinct())
+        sent = np.sort(words.toArrow().column("word").to_numpy()) if words.count() <= WORDS_SENT else None
+        late = _settled(store, _candidates(again, percent, False, sent).select("a", "b").distinct(), classes, percent)
+        store.drop(words)
     sweep(spark)
     # A line stays only where it is its class's first and that has no earlier match.
-    gone = settled.union(late)
-    stays = classes.select("c1", "c2", *KEY).join(gone, (F.col("c1") == F.col("s1")) & (F.col("c2").bitwiseXOR(F.col("s2")) == 0), "left_anti")
+    gone = settled.union(late) if late else settled
+    stays = classes.select("c1", "c2", *KEY).join(gone.hint("shuffle_hash"), (F.col("c1") == F.col("s1")) & (F.col("c2").bitwiseXOR(F.col("s2")) == 0), "left_anti")
     out = cut(stays.groupBy("did", "th").agg(F.collect_list("line_no").alias("stays")))
-    store.drop(classes, settled, late)
+    store.drop(classes, pairs, settled, left, *([late] if late else []))
     return out
 
 
