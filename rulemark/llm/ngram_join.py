@@ -8,12 +8,14 @@ segments, at least one segment of both sets is equal. A set that can differ from
 its own partners in fewer elements uses as many segments less, from the last
 back, so that any two partners use enough of the same. A set is indexed by its
 segments' contents in its size band, and in the next if a partner may lie there.
-Empty segments would match far too much, so they are left out and paid for by
-reserved segments that are indexed with all their one-deletion neighbours, each
-of which covers a second difference; how many to reserve is the cheaper of their
-entries and of the matches that sets with still more empty segments would make
-(``reserve``). Sets with more empty segments than are reserved index those as
-well, so no pair is lost. Candidates are verified on the documents' n-grams.
+Empty segments would match far too much, so they are left out, and so is the empty
+neighbour of one element. They are paid for by reserved segments that are indexed
+with all their one-deletion neighbours, each of which proves a second difference
+where it does not match: an empty segment takes one proof away, an empty reserved
+one two, a reserved one of one element one. How many to reserve is the cheaper of
+their entries and of the matches that sets with still more empty segments would
+make (``reserve``). Sets that lose more proofs than are reserved index their empty
+segments as well, so no pair is lost. Candidates are verified on the n-grams.
 
 Copies in a group share many entries. Instead of all pairs in an entry, each
 member is compared with one hub, the most alike of its hubs first; only members
@@ -55,7 +57,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 BLOCK = 256
 #: Classes that a task remembers, to tell the entries of copies once.
 SEEN = 100_000
-#: 64-bit words of a set's parity sketch.
+#: 64-bit words of a set's short parity sketch.
 SKETCH = 8
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
@@ -110,12 +112,27 @@ class Bands:
     def reserve(self, size: int, m: int) -> int:
         """Reserved segments at the lowest cost: their neighbours' entries, or matches of sets short of them."""
         mean = min(m, self.apart(size + size * 100 // self.percent) + 1) * math.exp(-size / m)
-        costs, chance, term = [], 1.0, math.exp(-mean)
-        for r in range(min(m, 10) + 1):
-            chance = max(0.0, chance - term)
-            term *= mean / (r + 1)
-            costs.append(self.expected * r * size / m + 100 * (self.expected * chance) ** 2 / m)
-        return int(np.argmin(costs))
+        # Empty segments follow about a Poisson law; a reserved one costs two if empty, one if it has one element.
+        rate = size / m
+        cost = (2 + rate) * math.exp(-rate)
+        best, least = 0, math.inf
+        for r in range(m + 1):
+            chance = _above(r, mean + r * cost)
+            now = self.expected * r * rate + 100 * (self.expected * chance) ** 2 / m
+            if now < least:
+                best, least = r, now
+            if chance < 1e-12:
+                break
+        return best
+
+
+def _above(r: int, mean: float) -> float:
+    """The chance that a Poisson variable of this mean exceeds r."""
+    if mean <= 0:
+        return 0.0
+    if mean > 200:
+        return math.erfc((r + 0.5 - mean) / math.sqrt(2 * mean)) / 2
+    return max(0.0, 1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(r + 1)))
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
@@ -135,23 +152,32 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
         count = np.bincount(segment, minlength=m)
         tag = np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32)
         first, held = m - bands.used(size, band), m - reserved
+        # What empty segments cost of the differences that unmatched segments prove: see the module's text.
+        own = count[max(held, first) :]
         emit = count > 0
-        if (~emit[first:held]).sum() > reserved:
+        complete = (~emit[first:held]).sum() + 2 * (own == 0).sum() + (own == 1).sum() > reserved
+        if complete:
             emit[:] = True
-        emit[held:] = True
         emit[:first] = False
         out.append(tb.mix(tb.mix(total[emit]) + tag[emit] * np.uint64(0x9E3779B97F4A7C15)))
-        near = np.flatnonzero(segment >= max(held, first))
+        near = np.flatnonzero((segment >= max(held, first)) & ((count[segment] > 1) | complete))
         if len(near):
             s = segment[near]
             out.append(tb.mix(tb.mix(total[s] - content[near]) + tag[s] * np.uint64(0x9E3779B97F4A7C15)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements on each of 64 * SKETCH bits."""
-    slots = (tb.mix(elements ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    return np.packbits(np.bincount(slots, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+def sketch(elements: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parities of the elements on each of 64 * words bits; words is a power of two, and a longer sketch folds to a shorter one."""
+    slots = (tb.mix(elements ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * words) & 1, bitorder="little").view(np.int64)
+
+
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """For a set with more elements than the short sketch has bits: parities on as many bits as elements, or more."""
+    if len(elements) <= 64 * SKETCH:
+        return np.zeros(0, np.int64)
+    return sketch(elements, 1 << (-(-len(elements) // 64) - 1).bit_length())
 
 
 def _apart(a: str, b: str):
@@ -159,10 +185,20 @@ def _apart(a: str, b: str):
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCHES), F.lit(0))
 
 
+def _wide_apart(a: str, b: str):
+    """The same of wide sketches; sets within the size filter have sketches of one length, or one has twice the other's."""
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    size = F.least(F.size(x), F.size(y))
+    folded = lambda c: F.when(F.size(c) > size, F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda u, v: u.bitwiseXOR(v))).otherwise(c)
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, n: t + n)
+
+
 def near(a: str, b: str, percent: int):
     """Whether sets described by the struct columns a and b may reach the threshold."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (x * 100 >= y * percent) & (y * 100 >= x * percent) & (_apart(a, b) * (100 + percent) <= (x + y) * (100 - percent))
+    fits = lambda apart: apart * (100 + percent) <= (x + y) * (100 - percent)
+    short = F.least(F.size(f"{a}.wide"), F.size(f"{b}.wide")) == 0
+    return (x * 100 >= y * percent) & (y * 100 >= x * percent) & fits(_apart(a, b)) & F.when(short, True).otherwise(fits(_wide_apart(a, b)))
 
 
 def _hashed_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -200,10 +236,12 @@ def _profiles(source: DataFrame, n: int) -> DataFrame:
                 sets = list(_hashed_sets(part.column("text"), n))
                 told = [_class(s) if len(s) else (None, None) for s in sets]
                 words = np.array([sketch(s) for s in sets]).T
-                columns = [part.column("id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)), *(pa.array(w) for w in words)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "n_elements", "k1", "k2", *SKETCHES])
+                wide = [wide_sketch(s) for s in sets]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(w) for w in wide])).astype(np.int32)), pa.array(np.concatenate(wide)))
+                columns = [part.column("id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([t[k] for t in told], pa.int64()) for k in (0, 1)), *(pa.array(w) for w in words), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "n_elements", "k1", "k2", *SKETCHES, "wide"])
 
-    return source.mapInArrow(work, f"id long, th long, n_elements long, k1 long, k2 long, {', '.join(f'{w} long' for w in SKETCHES)}")
+    return source.mapInArrow(work, f"id long, th long, n_elements long, k1 long, k2 long, {', '.join(f'{w} long' for w in SKETCHES)}, wide array<long>")
 
 
 def _entries(source: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -259,8 +297,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     profiles = cut(_profiles(source, n))
     members = profiles.where(F.col("k1").isNotNull() & F.col("id").isNotNull())
     # One row a class: its smallest id, and a text of that id.
-    heads = members.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("n_elements", *SKETCHES)))
-    heads = store.put(heads.select("k1", "k2", F.col("at.id").alias("rep"), F.col("at.th").alias("th"), F.struct(F.col("n_elements").alias("n"), *SKETCHES).alias("set")))
+    heads = members.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("at"), *(F.first(c).alias(c) for c in ("n_elements", *SKETCHES, "wide")))
+    heads = store.put(heads.select("k1", "k2", F.col("at.id").alias("rep"), F.col("at.th").alias("th"), F.struct(F.col("n_elements").alias("n"), *SKETCHES, "wide").alias("set")))
     shared = _entries(source.where("id IS NOT NULL"), n, bands)
     by = Window.partitionBy("entry")
     shared = shared.select("entry", "k1", F.min("k1").over(by).alias("hub"), F.max("k1").over(by).alias("last")).where("hub < last")
@@ -271,17 +309,20 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     side = lambda k, c: heads.select(F.col("k1").alias(k), F.col("set").alias(c))
     bounded = lambda pairs: pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links between the smallest ids of the classes of those pairs (a, b) whose texts match."""
-        pairs = store.put(pairs.distinct())
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(k1, k2, text) of the classes of pairs (a, b), a row each. What is wanted is a small part, so it is hashed and no text is sorted."""
         nodes = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
         wanted = heads.join(nodes, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("id"), "th")
-        texts = source.join(wanted, ["id", "th"]).groupBy("id", "th", "k1", "k2").agg(F.first("text").alias("text"))
-        texts = store.put(texts.select("k1", "k2", "text"))
-        found = _verified(pairs, texts, n, percent)
+        found = source.join(wanted.hint("shuffle_hash"), ["id", "th"]).withColumn("turn", F.row_number().over(Window.partitionBy("id", "th", "k1", "k2").orderBy("id")))
+        out = store.put(found.where("turn = 1").select("k1", "k2", "text"))
+        sweep(spark)
+        return out
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between the smallest ids of the classes of those pairs (a, b) whose texts match."""
+        found = _verified(pairs.distinct(), texts, n, percent)
         own = lambda k: heads.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("rep").alias(k))
         out = store.put(found.join(own("a"), ["a1", "a2"]).join(own("b"), ["b1", "b2"]).select("a", "b"))
-        store.drop(pairs, texts)
         sweep(spark)
         return out
 
@@ -294,12 +335,14 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = members.join(heads.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     # Each class meets the most alike of its hubs first; that connects most of what is connected.
     pairs = store.put(bounded(opened.where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b"))).select("a", "b", _apart("x", "y").alias("apart")))
-    links = store.put(links.union(verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")))))
+    texts = texts_of(pairs)
+    links = store.put(links.union(verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), texts)))
     at = store.put(parts(links))
     part = lambda k, p: at.select(F.col("k1").alias(k), F.col("part").alias(p))
     split = pairs.join(part("a", "pa"), "a").join(part("b", "pb"), "b").where("pa <> pb").select("a", "b")
-    links = store.put(links.union(verified(split)))
-    store.drop(pairs, at)
+    links = store.put(links.union(verified(split, texts)))
+    store.drop(pairs, at, texts)
+    sweep(spark)
     # What is left are members of one entry that are of several components, none of them the hub's.
     at = store.put(parts(links))
     rest = opened.select("entry", "k1").join(at, "k1").join(heads.select("k1", "set"), "k1")
@@ -313,7 +356,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     two = rest.select("entry", every.alias("i"), own.alias("j"), F.col("k1").alias("b"), F.col("part").alias("q"), F.col("set").alias("y"))
     same = (one["entry"] == two["entry"]) & (one["i"] == two["i"]) & (one["j"] == two["j"])
     met = one.join(two, same & (F.col("p") != F.col("q")) & (F.col("a") > F.col("b")) & near("x", "y", percent)).select("a", "b")
-    links = store.put(links.union(verified(met)))
+    met = store.put(met.distinct())
+    if not met.isEmpty():
+        links = store.put(links.union(verified(met, texts_of(met))))
     store.drop(rest, at, opened)
     final = components(links)
     out = profiles.select("id", "n_elements", "k1", "k2").join(heads.select("k1", "k2", "rep"), ["k1", "k2"], "left")
