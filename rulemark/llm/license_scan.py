@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulemark.llm import textbatch as tb
-from rulemark.llm.frames import fresh
+from rulemark.llm.frames import cut, fresh
 
 # Wording that several templates share.
 _GNU = (
@@ -238,12 +238,16 @@ def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
     return {t: by_hash.get((int(h), False), 0) for t, h in zip(VOCABULARY, hashes.astype(np.int64), strict=True)}, by_hash.get((-1, True), 0)
 
 
+#: Columns that own_licenses adds.
+OWN = ("own_license", "own_score", "n_license_lines", "license_share")
+
+
 def own_licenses(files: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
     """files with own_license, own_score, n_license_lines and license_share (of terms in licence windows)."""
     from pyspark.sql import types as T
 
     matcher = Matcher(*_frequencies(files.select(F.col(text).cast("string").alias("text"))), threshold)
-    names = fresh(files, "own_license", "own_score", "n_license_lines", "license_share")
+    names = fresh(files, *OWN)
     kinds = (T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType())
     schema = T.StructType([*files.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
@@ -269,19 +273,22 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     """
     keep = files.columns if keep is None else keep
     source = files.select(*dict.fromkeys([*keep, path, text]))
-    a = own_licenses(source, text, threshold).drop(*({text} - set(keep)))
-    folder, licence, by, depth = fresh(a, "l_folder", "license", "licensed_by", "l_depth")
+    names = fresh(source, *OWN)
+    # Judged once, though grants, directories and files all read it.
+    a = cut(own_licenses(source, text, threshold).drop(*({text} - set(keep))))
+    own_license, own_score, n_lines, share = names
+    folder, licence, by, depth, nearest_grant = fresh(a, "l_folder", "license", "licensed_by", "l_depth", "l_got")
     a = a.withColumn(folder, directory(F.col(path)))
-    named = F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENSE_FILE) | (F.col("license_share") >= 0.5)
-    grants = a.where(F.col("own_license").isNotNull() & F.col(path).isNotNull() & named)
-    grants = grants.groupBy(F.col(folder).alias(by)).agg(F.min_by("own_license", F.struct(-F.col("own_score"), F.col(path))).alias(licence))
+    named = F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENSE_FILE) | (F.col(share) >= 0.5)
+    grants = a.where(F.col(own_license).isNotNull() & F.col(path).isNotNull() & named)
+    grants = grants.groupBy(F.col(folder).alias(by)).agg(F.min_by(own_license, F.struct(-F.col(own_score), F.col(path))).alias(licence))
     # Directories are far fewer than files: each once, with all its ancestors.
     folders = a.where(F.col(folder).isNotNull()).select(folder).distinct()
     parts = F.split(folder, "/")
     ancestors = folders.withColumn(depth, F.explode(F.sequence(F.lit(0), F.size(parts))))
     ancestors = ancestors.withColumn(by, F.array_join(F.slice(parts, 1, F.col(depth)), "/"))
-    nearest = ancestors.join(grants, by).groupBy(folder).agg(F.max_by(F.struct(by, licence), depth).alias("l_got"))
+    nearest = ancestors.join(grants, by).groupBy(folder).agg(F.max_by(F.struct(by, licence), depth).alias(nearest_grant))
     a = a.join(nearest, folder, "left")
-    own = F.col("own_license").isNotNull()
-    got = {licence: F.when(own, F.col("own_license")).otherwise(F.col("l_got")[licence]), by: F.when(~own, F.col("l_got")[by])}
-    return a.withColumns(got).select(*keep, "own_license", "own_score", "n_license_lines", licence, by)
+    own = F.col(own_license).isNotNull()
+    got = {licence: F.when(own, F.col(own_license)).otherwise(F.col(nearest_grant)[licence]), by: F.when(~own, F.col(nearest_grant)[by])}
+    return a.withColumns(got).select(*keep, own_license, own_score, n_lines, licence, by)
