@@ -130,17 +130,19 @@ def mix(docs: DataFrame, weights: dict[str, int], source: str = "source", doc_id
     offsets = counts.withColumn(rank, F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     sizes = {r[0]: r[1] for r in counts.groupBy(stream).agg(F.sum("count")).collect()}  # one row a stream
     phases = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, weights)
-    schema = T.StructType([T.StructField(n, k) for n, k in (("p_stream", T.StringType()), ("p_first", T.LongType()), ("p_last", T.LongType()), ("p_start", T.LongType()), ("p_period", T.LongType()), ("p_slots", T.ArrayType(T.IntegerType())))])
+    p_stream, p_first, p_last, p_start, p_period, p_slots = fresh(a, "p_stream", "p_first", "p_last", "p_start", "p_period", "p_slots")
+    kinds = {p_stream: T.StringType(), p_first: T.LongType(), p_last: T.LongType(), p_start: T.LongType(), p_period: T.LongType(), p_slots: T.ArrayType(T.IntegerType())}
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
     rows = [(p.stream, p.first, p.last, p.start, p.period, p.slots) for p in phases]
     table = docs.sparkSession.createDataFrame(rows, schema)
     within = Window.partitionBy(stream, bucket).orderBy(order, *(F.col(c) for c in (doc_id,)), whole)
     a = a.join(offsets, [stream, bucket]).withColumn(rank, F.col(rank) + F.row_number().over(within) - 1)
     a = a.withColumns({block: F.floor(F.col(rank) / block_rows).cast("long"), place: F.pmod(F.col(rank), F.lit(block_rows)).cast("int")})
     # At most the square of the named streams: a bounded side to broadcast.
-    a = a.join(F.broadcast(table), (F.col(stream) == F.col("p_stream")) & F.col(block).between(F.col("p_first"), F.col("p_last")))
-    step = F.col(block) - F.col("p_first")
-    n = F.size("p_slots")
-    where = F.col("p_start") + F.floor(step / n) * F.col("p_period") + F.element_at("p_slots", (F.pmod(step, n) + 1).cast("int"))
+    a = a.join(F.broadcast(table), (F.col(stream) == F.col(p_stream)) & F.col(block).between(F.col(p_first), F.col(p_last)))
+    step = F.col(block) - F.col(p_first)
+    n = F.size(p_slots)
+    where = F.col(p_start) + F.floor(step / n) * F.col(p_period) + F.element_at(p_slots, (F.pmod(step, n) + 1).cast("int"))
     return a.withColumn(slot, where.cast("long")).select(*docs.columns, stream, block, slot, place)
 
 
