@@ -18,7 +18,7 @@ QUALITY_RULES = r"""
     ), k AS (
         SELECT *, len(w) AS n, length(s) - length(replace(s, '|', '')) AS bars, length(s) - length(replace(s, '!', '')) AS marks FROM m WHERE len(w) > 0
     ), v AS (
-        SELECT rid, line, size, regexp_matches(right(line, 16), '[.!?:;,"''\)\]…。」！？»”’][\x20\x09-\x0D]*\z')
+        SELECT rid, line, size, regexp_matches(right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1), '[.!?:;,"''\)\]…。」！？»”’]')
             AND NOT (bars >= 2 AND bars * 100 >= n * 20) AND NOT ((length(s) - marks) * 100 > size * 10) AND NOT (marks >= 3 AND marks * 100 >= n * 30)
             AND NOT (n >= 10 AND len(list_distinct(w)) * 100 < n * 35) AND NOT (n <= 12 AND regexp_matches(lower(line), '@phrases@')) AS good FROM k
     ), s AS (

@@ -64,7 +64,7 @@ def words_of(text: Column) -> Column:
 def line_passes(line: Column, words: Column, rules: LineRules) -> Column:
     """Whether a line with words is prose. ``words``: the line's words."""
     n, size = F.size(words), F.length(line)
-    ends = F.right(line, F.lit(16)).rlike(r"[.!?:;,\"'\)\]…。」！？»”’]" + r"[\x20\x09-\x0D]*\z")
+    ends = F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).rlike(r"[.!?:;,\"'\)\]…。」！？»”’]")
 
     def by_symbols(found: Column) -> Column:
         bars, marks = _count(found, "|"), _count(found, "!")
