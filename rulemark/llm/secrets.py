@@ -15,6 +15,8 @@ equal spans; other columns come back unchanged.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -99,9 +101,16 @@ def guess_cost(value: str) -> float:
             walk_from[k] = walk_from[k - 1]
             step, before = ord(low[k]) - ord(low[k - 1]), ord(low[k - 1]) - ord(low[k - 2]) if k - walk_from[k] >= 2 else None
             turns[k] = turns[k - 1] + (before is not None and step != before and abs(step) > 1)
+    each = [_brute(c) for c in value]
+    brute = [0.0, *itertools.accumulate(each)]
+    # From each place, how many characters on equal those so many places later.
+    again = {size: [0] * (n + 1) for size in range(1, REPEAT_BLOCK + 1)}
+    for size, run in again.items():
+        for k in range(n - size - 1, -1, -1):
+            run[k] = run[k + 1] + 1 if value[k] == value[k + size] else 0
     for i in range(n):
         end = i + 1
-        cost = best[i] + _brute(value[i])
+        cost = best[i] + each[i]
         if cost < best[end]:
             best[end] = cost
         base = best[i] + PART_COST * (i > 0)
@@ -113,14 +122,10 @@ def guess_cost(value: str) -> float:
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             best[m.end()] = min(best[m.end()], base + (_YEAR_COST if m.end() - i == 4 else _DATE_COST))
         for size in range(1, min(REPEAT_BLOCK, (n - i) // 2) + 1):  # a block, repeated as often as it is
-            block = value[i : i + size]
-            if value.startswith(block, i + size):
-                to, times = i + 2 * size, 2
-                while value.startswith(block, to):
-                    to, times = to + size, times + 1
-                if times * size >= 3:
-                    part = sum(map(_brute, block)) + math.log10(times)
-                    best[to] = min(best[to], base + part)
+            times = again[size][i] // size + 1
+            if times > 1 and times * size >= 3:
+                to = i + times * size
+                best[to] = min(best[to], base + brute[i + size] - brute[i] + math.log10(times))
         # Keyboard walks and sequences of three keys or more that end here.
         start = walk_from[i]
         if i - start >= 2:
@@ -144,13 +149,14 @@ def scan(text: str | None, threshold: float = 10.0) -> list[tuple[str, int, int,
     spans += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted((a, b) for _, a, b, _ in spans)
+        begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
         to = 0  # where the last value's run ends: one that begins within it is a part of it
         for m in CONTEXT.finditer(text):
             if m.end() < to or not CREDENTIAL.search(m[1]) or not (v := VALUE.match(text, m.end())):
                 continue
             a, to = v.span()
             b = a + len(v[0].rstrip(".,;:)]}"))
-            if b - a >= ASSIGN_LENGTH and not any(x <= a and b <= y for x, y in base) and (cost := guess_cost(text[a:b])) >= threshold:
+            if b - a >= ASSIGN_LENGTH and not ((k := bisect.bisect_right(begins, a)) and reach[k - 1] >= b) and (cost := guess_cost(text[a:b])) >= threshold:
                 spans.append(("guess", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
