@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)).limit(s.max_fit_rows)
     # max_fit_rows ids at most: a bounded side to broadcast.
-    sample = cut(docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "y"))
+    sample = cut(docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "y", F.xxhash64(F.col(doc_id), F.col("text")).alias("key")))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             for part in tb.pieces(batch):
                 x = model.pooled(part.column("text"), table).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * s.width).astype(np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([lists, part.column("y")], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([lists, part.column("y"), part.column("key")], names=["x", "y", "key"])
 
-    got = sample.mapInArrow(pooled, "x array<float>, y int").toArrow()
+    # In an order of its own, so that the fit does not depend on files and partitions.
+    got = sample.mapInArrow(pooled, "x array<float>, y int, key long").toArrow().sort_by("key")
     y = got.column("y").to_numpy().astype(float)
     x = got.column("x").combine_chunks().values.to_numpy().astype(float).reshape(-1, s.width) if len(y) else np.zeros((0, s.width))
     if len(set(y.tolist())) < 2:
