@@ -78,7 +78,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     other = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().orderBy(*by).limit(s.max_unlabelled)
     chosen = positive.withColumn("p", F.lit(1)).unionByName(other.withColumn("p", F.lit(0))).groupBy(doc_id).agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     # At most max_positive + max_unlabelled ids: a bounded side to broadcast.
-    return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.col(text).alias("text"), "p", "u")
+    return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.col(text).alias("text"), "p", "u", F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
 
 
 @dataclass
@@ -162,10 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 of, number = _distinct(table.find(hashes), text_of, len(table))
                 ends = np.searchsorted(of, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number.astype(np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists, part.column("p"), part.column("u")], names=["terms", "p", "u"])
+                yield pa.RecordBatch.from_arrays([lists, part.column("p"), part.column("u"), part.column("key")], names=["terms", "p", "u", "key"])
 
     # One short list a sampled document, so the sample's bound holds here too.
-    got = sample.mapInArrow(vectors, "terms array<int>, p int, u boolean").toArrow()
+    # In an order of its own, so that the fit does not depend on files and partitions.
+    got = sample.mapInArrow(vectors, "terms array<int>, p int, u boolean, key long").toArrow().sort_by("key")
     lists = got.column("terms").combine_chunks()
     rows = [np.asarray(x.values.to_numpy() if x.is_valid else [], np.int64) for x in lists]
     positive, unlabelled = (got.column(c).to_numpy().astype(float) for c in ("p", "u"))
