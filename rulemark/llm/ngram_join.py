@@ -53,6 +53,8 @@ from rulemark.llm.frames import Store, cut, fresh, sweep
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Rows (of four numbers) up to which the list of wanted texts is broadcast.
+SENT_ROWS = 1 << 18
 #: Members of an entry in one block, where many are still to be compared with each other.
 BLOCK = 256
 #: Classes that a task remembers, to tell the entries of copies once.
@@ -310,10 +312,12 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bounded = lambda pairs: pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where(near("x", "y", percent))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        """(k1, k2, text) of the classes of pairs (a, b), a row each. What is wanted is a small part, so it is hashed and no text is sorted."""
+        """(k1, k2, text) of the classes of pairs (a, b), a row each."""
         nodes = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-        wanted = heads.join(nodes, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("id"), "th")
-        found = source.join(wanted.hint("shuffle_hash"), ["id", "th"]).withColumn("turn", F.row_number().over(Window.partitionBy("id", "th", "k1", "k2").orderBy("id")))
+        wanted = store.put(heads.join(nodes, "k1", "left_semi").select("k1", "k2", F.col("rep").alias("id"), "th"))
+        # Few enough are sent to the texts; of more, each partition hashes its own, and no text is sorted.
+        side = wanted.hint("broadcast" if wanted.count() <= SENT_ROWS else "shuffle_hash")
+        found = source.join(side, ["id", "th"]).withColumn("turn", F.row_number().over(Window.partitionBy("id", "th", "k1", "k2").orderBy("id")))
         out = store.put(found.where("turn = 1").select("k1", "k2", "text"))
         sweep(spark)
         return out
