@@ -347,9 +347,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = store.put(links.union(verified(split, texts)))
     store.drop(pairs, at, texts)
     sweep(spark)
-    # What is left are members of one entry that are of several components, none of them the hub's.
+    # Every member has met its entry's hub; what is left are the other members of one entry, where they are of several components.
     at = store.put(parts(links))
-    rest = opened.select("entry", "k1").join(at, "k1").join(heads.select("k1", "set"), "k1")
+    rest = opened.where("k1 <> hub").select("entry", "k1").distinct().join(at, "k1").join(heads.select("k1", "set"), "k1")
     state = rest.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("members"), F.count("*").alias("n"))
     # Entries of equal members count once; those of many members are compared in blocks, a pair of blocks a group.
     state = state.where("low < high").groupBy("members", "n").agg(F.min("entry").alias("entry"))
