@@ -105,3 +105,21 @@ def name_forms(raw: Column) -> Column:
         F.array(form(0, exact), form(1, loose), form(2, F.concat(F.lit("~"), compact)), form(3, F.when(F.length(compact) >= 8, F.concat(F.lit("#"), letters)))),
         lambda x: x["form"].isNotNull() & ~x["form"].isin("", "~"),
     )
+
+
+def accession(raw: Column) -> Column:
+    """A filing's number as 10-2-6 digits with dashes; null where it is none."""
+    found = F.regexp_extract(raw, r"^(\d{10})-?(\d{2})-?(\d{6})$", 0)
+    return F.when(found != "", F.regexp_replace(raw, r"^(\d{10})-?(\d{2})-?(\d{6})$", "$1-$2-$3"))
+
+
+def cusip_to_isin(cusip: Column, country: Column) -> Column:
+    """The ISIN of a valid CUSIP in a country."""
+    body = F.concat(F.upper(country), clean(cusip))
+    return F.when(cusip_valid(cusip), F.concat(body, isin_digit(body).cast("string")))
+
+
+def isin_to_cusip(isin: Column) -> Column:
+    """The CUSIP inside a valid ISIN of the United States or Canada."""
+    c = clean(isin)
+    return F.when(isin_valid(isin) & F.substring(c, 1, 2).isin("US", "CA"), F.substring(c, 3, 9))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from fractions import Fraction
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Wording that commits, and wording that hedges, by name.
@@ -23,6 +20,7 @@ SOFT = {
 # Fund name words of the two groups of name rules.
 NAME_STRICT = r"\b(esg|sri|sustainab\w*|environment\w*|green|climate|impact\w*|paris|net[- ]zero|responsible)\b"
 NAME_LIGHT = r"\b(transition\w*|social\w*|governance|improv\w*|progress\w*|evolution|transformation)\b"
+# Fixed value: a "may" that forbids.
 _HIDDEN_MAY = r"\bmay\s+not\b|\bno\b[^.;:]{0,80}?\bmay\b"
 
 
@@ -56,6 +54,7 @@ def not_enforced(target: Column, status: Column, observability: Column, kind: Co
 
 def confidence(found: Column, grounded: Column, mixed: Column, occurrences: Column, unmarked: Column) -> Column:
     """How far an extracted rule can be trusted: 0 without its quote, 0.3 with an ungrounded number."""
+    # The weights of doubts.
     penalty = 0.15 * mixed.cast("int") + 0.10 * (occurrences > 1).cast("int") + 0.10 * unmarked.cast("int")
     return F.when(~found, 0.0).when(~grounded, 0.3).otherwise(F.round(0.95 - penalty, 2))
 
@@ -65,40 +64,6 @@ def digits(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])\d{1,3}(?:,\d{3})+(?:\.\d+)?|(?<![\w.,])\d+(?:\.\d+)?"), 0), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
 
 
-# Number words.
-_UNITS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20), strict=True))
-_TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10), strict=True))
-_PARTS = {"half": Fraction(1, 2), "halves": Fraction(1, 2), "third": Fraction(1, 3), "thirds": Fraction(1, 3), "quarter": Fraction(1, 4), "quarters": Fraction(1, 4), "fifth": Fraction(1, 5), "fifths": Fraction(1, 5)}
-_NUMBER = re.compile(r"(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|[a-z]+(?:-[a-z]+)?", re.IGNORECASE)
-
-
-def numbers_in(text: str | None) -> list[float]:
-    """Numbers of a text: digits, percents as written, number words, and fractions in words."""
-    out: list[float] = []
-    waiting: int | None = None
-    for m in _NUMBER.finditer(text or ""):
-        word = m[0].lower()
-        if word[0].isdigit():
-            out.append(float(word.replace(",", "")))
-            waiting = None
-            continue
-        parts = word.split("-")
-        known = [_UNITS.get(p, _TENS.get(p)) for p in parts]
-        if all(v is not None for v in known):
-            waiting = sum(v for v in known if v is not None)
-            out.append(float(waiting))
-        elif word in _PARTS:
-            if waiting is not None:
-                out[-1] = float(waiting * _PARTS[word])
-            else:
-                out.append(float(_PARTS[word]))
-            waiting = None
-        elif len(parts) == 2 and parts[0] in _UNITS and parts[1] in _PARTS:
-            out.append(float(_UNITS[parts[0]] * _PARTS[parts[1]]))
-            waiting = None
-        elif word == "hundred" and waiting:
-            waiting *= 100
-            out[-1] = float(waiting)
-        else:
-            waiting = None
-    return out
+def approve(constraints: DataFrame, approved: Column, promoted: Column, kind: str = "kind", review: str = "review") -> DataFrame:
+    """Rules after a review: those of ``approved`` that nobody has rejected are approved, those of ``promoted`` count as hard."""
+    return constraints.withColumns({kind: F.when(promoted, "hard").otherwise(F.col(kind)), review: F.when(approved & (F.col(review) != "rejected"), "approved").otherwise(F.col(review))})

@@ -103,3 +103,8 @@ def quoted(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, q
     hit = keyed.join(texts, doc).join(q.where("_size > 0").select(item, "_q"), item).where(F.contains("_t", "_q")).select(doc, item, "_t", "_q")
     short = texts.join(q.where("_size = 0").select(item, "_q"), F.contains("_t", "_q")).select(doc, item, "_t", "_q")
     return hit.unionByName(short).select(doc, item, (F.position(F.col("_q"), F.col("_t")) - 1).alias("char_start"), occurrences(F.col("_t"), F.col("_q")).alias("n"))
+
+
+def section(paragraphs: DataFrame, pattern: str, heading: str = "heading") -> DataFrame:
+    """Paragraphs that stand under a heading which matches the pattern."""
+    return paragraphs.where(F.col(heading).rlike(pattern))

@@ -111,13 +111,16 @@ def price_crosscheck_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("set_operations", """
-    SELECT 'both' AS kind, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2)
-    UNION ALL SELECT 'first only', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2)
-    UNION ALL SELECT 'either', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 UNION SELECT l_partkey FROM lineitem WHERE l_suppkey = 2)""")
+    WITH a AS (SELECT DISTINCT l_suppkey AS fund, l_partkey AS asset FROM lineitem), b AS (SELECT DISTINCT l_suppkey - 1 AS fund, l_partkey AS asset FROM lineitem)
+    SELECT fund, 'both' AS kind, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY 1
+    UNION ALL SELECT fund, 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY 1
+    UNION ALL SELECT fund, 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda k: read(spark, sf_dir, "lineitem").where(F.col("l_suppkey") == k).select("l_partkey")
-    n = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
-    return n(of(1).intersect(of(2)), "both").unionByName(n(of(1).subtract(of(2)), "first only")).unionByName(n(of(1).union(of(2)).distinct(), "either"))
+    """Assets that each fund and the next one both hold, that it alone holds, and that either holds."""
+    items = read(spark, sf_dir, "lineitem")
+    of = lambda k: items.select((F.col("l_suppkey") - k).alias("fund"), F.col("l_partkey").alias("asset"))
+    n = lambda df, kind: df.groupBy("fund").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return n(of(0).intersect(of(1)), "both").unionByName(n(of(0).subtract(of(1)), "first only")).unionByName(n(of(0).union(of(1)).distinct(), "either"))
 
 
 @query("value_counts_mode", """

@@ -92,14 +92,14 @@ def implied_returns_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chained_returns", sql(PAIRS_SQL + """, own AS (
-        SELECT start, "end", asset_id, fund_id, CASE WHEN abs(b1 / b0 - 1) <= 0.08 THEN (v1 / b1) / (v0 / b0) - 1 END AS ret FROM pairs
-    ), parent AS (SELECT start, "end", asset_id, ret FROM own WHERE fund_id = 1), extra AS (SELECT start, "end", asset_id, ret FROM own WHERE fund_id = 2),
+        SELECT (fund_id + 1) // 2 AS family, start, "end", asset_id, fund_id, CASE WHEN abs(b1 / b0 - 1) <= 0.08 THEN (v1 / b1) / (v0 / b0) - 1 END AS ret FROM pairs
+    ), parent AS (SELECT family, start, "end", asset_id, ret FROM own WHERE fund_id % 2 = 1), extra AS (SELECT family, start, "end", asset_id, ret FROM own WHERE fund_id % 2 = 0),
     u AS (SELECT *, 0 AS k FROM parent WHERE ret IS NOT NULL UNION ALL SELECT *, 1 FROM extra WHERE ret IS NOT NULL)
-    SELECT start, "end", asset_id, round(arg_min(ret, k), 6) AS ret, CAST(min(k) AS INT) AS source_no, round(max(ret) - min(ret), 6) AS disagreement FROM u GROUP BY 1, 2, 3""", "holdings"))
+    SELECT family, start, "end", asset_id, round(arg_min(ret, k), 6) AS ret, CAST(min(k) AS INT) AS source_no, round(max(ret) - min(ret), 6) AS disagreement FROM u GROUP BY 1, 2, 3, 4""", "holdings"))
 def chained_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = prices.implied_returns(prices.paired(holdings(spark, sf_dir).where("fund_id IN (1, 2)"), ["fund_id"]))
-    out = prices.chained([own.where(F.col("fund_id") == k) for k in (1, 2)], ["start", "end", "asset_id"])
-    return out.select("start", "end", "asset_id", R("ret", 6).alias("ret"), "source_no", R("disagreement", 6).alias("disagreement"))
+    own = prices.implied_returns(prices.paired(holdings(spark, sf_dir), ["fund_id"])).withColumn("family", F.floor((F.col("fund_id") + 1) / 2))
+    out = prices.chained([own.where(F.col("fund_id") % 2 == k) for k in (1, 0)], ["family", "start", "end", "asset_id"])
+    return out.select("family", "start", "end", "asset_id", R("ret", 6).alias("ret"), "source_no", R("disagreement", 6).alias("disagreement"))
 
 
 @query("split_adjust_forward", sql(INDEX_PAIRS_SQL + """, p AS (SELECT *, (v1 / b1) / (v0 / b0) AS pr, b1 / b0 AS sr FROM pairs),

@@ -128,7 +128,7 @@ def company_name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("id", ids.company_name(F.col("name")).alias("exact"), loose.alias("loose"), F.concat(F.lit("~"), F.replace(loose, F.lit(" "), F.lit(""))).alias("compact"))
 
 
-MATCH_SQL = FORMS_SQL.replace("FROM n)", "FROM n WHERE id % 3 = 0)") + f""", forms AS (
+MATCH_SQL = FORMS_SQL + f""", forms AS (
         SELECT id, 0 AS tier, exact AS form FROM f WHERE exact <> '' UNION ALL SELECT id, 1, loose FROM f WHERE loose <> '' UNION ALL SELECT id, 2, '~' || replace(loose, ' ', '') FROM f WHERE loose <> ''
     ), reg AS (SELECT c_custkey // 2 AS cik, {_name_sql('c_name', ids.LOOSE)} AS loose, {_name_sql('c_name', ids.SUFFIXES)} AS exact FROM customer),
     rf AS (SELECT DISTINCT cik, form FROM (SELECT cik, exact AS form FROM reg UNION ALL SELECT cik, loose FROM reg UNION ALL SELECT cik, '~' || replace(loose, ' ', '') FROM reg)),
@@ -139,17 +139,20 @@ MATCH_SQL = FORMS_SQL.replace("FROM n)", "FROM n WHERE id % 3 = 0)") + f""", for
 
 @query("match_issuers_tiered", MATCH_SQL)
 def match_issuers_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _names(spark, sf_dir).where("id % 3 = 0").select("id", F.inline(F.filter(ids.name_forms(F.col("name")), lambda x: x["tier"] < 3)))
+    left = _names(spark, sf_dir).select("id", F.inline(F.filter(ids.name_forms(F.col("name")), lambda x: x["tier"] < 3)))
     right = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 2).alias("cik"), F.inline(F.filter(ids.name_forms(F.col("c_name")), lambda x: x["tier"] < 3)))
     return joins.tiered(left, right, "id", "cik")
 
 
 @query("resolve_ambiguous", """
-    WITH g AS (SELECT c_mktsegment AS segment, string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_custkey) AS ids FROM customer WHERE c_custkey <= 60 GROUP BY 1)
-    SELECT segment, array_to_string(string_split(ids, '|')[1:6], '|') AS candidates, len(string_split(ids, '|')) > 6 AS more FROM g""")
+    WITH c AS (SELECT c_custkey // 9 AS name_no, c_custkey AS cik, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey % 2 END AS code FROM customer),
+    g AS (SELECT name_no, list(CAST(cik AS VARCHAR) ORDER BY cik) AS ids, count(DISTINCT code) AS codes, min(code) AS code FROM c GROUP BY 1)
+    SELECT name_no, CASE WHEN codes = 1 THEN code END AS code, array_to_string(ids[1:6], '|') AS candidates, len(ids) > 6 AS more FROM g""")
 def resolve_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = read(spark, sf_dir, "customer").where("c_custkey <= 60").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")).alias("ids"))
-    return g.select("segment", F.array_join(F.slice("ids", 1, 6), "|").alias("candidates"), (F.size("ids") > 6).alias("more"))
+    """Candidates of one name are accepted where those that have a code agree on it; six at most are shown."""
+    c = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 9).alias("name_no"), F.col("c_custkey").alias("cik"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") % 2).alias("code"))
+    g = c.groupBy("name_no").agg(F.transform(F.array_sort(F.collect_list("cik")), lambda x: x.cast("string")).alias("ids"), F.count_distinct("code").alias("codes"), F.min("code").alias("code"))
+    return g.select("name_no", F.when(F.col("codes") == 1, F.col("code")).alias("code"), F.array_join(F.slice("ids", 1, 6), "|").alias("candidates"), (F.size("ids") > 6).alias("more"))
 
 
 @query("sic_range_exclusion", """

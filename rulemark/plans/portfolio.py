@@ -103,20 +103,19 @@ def attribution_total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("fund_id").agg(F.count("*").alias("n_periods"), R(F.sum(F.ln(1 + F.col("ret"))), 6).alias("log_growth"), R(sharpe, 6).alias("sharpe"))
 
 
-# Samples of K of the first N assets, with a stand-in benchmark weight and variance.
-N, K, M = 120, 12, 200
-SAMPLES_SQL = f""", small AS (SELECT asset_id, sector, country, esg, carbon, asset_id % 9 + 1 AS bench, (asset_id % 7 + 1) / 100.0::DOUBLE AS variance FROM assets WHERE asset_id <= {N}),
+# Samples of K of all assets, with a stand-in benchmark weight and variance.
+K, M = 12, 200
+SAMPLES_SQL = f""", small AS (SELECT asset_id, sector, country, esg, carbon, asset_id % 9 + 1 AS bench, (asset_id % 7 + 1) / 100.0::DOUBLE AS variance FROM assets),
 s AS (SELECT * FROM (SELECT m.sample_id, small.*, row_number() OVER (PARTITION BY m.sample_id ORDER BY md5(concat_ws('|', '1', m.sample_id, asset_id)), asset_id) AS rank
     FROM small CROSS JOIN (SELECT unnest(range(0, {M})) AS sample_id) m) WHERE rank <= {K})"""
 
 
-def small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assets(spark, sf_dir).where(F.col("asset_id") <= N)
-    return a.withColumns({"bench": F.col("asset_id") % 9 + 1, "variance": (F.col("asset_id") % 7 + 1) / F.lit(100.0)})
+def universe_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets(spark, sf_dir).withColumns({"bench": F.col("asset_id") % 9 + 1, "variance": (F.col("asset_id") % 7 + 1) / F.lit(100.0)})
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.k_subsets(small(spark, sf_dir), K, M, 1)
+    return sampling.k_subsets(universe_assets(spark, sf_dir), K, M, 1)
 
 
 @query("random_k_subsets", sql(SAMPLES_SQL + " SELECT sample_id, asset_id FROM s", "assets"))
@@ -164,11 +163,13 @@ def enumerate_k_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 INC_SQL = SAMPLES_SQL + f""", p AS (SELECT asset_id, count(s.asset_id) / {M}.0::DOUBLE AS freq FROM small LEFT JOIN s USING (asset_id) GROUP BY 1)"""
 
 
-@query("inclusion_error", sql(INC_SQL + f" SELECT asset_id, round(freq, 6) AS freq, round(freq - {K}::DOUBLE / {N}, 6) AS error FROM p", "assets"))
+@query("inclusion_error", sql(INC_SQL + f" SELECT asset_id, round(freq, 6) AS freq, round(freq - {K}::DOUBLE / (SELECT count(*) FROM small), 6) AS error FROM p", "assets"))
 def inclusion_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = universe_assets(spark, sf_dir)
     seen = samples(spark, sf_dir).groupBy("asset_id").agg(F.count("*").alias("n"))
     freq = F.coalesce(F.col("n"), F.lit(0)) / F.lit(float(M))
-    return small(spark, sf_dir).select("asset_id").join(seen, "asset_id", "left").select("asset_id", R(freq, 6).alias("freq"), R(freq - K / N, 6).alias("error"))
+    share = u.agg((K / F.count("*")).alias("share"))
+    return u.select("asset_id").join(seen, "asset_id", "left").crossJoin(F.broadcast(share)).select("asset_id", R(freq, 6).alias("freq"), R(freq - F.col("share"), 6).alias("error"))  # one row
 
 
 # Single draws from six states against their exact law.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rulemark.operators import rules, sampling
-from rulemark.plans.portfolio import K, SAMPLES_SQL, samples, small
+from rulemark.plans.portfolio import K, SAMPLES_SQL, samples
 from rulemark.plans.registry import query
 from rulemark.sources.tables import assets, read, sql
 
@@ -80,12 +80,12 @@ def rejection_kept_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keep_first(_set(spark, sf_dir), 20).select("sample_id", F.col("kept_no").cast("long").alias("kept_no"))
 
 
-@query("constraint_manager_effects", sql(OK_SQL + """, v AS (SELECT sample_id, avg(carbon) AS stat FROM s GROUP BY 1), j AS (SELECT * FROM v JOIN ok USING (sample_id)), fund AS (SELECT avg(carbon) AS stat FROM assets WHERE asset_id <= 12)
+@query("constraint_manager_effects", sql(OK_SQL + """, v AS (SELECT sample_id, avg(carbon) AS stat FROM s GROUP BY 1), j AS (SELECT * FROM v JOIN ok USING (sample_id)), fund AS (SELECT avg(carbon) AS stat FROM assets WHERE country = 'Brand#13')
     SELECT round(quantile_cont(j.stat, 0.5) FILTER (ok), 4) AS ruled_median, round(quantile_cont(j.stat, 0.5), 4) AS free_median, round(quantile_cont(j.stat, 0.5) FILTER (ok) - quantile_cont(j.stat, 0.5), 4) AS constraint_effect,
         round(any_value(fund.stat) - quantile_cont(j.stat, 0.5) FILTER (ok), 4) AS manager_effect FROM j, fund""", "assets"))
 def constraint_manager_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = samples(spark, sf_dir).groupBy("sample_id").agg(F.avg("carbon").alias("stat")).join(_set(spark, sf_dir).select("sample_id", "ok"), "sample_id")
-    fund = assets(spark, sf_dir).where("asset_id <= 12").agg(F.avg("carbon").alias("fund"))
+    fund = assets(spark, sf_dir).where("country = 'Brand#13'").agg(F.avg("carbon").alias("fund"))
     ruled, free = F.percentile(F.when(F.col("ok"), F.col("stat")), F.lit(0.5)), F.percentile("stat", F.lit(0.5))
     a = v.agg(ruled.alias("ruled"), free.alias("free")).crossJoin(fund)  # one row each
     return a.select(R("ruled", 4).alias("ruled_median"), R("free", 4).alias("free_median"), R(F.col("ruled") - F.col("free"), 4).alias("constraint_effect"), R(F.col("fund") - F.col("ruled"), 4).alias("manager_effect"))
@@ -129,16 +129,14 @@ def w_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("sample_id").agg(R(F.sqrt(MARKET_VARIANCE * F.pow(F.sum(F.col("w") * F.col("beta")), F.lit(2.0)) + F.sum(F.col("w") * F.col("w") * F.col("resid"))), 8).alias("risk"))
 
 
-@query("quadratic_risk", sql(SAMPLES_SQL + f""", c AS (SELECT a.asset_id AS i, b.asset_id AS j, CASE WHEN a.asset_id = b.asset_id THEN a.variance ELSE sqrt(a.variance * b.variance) * 0.2 END AS cov FROM small a CROSS JOIN small b)
-    SELECT a.sample_id, round(sqrt(sum(cov) / {K * K}), 8) AS risk FROM s a JOIN s b ON a.sample_id = b.sample_id JOIN c ON c.i = a.asset_id AND c.j = b.asset_id GROUP BY 1""", "assets"))
+@query("quadratic_risk", sql(SAMPLES_SQL + f"""
+    SELECT a.sample_id, round(sqrt(sum(CASE WHEN a.asset_id = b.asset_id THEN a.variance ELSE sqrt(a.variance * b.variance) * 0.2::DOUBLE END) / {K * K}), 8) AS risk FROM s a JOIN s b ON a.sample_id = b.sample_id GROUP BY 1""", "assets"))
 def quadratic_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """w'Cw through a long covariance table: pairs are of held assets only."""
-    u = small(spark, sf_dir).select("asset_id", "variance")
-    cov = u.select(F.col("asset_id").alias("i"), F.col("variance").alias("vi")).crossJoin(u.select(F.col("asset_id").alias("j"), F.col("variance").alias("vj")))  # the fixture's table itself
-    cov = cov.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("vi")).otherwise(F.sqrt(F.col("vi") * F.col("vj")) * 0.2).alias("cov"))
-    s = samples(spark, sf_dir).select("sample_id", "asset_id")
-    pairs = s.withColumnRenamed("asset_id", "i").join(s.withColumnRenamed("asset_id", "j"), "sample_id").join(cov, ["i", "j"])
-    return pairs.groupBy("sample_id").agg(R(F.sqrt(F.sum("cov") / (K * K)), 8).alias("risk"))
+    """w'Cw over the pairs of held assets only: K^2 of a sample, however many assets there are."""
+    s = samples(spark, sf_dir).select("sample_id", "asset_id", "variance")
+    pairs = s.select("sample_id", F.col("asset_id").alias("i"), F.col("variance").alias("vi")).join(s.select("sample_id", F.col("asset_id").alias("j"), F.col("variance").alias("vj")), "sample_id")
+    cov = F.when(F.col("i") == F.col("j"), F.col("vi")).otherwise(F.sqrt(F.col("vi") * F.col("vj")) * 0.2)
+    return pairs.groupBy("sample_id").agg(R(F.sqrt(F.sum(cov) / (K * K)), 8).alias("risk"))
 
 
 @query("level_percentile_by_sector", sql("""

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulemark.functions import numbers
 from rulemark.functions import text as words
 from rulemark.operators import documents
 from rulemark.plans.registry import query
@@ -50,7 +51,7 @@ def numbers_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbers_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(words.numbers_in)
+        return texts.map(numbers.numbers_in)
 
     return clauses(spark, sf_dir).select("o_orderkey", found("text").alias("numbers"))
 
@@ -95,12 +96,12 @@ def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("paragraphs_split", r"""
-    WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE lang = 'es'),
+    WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     s AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS s FROM p)
     SELECT doc_id, CAST(i - 1 AS INT) AS idx, CAST(s + (i - 1) AS INT) AS char_start, CAST(s + (i - 1) + length(t) AS INT) AS char_end FROM s WHERE trim(t) <> ''""")
 def paragraphs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank-line paragraphs with offsets; the documents' line ends are doubled to be such."""
-    d = read(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return readers.paragraphs(d).select("doc_id", "idx", "char_start", "char_end")
 
 

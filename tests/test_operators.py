@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemark.functions import identifiers as ids
-from rulemark.functions.text import numbers_in
+from rulemark.functions.numbers import number_appears, numbers_in
 from rulemark.operators import documents, joins, prices, rules, sampling, store
 from rulemark.sources import readers
 
@@ -124,7 +124,11 @@ def test_readers(spark, tmp_path):
 
 
 def test_numbers_in_words():
-    assert numbers_in("at least two-thirds, twenty-five percent, 1,250.5 and one hundred") == pytest.approx([2 / 3, 25, 1250.5, 100])
+    assert numbers_in("33 1/3 of rule 35d-1 and any one issuer") == pytest.approx([100 / 3])
+    assert numbers_in("twenty-five percent, 1,250.5 and one hundred; two-thirds; three-quarters, 1/3") == pytest.approx([25, 1250.5, 100, 0.75, 1 / 3])
+    assert numbers_in("N-14, 10-K, S000000856, 12b, one-third, one fund of one hundred, sixth, .5 or 7/40 of 80.") == pytest.approx([1 / 3, 1, 100, 0.5, 7, 40, 80])
+    assert number_appears(0.8, "at least 80% of") and number_appears(80, "80 per cent") and not number_appears(0.8, "80 names") and number_appears(25, "one-quarter")
+    assert numbers_in(None) == numbers_in("") == []
 
 
 def test_intake_appends_once(spark, tmp_path):
@@ -147,3 +151,32 @@ def test_quotes_of_any_length_and_surrounding(spark):
     items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
     got = {(r["doc_id"], r["item_id"]): (r["char_start"], r["n"]) for r in documents.quoted(docs, items, "doc_id", "text", "item_id", "quote").collect()}
     assert got == {(d, i): (t.index(q), t.count(q)) for d, t in enumerate(texts) for i, q in enumerate(quotes) if t and q and q in t}
+
+
+def test_identifier_conversions(spark):
+    from rulemark.functions import identifiers as ids
+
+    a = spark.createDataFrame([("037833100", "us"), ("03783310X", "US"), (None, "US")], "c string, k string")
+    a = a.withColumn("isin", ids.cusip_to_isin(F.col("c"), F.col("k"))).withColumn("back", ids.isin_to_cusip(F.col("isin")))
+    assert [(r["isin"], r["back"]) for r in a.collect()] == [("US0378331005", "037833100"), (None, None), (None, None)]
+
+
+def test_spec_problems_and_compilation(spark):
+    from rulemark.operators import spec as specs
+
+    said = {"source": "", "note": ""}
+    assert specs.problems([]) and specs.problems({"rules": [{"kind": "odd"}]}) == ["rule 0: unknown kind 'odd'"]
+    found = specs.problems({"rules": [{"kind": "position_cap", "max_weight": 15, **said}, {"kind": "holdings", "min": 1.5, "max": 3, "extra": 1, **said}]})
+    assert found == ["rule 0 (position_cap): max_weight is a share above 0, up to 1", "rule 1 (holdings): min cannot be 1.5", "rule 1 (holdings): extra is unexpected"]
+    assets = spark.createDataFrame([(k, "AB"[k % 2], float(k), k % 3 == 0) for k in range(10)], "asset_id long, sector string, esg double, coal boolean")
+    u = specs.Universe(assets, labels=("sector",), numeric=("esg",), flags=("coal",))
+    spec = {"rules": [
+        {"kind": "exclude", "by": "flag", "values": ["Coal"], **said}, {"kind": "require", "by": "sector", "values": ["a"], **said}, {"kind": "exclude", "by": "ticker", "values": ["77"], **said},
+        {"kind": "group_limit", "by": "sector", "values": ["b"], "bound": "max", "limit": 0.1, "unit": "weight", **said}, {"kind": "exclude_threshold", "metric": "ESG", "side": "below", "value": 0.5, "basis": "relative_to_mean", "scope": "universe", **said},
+    ]}
+    out, k, warnings = specs.compile_spec(specs.read_spec(specs.write_spec(spec)), u, 3)
+    assert [(c.status, c.members) for c in out] == [("mapped", 4), ("mapped", 5), ("unmapped", 0), ("mapped", 5), ("mapped", 3)] and k == 3 and warnings == ["exclusions leave 2 assets, fewer than k = 3"]
+    held = assets.where("asset_id IN (4, 8)").withColumn("fund", F.lit(1))
+    assert {r["rule_no"]: r["ok"] for r in specs.obeys(held, out, "fund").collect()} == {0: True, 1: True, 3: True, 4: True}
+    with pytest.raises(ValueError, match="needs k"):
+        specs.compile_spec(spec, u)
