@@ -1,21 +1,27 @@
 """Document quality from random-indexing word vectors and a small network.
 
-Every term has a sparse ternary index vector given by its hash. A term's word
-vector is its own index vector plus those of its neighbours, summed over the
-fitting sample and scaled to length one; a document is the mean of its terms'
-vectors. Two numpy layers turn that into a logit, and one temperature, fitted on
-documents kept out of the training, calibrates the probabilities.
+Every term has a sparse ternary index vector given by its hash, so no vocabulary
+is held and no term is cut. A term's context is the sum of its neighbours' index
+vectors over all documents, kept in a table of ``slots`` rows that the term's
+hash chooses: the table's size is fixed, whatever the corpus, and rare terms that
+share a row share a context but keep their own index vectors. A term's vector is
+its index vector plus its context, each scaled to length one; a document is the
+mean of its terms' vectors. Two numpy layers turn that into a logit, and one
+temperature, fitted on documents kept out of the training, calibrates the
+probabilities.
 
 Terms are words (ASCII case folded), their shapes (runs of capitals, letters,
 digits and each symbol) and whether a word repeats the one before.
 
-The model is fitted on a bounded sample (``max_fit_rows`` labelled documents with
-the smallest id hashes, ``max_terms`` terms) and is the only thing sent to the
-workers; every document is scored whole.
+Only the network is fitted on a bounded sample (``max_fit_rows`` labelled
+documents with the smallest id hashes); contexts are whole numbers summed over
+every document, so files and partitions change nothing. The table of contexts
+(``slots`` * ``width`` floats) is all that goes to the workers.
 
 Defined results: null and empty texts are the zero vector, so they all get one
 score; rows are scored one by one; documents without a label and null labels
-play no part in fitting; with labels of one kind only, every score is that label.
+play no part in fitting the network; with labels of one kind only, every score
+is that label.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from rulemark.llm.frames import cut, fresh
 @dataclass(frozen=True)
 class Settings:
     max_fit_rows: int = 6000
-    max_terms: int = 12000
+    slots: int = 1 << 15
     width: int = 96
     nonzero: int = 8
     window: int = 2
@@ -71,46 +77,121 @@ def term_hashes(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(words, text_of), (shapes, text_of), (np.full(len(again), 0x5EED, np.uint64), text_of[again])]
 
 
-def index_vectors(hashes: np.ndarray, s: Settings) -> np.ndarray:
-    """The sparse ternary vector of each term."""
-    out = np.zeros((len(hashes), s.width), np.float32)
-    rows, h = np.arange(len(hashes)), hashes
-    for _ in range(s.nonzero):
+def index_places(hashes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the entries of each term's sparse ternary vector."""
+    places, signs = (np.empty((len(hashes), s.nonzero), t) for t in (np.int64, np.int32))
+    h = hashes
+    for k in range(s.nonzero):
         h = tb.mix(h + np.uint64(0x9E3779B97F4A7C15))
-        out[rows, (h >> np.uint64(33)).astype(np.int64) % s.width] += np.where(h & np.uint64(1), 1, -1).astype(np.float32)
-    return out
+        places[:, k] = (h >> np.uint64(33)).astype(np.int64) % s.width
+        signs[:, k] = np.where(h & np.uint64(1), 1, -1)
+    return places, signs
+
+
+def slot_of(hashes: np.ndarray, s: Settings) -> np.ndarray:
+    """The row of the context table that each term has."""
+    return (hashes % np.uint64(s.slots)).astype(np.int64)
+
+
+#: Pairs worked on at a time; bounds the temporaries.
+PAIRS = 1 << 16
 
 
 @dataclass
 class QualityModel:
-    terms: np.ndarray
-    vectors: np.ndarray
+    settings: Settings
+    contexts: np.ndarray
     layers: tuple
     temperature: float
 
-    def pooled(self, column: pa.Array, table: tb.TermTable) -> np.ndarray:
-        """The mean term vector of each text, over all its terms known or not."""
-        out = np.zeros((len(column), self.vectors.shape[1]))
-        kinds = term_hashes(column)
-        total = np.bincount(np.concatenate([of for _, of in kinds]), minlength=len(column)) if len(kinds[0][0]) else np.zeros(len(column))
-        for hashes, of in kinds:
-            number = table.find(hashes)
-            there = number >= 0
-            # Count each text's terms first: vectors are then added once a distinct term.
-            pairs, times = np.unique(of[there] * max(1, len(table)) + number[there], return_counts=True)
-            if len(pairs):
-                doc, number = pairs // len(table), pairs % len(table)
-                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                out[doc[first]] += np.add.reduceat(self.vectors[number] * times[:, None], first, axis=0)
-        return out / np.maximum(total, 1)[:, None]
-
-    def scores(self, column: pa.Array, table: tb.TermTable) -> np.ndarray:
+    def pooled(self, column: pa.Array) -> np.ndarray:
+        """The mean term vector of each text, over all its terms."""
+        s = self.settings
+        out = np.zeros((len(column), s.width))
+        hashes, of = (np.concatenate(x) for x in zip(*term_hashes(column), strict=True))
+        if not len(hashes):
+            return out
+        terms, number = np.unique(hashes, return_inverse=True)
+        places, signs = index_places(terms, s)
+        slots = slot_of(terms, s)
+        # Count each text's terms first: vectors are then added once a distinct term.
+        pairs, times = np.unique(of * len(terms) + number, return_counts=True)
+        for at in range(0, len(pairs), PAIRS):
+            doc, number = pairs[at : at + PAIRS] // len(terms), pairs[at : at + PAIRS] % len(terms)
+            n, first = times[at : at + PAIRS, None], np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            out[doc[first]] += np.add.reduceat(self.contexts[slots[number]] * n.astype(np.float32), first, axis=0)
+            low, high = doc[0], doc[-1] + 1
+            own = np.bincount(((doc - low)[:, None] * s.width + places[number]).ravel(), (signs[number] * n).ravel(), (high - low) * s.width)
+            out[low:high] += own.reshape(-1, s.width) / np.sqrt(s.nonzero)
+        return out / np.maximum(np.bincount(of, minlength=len(column)), 1)[:, None]
+
+    def scores(self, column: pa.Array) -> np.ndarray:
         mean, scale, w1, b1, w2, b2 = self.layers
-        x = (self.pooled(column, table) - mean) / scale
+        x = (self.pooled(column) - mean) / scale
         logit = np.tanh(x @ w1 + b1) @ w2 + b2
         return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -30, 30)))
 
 
+def add_neighbours(total: np.ndarray, column: pa.Array, s: Settings) -> None:
+    """Adds to total (slots * width, flat) the index vectors of every term's neighbours in the texts."""
+    for hashes, of in term_hashes(column)[:2]:
+        terms, number = np.unique(hashes, return_inverse=True)
+        places, signs = index_places(terms, s)
+        rows = slot_of(terms, s) * s.width
+        for k in range(1, s.window + 1):
+            same = of[:-k] == of[k:]
+            pairs, times = np.unique(number[:-k][same] * len(terms) + number[k:][same], return_counts=True)
+            for at in range(0, len(pairs), PAIRS):
+                left, right = pairs[at : at + PAIRS] // len(terms), pairs[at : at + PAIRS] % len(terms)
+                n = times[at : at + PAIRS, None].astype(np.int32)
+                for to, by in ((left, right), (right, left)):
+                    np.add.at(total, (rows[to][:, None] + places[by]).ravel(), (signs[by] * n).ravel())
+
+
+def _rows(total: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
+    """The rows of a table of sums that hold anything, as (slot, bytes of its numbers)."""
+    table = total.reshape(s.slots, s.width)
+    at = np.flatnonzero(table.any(axis=1))
+    size = s.width * table.itemsize
+    for k in range(0, len(at), 4096):
+        part = at[k : k + 4096]
+        offsets = (np.arange(len(part) + 1) * size).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(table[part].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), values], names=["slot", "sums"])
+
+
+def contexts(docs: DataFrame, text: str = "text", settings: Settings = Settings()) -> np.ndarray:
+    """The context table (slots, width) of all texts of docs, its rows scaled to length one.
+
+    Each task sums its own documents into one table of fixed size; the rows of these
+    are dealt by slot and added as they stream in, so no group is ever held.
+    """
+    s = settings
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(s.slots * s.width, np.int32)
+        for batch in batches:
+            for part in tb.pieces(batch):
+                add_neighbours(total, part.column("text"), s)
+        yield from _rows(total, s)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((s.slots, s.width), np.int64)
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            sums = np.frombuffer(b"".join(batch.column("sums").to_pylist()), np.int32).reshape(-1, s.width)
+            np.add.at(total, slots, sums)
+        yield from _rows(total, s)
+
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(partial, "slot int, sums binary")
+    got = parts.repartition("slot").mapInArrow(added, "slot int, sums binary").toArrow()
+    out = np.zeros((s.slots, s.width), np.float32)
+    # At most ``slots`` rows reach the driver.
+    sums = np.frombuffer(b"".join(got.column("sums").to_pylist()), np.int64).reshape(-1, s.width).astype(float)
+    out[got.column("slot").to_numpy()] = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return out
+
+
 def train(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[tuple, float]:
     """Two layers by Adam, then the temperature on the rows kept out."""
     rng = np.random.default_rng(s.seed)
@@ -141,64 +222,19 @@ def train(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[tuple, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings = Settings()) -> QualityModel:
-    """Learns from the docs that labels (doc_id, label 0 or 1) names."""
+    """Contexts from all docs, the network from those that labels (doc_id, label 0 or 1) names."""
     s = settings
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)).limit(s.max_fit_rows)
     # max_fit_rows ids at most: a bounded side to broadcast.
     sample = cut(docs.select(doc_id, F.col(text).alias("text")).join(F.broadcast(chosen), doc_id).select("text", "y", F.xxhash64(F.col(doc_id), F.col("text")).alias("key")))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.pieces(batch):
-                kinds = term_hashes(part.column("text"))
-                hashes, of = (np.concatenate(x) for x in zip(*kinds, strict=True))
-                if len(hashes):
-                    terms, number = np.unique(hashes, return_inverse=True)
-                    df = np.bincount(np.unique(of * len(terms) + number) % len(terms), minlength=len(terms))
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(df.astype(np.int64))], names=["term", "df"])
-
-    counted = sample.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    best = counted.orderBy(F.col("df").desc(), "term").limit(s.max_terms).select("term")
-    table = tb.TermTable(np.array([r["term"] for r in best.collect()], np.int64).astype(np.uint64))
-    own = index_vectors(table.hashes, s)
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(table) + 1, s.width), np.float32)
-        for batch in batches:
-            for part in tb.pieces(batch):
-                for hashes, of in term_hashes(part.column("text"))[:2]:
-                    number = table.find(hashes)
-                    for k in range(1, s.window + 1):
-                        a, b = number[:-k], number[k:]
-                        both = (of[:-k] == of[k:]) & (a >= 0) & (b >= 0)
-                        pairs, times = np.unique(a[both].astype(np.int64) * len(table) + b[both], return_counts=True)
-                        left, right = pairs // len(table), pairs % len(table)
-                        for to, of_ in ((left, right), (right, left)):
-                            by = np.argsort(to, kind="stable")
-                            first = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])) if len(by) else by
-                            if len(by):
-                                total[to[by][first]] += np.add.reduceat(own[of_[by]] * times[by][:, None].astype(np.float32), first, axis=0)
-        at = np.flatnonzero(total.any(axis=1))
-        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * s.width).astype(np.int32)), pa.array(total[at].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), lists], names=["number", "vector"])
-
-    vectors = own.astype(np.float64)
-    if len(table):
-        # Partial sums of few partitions, each of at most max_terms rows.
-        got = sample.coalesce(4).mapInArrow(neighbours, "number int, vector array<float>").toArrow()
-        parts = got.column("vector").combine_chunks().values.to_numpy().reshape(-1, s.width) if got.num_rows else np.zeros((0, s.width))
-        context = np.zeros_like(vectors)
-        np.add.at(context, got.column("number").to_numpy(), parts)
-        length = np.linalg.norm(context, axis=1, keepdims=True)
-        vectors = vectors / np.sqrt(s.nonzero) + context / np.where(length > 0, length, 1)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    model = QualityModel(table.hashes, vectors.astype(np.float32), (), 1.0)
+    model = QualityModel(s, contexts(docs, text, s), (), 1.0)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.pieces(batch):
-                x = model.pooled(part.column("text"), table).astype(np.float32)
+                x = model.pooled(part.column("text")).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * s.width).astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, part.column("y"), part.column("key")], names=["x", "y", "key"])
 
@@ -222,9 +258,8 @@ def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", ou
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tb.TermTable(model.terms)
         for batch in batches:
             for part in tb.pieces(batch, text):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(model.scores(part.column(text), table))], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(model.scores(part.column(text)))], names=[*keep, out])
 
     return source.mapInArrow(work, schema)
