@@ -122,3 +122,16 @@ def paragraphs(rows: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in rows.columns if c != text]
     out = parts.select(*keep, F.inline(starts)).where("trim(t) <> ''")
     return out.select(*keep, F.col("i").alias("idx"), F.col("s").alias("char_start"), (F.col("s") + F.length("t")).alias("char_end"), F.col("t").alias(text))
+
+
+def period_returns(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """(security_key, total_return) of a user's returns CSV for exactly one period; a security given twice is an error."""
+    rows = spark.read.csv(path, header=True)
+    missing = {"security_key", "start", "end", "total_return"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"the returns CSV lacks {sorted(missing)}")
+    rows = rows.where((F.col("start") == start) & (F.col("end") == end))
+    if rows.groupBy("security_key").count().where("count > 1").limit(1).count():
+        raise ValueError(f"a security has several returns from {start} to {end}")
+    value = F.expr("try_cast(total_return AS DOUBLE)")
+    return rows.select("security_key", value.alias("total_return")).where(F.col("total_return").isNotNull() & ~F.isnan("total_return"))
