@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, quality_model, quality_rules, secrets, topk, toxicity
@@ -135,3 +136,42 @@ def test_fits_do_not_depend_on_partitions(spark):
 def test_top_k_of_an_empty_table(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, none, k=3).count() == 0 and np.isfinite(1.0)
+
+
+def test_quality_contexts_cover_all_documents(spark):
+    s = quality_model.Settings(slots=64, width=12, nonzero=3)
+    texts = ["alpha beta gamma alpha beta", "beta gamma", "", None, "alone", "delta " * 300, "alpha beta gamma alpha beta"]
+    want = np.zeros((s.slots, s.width))
+    for t in texts:
+        for hashes, _ in quality_model.term_hashes(pa.array([t], pa.string()))[:2]:
+            places, signs = quality_model.index_places(hashes, s)
+            for i in range(len(hashes)):
+                for j in range(max(0, i - s.window), min(len(hashes), i + s.window + 1)):
+                    if i != j:
+                        np.add.at(want[int(hashes[i] % np.uint64(s.slots))], places[j], signs[j])
+    length = np.linalg.norm(want, axis=1, keepdims=True)
+    want = want / np.where(length > 0, length, 1)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, many = (quality_model.contexts(df.repartition(n), settings=s) for n in (1, 5))
+    assert np.array_equal(one, many) and np.allclose(one, want, atol=1e-6)
+    assert not quality_model.contexts(df.limit(0), settings=s).any()
+    # A text's vector is the mean of its terms' index vectors and contexts, whatever else is in its batch.
+    model = quality_model.QualityModel(s, one, (), 1.0)
+    column = pa.array(texts, pa.string())
+    for t, got in zip(texts, model.pooled(column), strict=True):
+        hashes = np.concatenate([h for h, _ in quality_model.term_hashes(pa.array([t], pa.string()))])
+        total = np.zeros(s.width)
+        places, signs = quality_model.index_places(hashes, s)
+        for h, p, g in zip(hashes, places, signs, strict=True):
+            np.add.at(total, p, g / np.sqrt(s.nonzero))
+            total += one[int(h % np.uint64(s.slots))]
+        assert np.allclose(got, total / max(1, len(hashes)), atol=1e-5)
+
+
+def test_quality_pooling_in_blocks(monkeypatch):
+    s = quality_model.Settings(slots=64, width=12)
+    model = quality_model.QualityModel(s, np.random.default_rng(0).normal(size=(64, 12)).astype(np.float32), (), 1.0)
+    column = pa.array([f"w{i % 7} w{i % 11} w{i}" for i in range(200)] + [" ".join(f"x{i}" for i in range(500)), None])
+    whole = model.pooled(column)
+    monkeypatch.setattr(quality_model, "PAIRS", 37)
+    assert np.allclose(model.pooled(column), whole, atol=1e-5)
