@@ -16,6 +16,9 @@ LADDER_RATIOS = (2.0, 3.0, 4.0, 5.0, 10.0, 20.0, 0.5, 1 / 3, 0.25, 0.2, 0.1, 0.0
 CHANGE_RATIOS = (1.5, 2.0, 3.0, 4.0, 5.0, 10.0, 20.0, 0.5, 1 / 3, 0.25, 0.2, 0.1, 0.05)
 FORWARD_FACTORS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 25.0, 30.0, 50.0)
 
+#: What ``paired`` knows of both dates.
+SIDES = ("balance0", "value0", "has0", "balance1", "value1", "has1")
+
 
 def equity_sleeve(holdings: DataFrame, asset_category: str = "asset_category", payoff: str = "payoff_profile", units: str = "units", balance: str = "balance", value: str = "value_usd", group: list[str] | None = None) -> DataFrame:
     """Long common equity counted in shares, with its weight in the sleeve."""
@@ -37,13 +40,27 @@ def consecutive(rows: DataFrame, group: list[str], date: str = "report_date") ->
 def paired(rows: DataFrame, group: list[str], key: str = "asset_id", date: str = "report_date", how: str = "inner") -> DataFrame:
     """Positions of a key at consecutive dates side by side (balance0, value0, balance1, value1).
 
-    With how="full" a key held at one of the dates only has nulls at the other.
+    rows has one row a group, key and date; a null key meets nothing. With how="full"
+    a key held at one of the dates only has nulls at the other. A key's rows are
+    sorted once and looked at with their neighbours; rows are not joined with themselves.
     """
-    dates = consecutive(rows, group, date)
-    start = rows.join(dates, [*group, date]).select(*group, F.col(date).alias("start"), F.col("next_date").alias("end"), key, F.col("balance").alias("balance0"), F.col("value").alias("value0"), F.lit(True).alias("has0"))
-    later = dates.select(*group, F.col(date).alias("start"), F.col("next_date").alias("end"))
-    end = rows.withColumnRenamed(date, "end").join(later, [*group, "end"]).select(*group, "start", "end", key, F.col("balance").alias("balance1"), F.col("value").alias("value1"), F.lit(True).alias("has1"))
-    return start.join(end, [*group, "start", "end", key], how)
+    near = Window.partitionBy(*group).orderBy(date)
+    dates = rows.select(*group, date).distinct().withColumns({"_before": F.lag(date).over(near), "_after": F.lead(date).over(near)})
+    along = Window.partitionBy(*group, key).orderBy(date)
+    a = rows.join(dates, [*group, date]).withColumn("_next", F.lead(F.struct(F.col(date).alias("d"), "balance", "value")).over(along))
+    met = F.col(key).isNotNull() & (F.col("_next.d") == F.col("_after"))
+    later = lambda c: F.when(met, F.col(f"_next.{c}"))
+    first = F.struct(F.col(date).alias("start"), F.col("_after").alias("end"), F.col("balance").alias("balance0"), F.col("value").alias("value0"), F.lit(True).alias("has0"), later("balance").alias("balance1"), later("value").alias("value1"), F.when(met, F.lit(True)).alias("has1"))
+    if how == "inner":
+        return a.where(met).select(first.alias("_pair"), *group, key).select(*group, "_pair.start", "_pair.end", key, *(f"_pair.{c}" for c in SIDES))
+    if how != "full":
+        raise ValueError(f"how is inner or full, not {how}")
+    came = F.coalesce(F.lag(date).over(along) != F.col("_before"), F.lit(True)) | F.col(key).isNull()
+    nothing = lambda c: F.lit(None).cast(rows.schema[c].dataType)
+    last = F.struct(F.col("_before").alias("start"), F.col(date).alias("end"), nothing("balance").alias("balance0"), nothing("value").alias("value0"), F.lit(None).cast("boolean").alias("has0"), F.col("balance").alias("balance1"), F.col("value").alias("value1"), F.lit(True).alias("has1"))
+    a = a.withColumn("_came", came)
+    pairs = F.array_compact(F.array(F.when(F.col("_after").isNotNull(), first), F.when(F.col("_before").isNotNull() & F.col("_came"), last)))
+    return a.select(*group, key, F.explode(pairs).alias("_pair")).select(*group, "_pair.start", "_pair.end", key, *(f"_pair.{c}" for c in SIDES))
 
 
 def nearest_ratio(ratio: Column, ratios: tuple[float, ...] = LADDER_RATIOS) -> Column:

@@ -31,9 +31,34 @@ def ordered_draws(assets: DataFrame, n_samples: int, seed: int, asset: str = "as
     return a.withColumn("rank", F.row_number().over(w)).drop("_key")
 
 
+def first_draws(assets: DataFrame, k: DataFrame, n_samples: int, seed: int, asset: str = "asset_id") -> DataFrame:
+    """``ordered_draws`` up to rank k, where k is a table of one row and one column k.
+
+    The first k of n keys lie below a threshold a little above k / n, so only keys
+    below it are sorted. A sample with fewer than k of them there (all but
+    impossible) is drawn again without a threshold: the result is exact.
+    """
+    sample = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_samples - 1).cast("long")))
+    size = assets.agg(F.count("*").alias("_n")).crossJoin(F.broadcast(k.select(F.col("k").alias("_k"))))  # one row each
+    share = (F.col("_k") + 6 * F.sqrt(F.col("_k")) + 20) / F.col("_n")
+    a = assets.crossJoin(F.broadcast(size)).withColumn("sample_id", sample)  # one row
+    a = a.withColumn("_key", key(seed, F.col("sample_id"), F.col(asset)))
+    w = Window.partitionBy("sample_id").orderBy("_key", asset)
+    low = a.where(uniform(F.col("_key")) < share).withColumns({"rank": F.row_number().over(w), "_low": F.count("*").over(Window.partitionBy("sample_id"))})
+    low = low.where(F.col("_low") >= F.least("_k", "_n")).drop("_low")
+    full = low.where(F.col("rank") == 1).select("sample_id")
+    ids = assets.sparkSession.range(n_samples).select(F.col("id").alias("sample_id"))
+    short = ids.join(full, "sample_id", "left_anti")
+    rest = assets.crossJoin(F.broadcast(size)).join(F.broadcast(short)).withColumn("_key", key(seed, F.col("sample_id"), F.col(asset)))  # samples by their number: at most n_samples rows, none as a rule
+    rest = rest.withColumn("rank", F.row_number().over(w))
+    kept = low.unionByName(rest.select(*low.columns))
+    return kept.where(F.col("rank") <= F.col("_k")).select(*assets.columns, "sample_id", "rank")
+
+
 def k_subsets(assets: DataFrame, k: int, n_samples: int, seed: int, asset: str = "asset_id") -> DataFrame:
     """(sample_id, asset columns): n_samples uniform k-subsets."""
-    return ordered_draws(assets, n_samples, seed, asset).where(F.col("rank") <= k).drop("rank")
+    size = assets.sparkSession.range(1).select(F.lit(k).alias("k"))
+    return first_draws(assets, size, n_samples, seed, asset).drop("rank")
 
 
 def combinations(assets: DataFrame, k: int, asset: str = "asset_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from rulemark.operators import prices, sampling
 from rulemark.plans.registry import query
-from rulemark.sources.tables import assets, holdings, index_holdings, read, sql
+from rulemark.sources.tables import assets, holdings, index_holdings, read, report_dates, sql
 
 R = F.round
 SEED, DRAWS, FUND = 20260101, 300, 7
@@ -24,12 +24,13 @@ DRAWN_SQL = UNIVERSE_SQL + f""", ord AS (
 
 def universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(priced names of the first period with their return, funds' k and frozen return in it)."""
-    idx = index_holdings(spark, sf_dir)
-    first = idx.select(F.array_sort(F.collect_set("report_date")).alias("d")).select(F.col("d")[0].alias("t0"), F.col("d")[1].alias("t1"))
-    a = idx.join(F.broadcast(first), F.col("report_date") == F.col("t0")).select("asset_id", F.col("value"), F.col("balance"), "t1", "t0")  # one row
-    b = idx.select("asset_id", F.col("report_date").alias("t1"), F.col("value").alias("v1"), F.col("balance").alias("b1"))
-    uni = a.join(b, ["asset_id", "t1"]).select("asset_id", "t0", "value", ((F.col("v1") / F.col("b1")) / (F.col("value") / F.col("balance")) - 1).alias("ret"))
-    held = holdings(spark, sf_dir).select("fund_id", "asset_id", F.col("report_date").alias("t0"), F.col("value").alias("held")).join(uni.select("asset_id", "t0", "ret"), ["asset_id", "t0"])
+    dates = report_dates(spark, sf_dir).orderBy("report_date").limit(2)  # distinct dates, a row a quarter
+    span = dates.agg(F.min("report_date").alias("t0"), F.max("report_date").alias("t1"))
+    at = lambda t, c: F.max(F.when(F.col("report_date") == F.col(t), F.col(c)))  # noqa: E731  a row an asset and date
+    sides = index_holdings(spark, sf_dir, dates).crossJoin(F.broadcast(span)).groupBy("asset_id", "t0").agg(*(at(t, c).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in ("value", "balance")))  # one row
+    gross = (F.col("value1") / F.col("balance1")) / (F.col("value0") / F.col("balance0"))
+    uni = sides.where("value0 IS NOT NULL AND value1 IS NOT NULL").select("asset_id", "t0", F.col("value0").alias("value"), (gross - 1).alias("ret"))
+    held = holdings(spark, sf_dir, dates).select("fund_id", "asset_id", F.col("report_date").alias("t0"), F.col("value").alias("held")).join(uni.select("asset_id", "t0", "ret"), ["asset_id", "t0"])
     fund = held.groupBy("fund_id").agg(F.count("*").alias("k"), (F.sum(F.col("held") * F.col("ret")) / F.sum("held")).alias("ret"))
     return uni.select("asset_id", "value", "ret"), fund
 
@@ -41,7 +42,7 @@ def rank_one_fund(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where one fund's period return ranks among random equal-weight portfolios of as many names."""
     uni, fund = universe(spark, sf_dir)
     one = fund.where(F.col("fund_id") == FUND).select("fund_id", "k", F.col("ret").alias("fund_ret"))
-    drawn = sampling.ordered_draws(uni.select("asset_id", "ret"), DRAWS, SEED).join(F.broadcast(one), F.col("rank") <= F.col("k"))  # one row
+    drawn = sampling.first_draws(uni.select("asset_id", "ret"), one.select("k"), DRAWS, SEED).crossJoin(F.broadcast(one))  # one row
     null = drawn.groupBy("sample_id", "fund_id", "k", "fund_ret").agg(F.avg("ret").alias("ret"))
     rank = sampling.mid_rank(R("ret", 12), R("fund_ret", 12))
     return null.groupBy("fund_id", "k").agg(R(F.first("fund_ret"), 6).alias("fund_return"), R(rank, 4).alias("percentile"), R(F.percentile("ret", F.lit(0.5)), 6).alias("null_median"), F.count("*").alias("n_draws"))
@@ -59,7 +60,7 @@ def null_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     uni, fund = universe(spark, sf_dir)
     w = Window.partitionBy("sample_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = sampling.ordered_draws(uni.select("asset_id", "ret"), DRAWS, SEED).select("sample_id", F.col("rank").cast("long").alias("k"), F.avg("ret").over(w).alias("ret"))
+    run = sampling.first_draws(uni.select("asset_id", "ret"), fund.agg(F.max("k").alias("k")), DRAWS, SEED).select("sample_id", F.col("rank").cast("long").alias("k"), F.avg("ret").over(w).alias("ret"))
     return run.join(fund.select("fund_id", "k", F.col("ret").alias("fund_ret")), "k")
 
 

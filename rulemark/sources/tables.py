@@ -19,16 +19,22 @@ def quarter_end(ts: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(ts.cast("date"), "quarter"), 2))
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(fund_id, report_date, asset_id, balance, value): one row a holding."""
-    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    keys = (F.col("l_suppkey").alias("fund_id"), quarter_end(F.col("l_shipdate")).alias("report_date"), F.col("l_partkey").alias("asset_id"))
-    return items.groupBy(*keys).agg(F.round(F.sum("l_quantity"), 2).alias("balance"), F.round(F.sum("l_extendedprice"), 2).alias("value"))
+def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_date): the quarters that hold line items, without adding anything up."""
+    return read(spark, sf_dir, "lineitem").select(quarter_end(F.col("l_shipdate")).alias("report_date")).distinct()
 
 
-def index_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def holdings(spark: SparkSession, sf_dir: str, dates: DataFrame | None = None) -> DataFrame:
+    """(fund_id, report_date, asset_id, balance, value): one row a holding; with ``dates`` only theirs, cut before the shuffle."""
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", quarter_end(F.col("l_shipdate")).alias("report_date"), "l_quantity", "l_extendedprice")
+    if dates is not None:
+        items = items.join(F.broadcast(dates.select("report_date")), "report_date", "left_semi")  # a row a quarter
+    return items.groupBy(F.col("l_suppkey").alias("fund_id"), "report_date", F.col("l_partkey").alias("asset_id")).agg(F.round(F.sum("l_quantity"), 2).alias("balance"), F.round(F.sum("l_extendedprice"), 2).alias("value"))
+
+
+def index_holdings(spark: SparkSession, sf_dir: str, dates: DataFrame | None = None) -> DataFrame:
     """(report_date, asset_id, balance, value): all funds together, the parent index."""
-    return holdings(spark, sf_dir).groupBy("report_date", "asset_id").agg(F.round(F.sum("balance"), 2).alias("balance"), F.round(F.sum("value"), 2).alias("value"))
+    return holdings(spark, sf_dir, dates).groupBy("report_date", "asset_id").agg(F.round(F.sum("balance"), 2).alias("balance"), F.round(F.sum("value"), 2).alias("value"))
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:

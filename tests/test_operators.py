@@ -180,3 +180,30 @@ def test_spec_problems_and_compilation(spark):
     assert {r["rule_no"]: r["ok"] for r in specs.obeys(held, out, "fund").collect()} == {0: True, 1: True, 3: True, 4: True}
     with pytest.raises(ValueError, match="needs k"):
         specs.compile_spec(spec, u)
+
+
+def test_first_draws_are_the_heads_of_the_orders(spark):
+    assets = spark.range(200).select(F.col("id").alias("asset_id"), (F.col("id") % 7).alias("x"))
+    for k in (1, 5, 60, 200, 500):
+        head = sampling.ordered_draws(assets, 9, 3).where(F.col("rank") <= k).select("sample_id", "rank", "asset_id", "x")
+        got = sampling.first_draws(assets, spark.createDataFrame([(k,)], "k int"), 9, 3).select(*head.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, head.collect()))
+    assert sampling.k_subsets(assets.limit(0), 3, 4, 1).count() == 0
+
+
+def test_first_draws_beyond_the_threshold(spark, monkeypatch):
+    """Samples with too few keys below the threshold are drawn again whole."""
+    assets = spark.range(50).select(F.col("id").alias("asset_id"))
+    monkeypatch.setattr(sampling, "uniform", lambda digest: F.when(F.substring(digest, 1, 1) < "8", 2.0).otherwise(0.0))
+    head = sampling.ordered_draws(assets, 6, 3).where(F.col("rank") <= 40).select("sample_id", "rank", "asset_id")
+    got = sampling.first_draws(assets, spark.createDataFrame([(40,)], "k int"), 6, 3).select(*head.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, head.collect()))
+
+
+def test_paired_keys_that_pause(spark):
+    """A key absent at one of the group's dates meets nothing there; null keys meet nothing at all."""
+    rows = [("f", "2024-03-31", "a", 1.0, 10.0), ("f", "2024-06-30", "b", 2.0, 20.0), ("f", "2024-09-30", "a", 3.0, 30.0), ("f", "2024-06-30", None, 4.0, 40.0), ("f", "2024-09-30", None, 5.0, 50.0)]
+    df = spark.createDataFrame(rows, "fund string, report_date string, asset_id string, balance double, value double")
+    assert prices.paired(df, ["fund"]).count() == 0
+    full = {(r.start[5:7], r.asset_id, r.balance0, r.balance1) for r in prices.paired(df, ["fund"], how="full").collect()}
+    assert full == {("03", "a", 1.0, None), ("03", "b", None, 2.0), ("03", None, None, 4.0), ("06", "b", 2.0, None), ("06", "a", None, 3.0), ("06", None, 4.0, None), ("06", None, None, 5.0)}
