@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rulemark.functions import identifiers as ids
 from rulemark.functions.numbers import number_appears, numbers_in
 from rulemark.operators import documents, joins, prices, rules, sampling, store
-from rulemark.sources import readers
+from rulemark.sources import readers, reports
 
 D0, D1 = dt.date(2020, 3, 31), dt.date(2020, 6, 30)
 
@@ -207,3 +207,51 @@ def test_paired_keys_that_pause(spark):
     assert prices.paired(df, ["fund"]).count() == 0
     full = {(r.start[5:7], r.asset_id, r.balance0, r.balance1) for r in prices.paired(df, ["fund"], how="full").collect()}
     assert full == {("03", "a", 1.0, None), ("03", "b", None, 2.0), ("03", None, None, 4.0), ("06", "b", 2.0, None), ("06", "a", None, 3.0), ("06", None, 4.0, None), ("06", None, None, 5.0)}
+
+
+REPORT = """<?xml version="1.0"?><!-- <made> up -->
+<edgarSubmission xmlns="http://example.org/report" xmlns:c="http://example.org/common"><headerData><submissionType>NPORT-P</submissionType><filerInfo><seriesClassInfo><classId>C1</classId><classId> </classId><classId>C2</classId></seriesClassInfo></filerInfo></headerData>
+<formData><genInfo><regName>Made Up Trust</regName><regCik>42</regCik><seriesName>N/A</seriesName><repPdEnd>2025-12-31</repPdEnd><repPdDate>2025-03-31</repPdDate><isFinalFiling>N</isFinalFiling></genInfo>
+<fundInfo><totAssets>110.5</totAssets><netAssets>100</netAssets><returnInfo><monthlyTotReturns><monthlyTotReturn classId="C1" rtn1="1.5" rtn2="N/A" rtn3="-2"/></monthlyTotReturns><othMon2 netRealizedGain="7" netUnrealizedAppr="-1"/></returnInfo><mon1Flow sales="10" redemption="4"/></fundInfo>
+<invstOrSecs><invstOrSec><name>One Co</name><cusip>000000117</cusip><identifiers><isin value=" "/><isin value="US1"/><other otherDesc="SEDOL" value="B1"/></identifiers><balance>5</balance><units>NS</units><currencyConditional curCd="EUR" exchangeRt="0.9"/><valUSD>50</valUSD>
+<assetConditional assetCat="OTHER" desc="x"/><isRestrictedSec>Y</isRestrictedSec><securityLending><loanByFundCondition isLoanByFund="Y" loanVal="3"/></securityLending><derivativeInfo><c:kind>swap</c:kind></derivativeInfo></invstOrSec>
+<invstOrSec><name>Two Co</name><curCd>USD</curCd><assetCat>EC</assetCat><securityLending><isLoanByFund>N</isLoanByFund></securityLending></invstOrSec></invstOrSecs></formData></edgarSubmission>"""
+
+
+def test_report_parts(spark):
+    doc = reports.reports(spark.createDataFrame([(1, REPORT), (2, None)], "id int, xml string"))
+    h = reports.header(doc).collect()
+    assert len(h) == 1 and (h[0].id, h[0].registrant_name, h[0].registrant_cik, h[0].series_name, h[0].class_ids, h[0].is_final_filing, h[0].net_assets, h[0].total_liabilities) == (1, "Made Up Trust", "0000000042", None, ["C1", "C2"], False, 100.0, None)
+    assert [(r.class_id, r.month, r.month_end, r.return_pct) for r in reports.monthly_returns(doc).collect()] == [("C1", 1, dt.date(2025, 1, 31), 1.5), ("C1", 2, dt.date(2025, 2, 28), None), ("C1", 3, dt.date(2025, 3, 31), -2.0)]
+    assert [(r.sales, r.reinvestment, r.redemption) for r in reports.flows(doc).orderBy("month").collect()] == [(10.0, None, 4.0), (None, None, None), (None, None, None)]
+    assert [(r.net_realized_gain, r.net_unrealized_appreciation) for r in reports.gains(doc).orderBy("month").collect()] == [(None, None), (7.0, -1.0), (None, None)]
+    a, b = reports.report_holdings(doc).orderBy("row_index").collect()
+    assert (a.locator, a.cusip, a.isin, a.other_id, a.other_id_desc, a.currency, a.exchange_rate, a.asset_category, a.is_restricted, a.is_loaned, a.loan_value, a.has_derivative_info) == ("invstOrSecs/invstOrSec[1]", "000000117", "US1", "B1", "SEDOL", "EUR", 0.9, "OTHER", True, True, 3.0, True)
+    assert (b.currency, b.asset_category, b.balance, b.is_loaned, b.has_derivative_info, b.isin) == ("USD", "EC", None, False, False, None)
+
+
+@pytest.mark.parametrize("old, new", [("110.5", "many"), ("2025-03-31<", "31 March<"), ("edgarSubmission", "other"), ("NPORT-P", "10-K"), ("<repPdDate>2025-03-31</repPdDate>", ""), (">42<", ">x42<"), ("<isFinalFiling>N", "<isFinalFiling>maybe"), ("</formData>", "")])
+def test_malformed_reports_raise(spark, old, new):
+    doc = spark.createDataFrame([(REPORT.replace(old, new),)], "xml string")
+    with pytest.raises(Exception):
+        reports.header(reports.reports(doc)).collect()
+
+
+def test_report_files_keep_the_last_of_a_date(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(REPORT)
+    (tmp_path / "b.xml").write_text(REPORT.replace("Made Up", "Later"))
+    (tmp_path / "c.xml").write_text(REPORT.replace("2025-03-31", "2025-06-30"))
+    got = reports.header(reports.one_a_date(reports.report_files(spark, str(tmp_path)))).orderBy("report_date").collect()
+    assert [(r.registrant_name, r.file[-5:]) for r in got] == [("Later Trust", "b.xml"), ("Made Up Trust", "c.xml")]
+
+
+def test_series_filings(spark):
+    entry = "<entry><content type='text/xml'><accession-number>{}</accession-number><filing-type>{}</filing-type><filing-date>{}</filing-date></content></entry>"
+    feed = "<?xml version='1.0'?><feed xmlns='http://www.w3.org/2005/Atom'><company-info><cik>7</cik><conformed-name>Made Up</conformed-name></company-info>{}</feed>"
+    good = feed.format(entry.format("0000000007-25-000001", "NPORT-P", "2025-05-01") + entry.format("000000000725000002", "NPORT-P/A", "2025-06-01"))
+    df = lambda x: reports.series_filings(spark.createDataFrame([(x,)], "xml string"))
+    got = df(good).orderBy("place").collect()
+    assert [(r.cik, r.accession, r.form, r.filing_date, r.is_amendment) for r in got] == [("0000000007", "0000000007-25-000001", "NPORT-P", dt.date(2025, 5, 1), False), ("0000000007", "0000000007-25-000002", "NPORT-P/A", dt.date(2025, 6, 1), True)]
+    assert df(feed.format("")).count() == 0
+    with pytest.raises(Exception):
+        df(feed.format(entry.format("", "NPORT-P", "2025-05-01"))).collect()
