@@ -138,7 +138,7 @@ def report_holdings(parsed: DataFrame) -> DataFrame:
     a = parsed.select(*_keep(parsed), F.posexplode("report.formData.invstOrSecs.invstOrSec").alias("row_index", "h"))
     text = lambda c: clean(F.col(f"h.{c}"))
     num = lambda c: number(F.col(f"h.{c}"), c)
-    given = lambda kind: F.filter(f"h.identifiers.{kind}", lambda x: clean(x["_value"]).isNotNull())[0]  # noqa: E731  the first that has a value
+    given = lambda kind: F.get(F.filter(f"h.identifiers.{kind}", lambda x: clean(x["_value"]).isNotNull()), F.lit(0))  # noqa: E731  the first that has a value
     other, lending, loan = given("other"), "h.securityLending.", "h.securityLending.loanByFundCondition."
     return a.select(
         *_keep(parsed), "row_index", F.format_string("invstOrSecs/invstOrSec[%d]", F.col("row_index") + 1).alias("locator"), text("name").alias("issuer_name"), text("lei").alias("issuer_lei"), text("title").alias("title"), text("cusip").alias("cusip"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rulemark.functions import identifiers as ids
 from rulemark.functions.numbers import number_appears, numbers_in
-from rulemark.operators import documents, joins, prices, rules, sampling, store
+from rulemark.operators import documents, joins, prices, regions, rules, sampling, store
 from rulemark.sources import readers, reports
 
 D0, D1 = dt.date(2020, 3, 31), dt.date(2020, 6, 30)
@@ -215,7 +215,7 @@ REPORT = """<?xml version="1.0"?><!-- <made> up -->
 <fundInfo><totAssets>110.5</totAssets><netAssets>100</netAssets><returnInfo><monthlyTotReturns><monthlyTotReturn classId="C1" rtn1="1.5" rtn2="N/A" rtn3="-2"/></monthlyTotReturns><othMon2 netRealizedGain="7" netUnrealizedAppr="-1"/></returnInfo><mon1Flow sales="10" redemption="4"/></fundInfo>
 <invstOrSecs><invstOrSec><name>One Co</name><cusip>000000117</cusip><identifiers><isin value=" "/><isin value="US1"/><other otherDesc="SEDOL" value="B1"/></identifiers><balance>5</balance><units>NS</units><currencyConditional curCd="EUR" exchangeRt="0.9"/><valUSD>50</valUSD>
 <assetConditional assetCat="OTHER" desc="x"/><isRestrictedSec>Y</isRestrictedSec><securityLending><loanByFundCondition isLoanByFund="Y" loanVal="3"/></securityLending><derivativeInfo><c:kind>swap</c:kind></derivativeInfo></invstOrSec>
-<invstOrSec><name>Two Co</name><curCd>USD</curCd><assetCat>EC</assetCat><securityLending><isLoanByFund>N</isLoanByFund></securityLending></invstOrSec></invstOrSecs></formData></edgarSubmission>"""
+<invstOrSec><name>Two Co</name><identifiers><isin value="N/A"/></identifiers><curCd>USD</curCd><assetCat>EC</assetCat><securityLending><isLoanByFund>N</isLoanByFund></securityLending></invstOrSec></invstOrSecs></formData></edgarSubmission>"""
 
 
 def test_report_parts(spark):
@@ -255,3 +255,18 @@ def test_series_filings(spark):
     assert df(feed.format("")).count() == 0
     with pytest.raises(Exception):
         df(feed.format(entry.format("", "NPORT-P", "2025-05-01"))).collect()
+
+
+def test_mandates_against_region_rules(spark):
+    fund = spark.createDataFrame([("a", "US", "Tech Leaders", True, False), ("b", "EU", "Green Paris", False, True), ("c", "US", None, False, False)], "fund_id string, region string, fund_name string, diversified boolean, claims_pab boolean")
+    need = regions.applicable(fund)
+    assert sorted(r.rule_id for r in need.where("fund_id = 'a'").collect()) == ["us_concentration_25", "us_diversified_75_5", "us_names_rule_80", "us_ric_issuer_25"]
+    assert need.where("fund_id = 'b'").count() == 10 and need.where("fund_id = 'c'").count() == 2
+    own = [("a", "k1", 1, "hard", "position_cap", 0.3, "weight", "max", None, None), ("a", "k2", 2, "soft", "position_cap", 0.25, "weight", "max", None, None), ("a", "k3", 3, "hard", "sector_cap", 0.4, "weight", "max", [" * "], None), ("a", "k4", 4, "hard", "sector_cap", 0.5, "weight", "max", [], None),
+           ("a", "k5", 5, "hard", "sector_cap", 0.1, "weight", "max", ["Energy"], None), ("a", "k6", 6, "regulatory", "group_limit", 0.9, "weight", "min", None, None), ("b", "k7", 7, "hard", "exclude", None, None, None, ["x", "TOBACCO"], None), ("b", "k8", 8, "hard", "portfolio_average", 0.5, None, "max", ["Carbon"], "relative_to_mean")]
+    mandate = spark.createDataFrame(own, "fund_id string, constraint_id string, place int, constraint_type string, kind string, limit double, unit string, bound string, about array<string>, basis string")
+    got = {(r.fund_id, r.rule_id): (r.verdict, r.matched_constraint) for r in regions.compared(need, mandate).collect()}
+    assert got["a", "us_ric_issuer_25"] == ("at least as strict", "k2") and got["a", "us_concentration_25"] == ("weaker", "k4") and got["a", "us_names_rule_80"] == ("silent", None) and got["a", "us_diversified_75_5"] == ("not comparable", None)
+    assert got["b", "eu_excl_tobacco"] == ("at least as strict", "k7") and got["b", "eu_excl_coal_1pct"] == ("silent", None) and got["b", "eu_pab_intensity_50"] == ("at least as strict", "k8") and len(got) == 16
+    with pytest.raises(Exception):
+        regions.applicable(fund.withColumn("region", F.lit("UK"))).collect()
