@@ -44,7 +44,7 @@ def applicable(funds: DataFrame, region: str = "region", name: str = "fund_name"
     words = F.when(known == "EU", name_categories(text)).otherwise(F.when(F.trim(text) != "", F.array(F.lit("name_focus"))).otherwise(F.array().cast("array<string>")))
     on = F.concat(F.array(F.lit("always")), F.when(F.col(diversified), F.array(F.lit("diversified"))).otherwise(F.array().cast("array<string>")), F.when(F.col(claims_pab), F.array(F.lit("claims_pab"))).otherwise(F.array().cast("array<string>")), words)
     table = F.broadcast(rules(funds.sparkSession).withColumnRenamed("region", "_region"))  # the fixed table
-    return funds.withColumn("_on", on).join(table, (F.col(region) == F.col("_region")) & F.array_contains("_on", F.col("applies_if"))).drop("_on", "_region")
+    return funds.withColumns({"_on": on, region: known}).join(table, (F.col(region) == F.col("_region")) & F.array_contains("_on", F.col("applies_if"))).drop("_on", "_region")
 
 
 def observability(needs: Column, kind: Column, known: list[str], proxies: list[str] | None = None) -> Column:
