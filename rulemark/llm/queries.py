@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemark.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity
+from rulemark.llm import conversations, importance, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, secrets, topk, toxicity, url_filter
 from rulemark.llm.frames import crc_mod, small_batches
-from rulemark.llm.oracle import QUALITY_RULES
+from rulemark.llm.oracle import CONVERSATIONS, IMPORTANCE, QUALITY_RULES, URL_FILTER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: Explicit rules of the url filter; the longest that fits wins.
+URL_RULES = (
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+)
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the hosts, domains and pages of the table that are named by a listed word."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, url_filter.word_list(pages)).drop("url")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    weighed = importance.weigh(docs, target, n=1, buckets=10000, keep=["doc_id"])
+    return importance.draw(weighed, percent=10, seed=2024, min_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(rows, conversations.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_piece_codec": op2_piece_codec,
@@ -102,11 +126,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
+    "op11_url_filter": op11_url_filter,
+    "op12_importance": op12_importance,
+    "op13_conversations": op13_conversations,
 }
 
 #: DuckDB SQL over the same tables, for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": QUALITY_RULES,
+    "op11_url_filter": URL_FILTER,
+    "op12_importance": IMPORTANCE,
+    "op13_conversations": CONVERSATIONS,
     "op9_ngram_join": """
         WITH RECURSIVE t AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
