@@ -135,8 +135,10 @@ def weigh(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
     ids = spoken.join(dictionary, "word").groupBy("wanted", "block").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("ids"))
     ids = ids.select("wanted", "block", F.col("ids.id").alias("ids"))
     # Runs as tuples of ids: one row a block and distinct run.
-    runs = each("runs").join(ids, ["wanted", "block"]).select("wanted", "block", "ids", F.posexplode("runs").alias("no", "run"))
-    runs = store.put(runs.select("wanted", "block", "no", F.transform("run.w", lambda w: F.get("ids", w)).alias("ids"), F.col("run.total").alias("total")))
+    tuples = F.transform("runs", lambda r: F.struct(F.transform(r["w"], lambda w: F.get("ids", w)).alias("ids"), r["total"].alias("total")))
+    runs = each("runs").join(ids, ["wanted", "block"]).select("wanted", "block", tuples.alias("runs"))
+    # Exploded from a column of its own: no row drags its block's arrays along.
+    runs = store.put(runs.select("wanted", "block", F.posexplode("runs").alias("no", "run")).select("wanted", "block", "no", "run.ids", "run.total"))
     seen = lambda wanted: F.coalesce(F.sum(F.when(F.col("wanted") == wanted, F.col("total"))), F.lit(0))
     distinct = runs.groupBy("ids").agg(seen(False).alias("s"), seen(True).alias("t"))
     # Each distinct tuple's bytes, put together and hashed once.
