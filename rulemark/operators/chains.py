@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulemark.operators.lattice import _cut, _without_one
+from rulemark.operators.cuts import cut
+from rulemark.operators.lattice import _without_one
 
 Accept = Callable[[np.ndarray], bool]
 
 
-def step(law: DataFrame, bits: int, code: str = "code", p: str = "p") -> DataFrame:
-    """The law of a swap chain one step on; law holds every feasible state (distinct codes) with its probability.
+def step(law: DataFrame, bits: int, code: str = "code", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """The law of a swap chain one step on; law holds every feasible state (distinct codes, for each value of ``by``) with its probability.
 
     A proposal swaps one of k members for one of bits - k others, each as likely; one
     that is not feasible stays. What flows in is each shared remainder's total less
     the state's own part, so neighbours are never listed in pairs. Sizes of nothing or
-    of everything have no swap and keep their law.
+    of everything have no swap and keep their law. ``p`` may be any function on the
+    states: the kernel is symmetric.
     """
-    k = F.bit_count(code)
-    by_rest = _without_one(law.select(code, p), code, bits)
-    total = by_rest.groupBy("_rest").agg(F.sum(p).alias("_total"), (F.count("*") - 1).alias("_others"))
-    flow = by_rest.join(total, "_rest").groupBy(code).agg(F.sum(F.col("_total") - F.col(p) - F.col("_others") * F.col(p)).alias("_net"))
-    return law.join(flow, code, "left").withColumn(p, F.col(p) + F.coalesce(F.try_divide("_net", k * (bits - k)), F.lit(0.0))).drop("_net")
+    k, by = F.bit_count(code), list(by)
+    by_rest = _without_one(law.select(*by, code, p), code, bits)
+    total = by_rest.groupBy(*by, "_rest").agg(F.sum(p).alias("_total"), (F.count("*") - 1).alias("_others"))
+    flow = by_rest.join(total, [*by, "_rest"]).groupBy(*by, code).agg(F.sum(F.col("_total") - F.col(p) - F.col("_others") * F.col(p)).alias("_net"))
+    return law.join(flow, [*by, code], "left").withColumn(p, F.col(p) + F.coalesce(F.try_divide("_net", k * (bits - k)), F.lit(0.0))).drop("_net")
 
 
 def walk(law: DataFrame, bits: int, steps: int, code: str = "code", p: str = "p") -> DataFrame:
     """The law after a number of steps, its lineage cut after each."""
     for _ in range(steps):
-        law = _cut(step(law, bits, code, p))
+        law = cut(step(law, bits, code, p))
     return law
 
 
@@ -42,6 +44,85 @@ def distance_to_uniform(law: DataFrame, by: list[str], p: str = "p") -> DataFram
     return law.join(size, by).groupBy(*by, "n_states").agg((F.sum(F.abs(F.col(p) - 1 / F.col("n_states"))) / 2).alias("tv"))
 
 
+def mixing_times(law: DataFrame, bits: int, by: Sequence[str], eps: float = 0.25, max_steps: int = 1000, code: str = "code", p: str = "p") -> DataFrame:
+    """(by, steps): the first number of steps after which each group's law is within eps of uniform on its states, in total variation; null if more than max_steps.
+
+    law: a starting law for every group. Groups that have got there take no further
+    part. For the worst start, let ``by`` hold the start: one group a start.
+    """
+    by = list(by)
+    law = cut(law.select(*by, code, p))
+    groups, found, t = law.select(*by).distinct(), None, 0
+    while True:
+        near = cut(distance_to_uniform(law, by, p).where(F.col("tv") <= eps + 1e-12).select(*by, F.lit(t).alias("steps")))
+        found = near if found is None else cut(found.unionByName(near))
+        law = law.join(near.select(*by), by, "left_anti")
+        if t == max_steps or not law.limit(1).count():
+            return groups.join(found, by, "left")
+        law, t = cut(step(law, bits, code, p, by)), t + 1
+
+
+def _ends(alpha: list[float], beta: list[float]) -> tuple[tuple[float, float], float]:
+    """The least and greatest eigenvalue of the recurrence's matrix, and how far they may still be from the kernel's (their residuals)."""
+    between = beta[: len(alpha) - 1]
+    values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(between, 1) + np.diag(between, -1))
+    return (values[0], values[-1]), beta[-1] * max(abs(vectors[-1, 0]), abs(vectors[-1, -1]))
+
+
+def spectral_gaps(states: DataFrame, bits: int, tol: float = 1e-8, max_steps: int = 200, code: str = "code") -> DataFrame:
+    """(k, n_states, gap, steps): for states of each size k, 1 less the greatest modulus of the swap kernel's eigenvalues besides that of the uniform law.
+
+    0 where swaps leave islands or the chain alternates, 1 for a single state. The
+    eigenvalues come from Lanczos' recurrence on functions that sum to zero: all
+    sizes walk together, a vector is a column over the states, one step one pass of
+    shared remainders and one aggregation. Only three numbers a size and step reach
+    the driver, bits + 1 sizes at most. A size leaves when the residuals of its
+    extreme values are below ``tol`` (the values are then off by about its square).
+    """
+    noise = F.xxhash64(code) % 1_000_003 / F.lit(1e6)
+    sized = states.select(code, F.bit_count(code).alias("k")).distinct()
+    stats = {r["k"]: r for r in sized.groupBy("k").agg(F.count("*").alias("n"), F.avg(noise).alias("mean"), F.sum(noise * noise).alias("square")).collect()}
+    ends = dict.fromkeys(stats, (0.0, 0.0))
+    took = dict.fromkeys(stats, 0)
+    alpha: dict[int, list[float]] = {k: [] for k in stats}
+    beta: dict[int, list[float]] = {k: [] for k in stats}
+
+    def of(values: dict[int, float]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v)))), F.col("k"))
+
+    norm = {k: (r["square"] - r["n"] * r["mean"] ** 2) ** 0.5 for k, r in stats.items() if r["n"] > 1}
+    live = sorted(norm)
+    if live:
+        law = cut(sized.where(F.col("k").isin(live)).select(code, "k", F.lit(0.0).alias("before"), ((noise - of({k: stats[k]["mean"] for k in live})) / of(norm)).alias("v")))
+    for t in range(max_steps):
+        if not live:
+            break
+        # r = P v - beta * (vector before); the kernel is symmetric, so this is what three terms need.
+        image = step(law.where(F.col("k").isin(live)).withColumn("w", F.col("v")), bits, code, "w")
+        image = cut(image.select(code, "k", "v", (F.col("w") - (of({k: beta[k][-1] for k in live}) if t else F.lit(0.0)) * F.col("before")).alias("r")))
+        sums = {r["k"]: r for r in image.groupBy("k").agg(F.sum(F.col("r") * F.col("v")).alias("rv"), F.avg("r").alias("mean"), F.avg("v").alias("vm")).collect()}
+        shift = {k: sums[k]["mean"] - sums[k]["rv"] * sums[k]["vm"] for k in live}
+        new = F.col("r") - of({k: sums[k]["rv"] for k in live}) * F.col("v") - of(shift)
+        # The length of what is left, from the vector itself: a difference of squares would be mostly noise near the end.
+        rest = {r["k"]: r["length"] for r in image.groupBy("k").agg(F.sqrt(F.sum(new * new)).alias("length")).collect()}
+        for k in live:
+            alpha[k].append(sums[k]["rv"])
+            beta[k].append(rest[k])
+            ends[k], error = _ends(alpha[k], beta[k])
+            took[k] = t + 1
+            if error < tol or rest[k] < 1e-12:
+                rest[k] = 0.0
+        live = [k for k in live if rest[k]]
+        if live:
+            here = image.where(F.col("k").isin(live))
+            law = here.select(code, "k", F.col("v").alias("before"), (new / of({k: rest[k] for k in live})).alias("v"))
+    if live:
+        raise RuntimeError(f"the spectrum did not settle in {max_steps} steps for sizes {live}")
+    gap = {k: 1.0 if r["n"] < 2 else max(0.0, 1 - max(abs(x) for x in ends[k])) for k, r in stats.items()}
+    rows = [(k, stats[k]["n"], 0.0 if gap[k] < 1e-9 else float(gap[k]), took[k]) for k in sorted(stats)]
+    return states.sparkSession.createDataFrame(rows, "k int, n_states long, gap double, steps int")
+
+
 def sampled(starts: DataFrame, n: int, steps: int, seed: int, accept: Accept, burn_in: int = 0, thin: int = 1, swaps: int = 1) -> DataFrame:
     """(chain_id, step, members, accepted): every ``thin``-th state after ``burn_in`` of each chain, and its share of accepted moves so far.
 

@@ -9,6 +9,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulemark.operators.cuts import cut
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -101,15 +103,6 @@ def nth_point(rows: DataFrame, index: str, grid: Grid, out: str = "point") -> Da
     return rows.withColumn(out, F.when(inside, F.col("_point"))).drop("_left", "_rest", "_held", "_point", "_sums", "_pick", "_q")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's own folder; one beside the warehouse where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
-    return df.checkpoint()
-
-
 def _without_one(states: DataFrame, code: str, bits: int) -> DataFrame:
     """Each state once for every member: what remains without it. States of one size that share a remainder differ by one swap."""
     members = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.getbit(code, b) == 1)
@@ -124,14 +117,14 @@ def swap_components(states: DataFrame, bits: int, code: str = "code", out: str =
     pairs of states, and jump to their label's label; rounds until none changes.
     The empty set has no swap and stays alone.
     """
-    at = _cut(states.withColumn(out, F.col(code)))
+    at = cut(states.withColumn(out, F.col(code)))
     while True:
         by_rest = _without_one(at.select(code, out), code, bits)
         low = by_rest.groupBy("_rest").agg(F.min(out).alias("_low"))
         near = by_rest.join(low, "_rest").groupBy(code).agg(F.min("_low").alias("_near"))
         after = at.join(near, code, "left").withColumn("_new", F.least(out, F.coalesce("_near", F.col(out))))
         jump = after.select(F.col(code).alias("_new"), F.col("_new").alias("_far"))
-        after = _cut(after.join(jump, "_new", "left").select(*at.columns, F.least("_new", "_far").alias("_to")))
+        after = cut(after.join(jump, "_new", "left").select(*at.columns, F.least("_new", "_far").alias("_to")))
         moved = after.where(F.col("_to") != F.col(out)).limit(1).count()
         at = after.withColumn(out, F.col("_to")).drop("_to")
         if not moved:

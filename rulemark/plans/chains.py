@@ -25,6 +25,28 @@ def swap_chain_tv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.distance_to_uniform(chains.walk(law, BITS, STEPS), ["k"]).select("k", "n_states", F.round("tv", 8).alias("tv"))
 
 
+NEAR, CAP = 0.25, 16
+_law = ", ".join(_step(t).replace(f"d{t} AS (", f"d{t} AS MATERIALIZED (", 1) for t in range(1, CAP + 1))
+_laws = " UNION ALL ".join(f"SELECT {t} AS t, k, p FROM d{t}" for t in range(CAP + 1))
+
+
+@query("swap_mixing_time", f"""WITH {STATES_SQL}, d0 AS MATERIALIZED (SELECT code, k, CASE WHEN code = min(code) OVER (PARTITION BY k) THEN 1.0::DOUBLE ELSE 0 END AS p FROM f WHERE k < {BITS}), {_law},
+    v AS (SELECT t, k, sum(abs(p - 1 / n::DOUBLE)) / 2 AS tv FROM (SELECT *, count(*) OVER (PARTITION BY t, k) AS n FROM ({_laws})) GROUP BY 1, 2)
+    SELECT k, CAST(min(t) FILTER (tv <= {NEAR} + 1e-12) AS INT) AS steps FROM v GROUP BY 1""")
+def swap_mixing_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For states of each size: steps from the smallest code until the swap chain is within a quarter of uniform."""
+    s = _states(spark, sf_dir).where(F.col("k") < BITS)
+    first = s.groupBy("k").agg(F.min("code").alias("first"))
+    law = s.join(first, "k").select("code", "k", F.when(F.col("code") == F.col("first"), 1.0).otherwise(0.0).alias("p"))
+    return chains.mixing_times(law, BITS, ["k"], NEAR, CAP).select("k", F.col("steps").cast("int").alias("steps"))
+
+
+@query("swap_spectral_gap", None)
+def swap_spectral_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For states of each size: the spectral gap of the swap chain, zero where it is not connected."""
+    return chains.spectral_gaps(_states(spark, sf_dir), BITS).select("k", "n_states", F.round("gap", 8).alias("gap"))
+
+
 @query("swap_chain_samples", None)
 def swap_chain_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains over the 25 nations, five held and two of a region at most, one for every supplier, from one nation of each region."""

@@ -49,3 +49,35 @@ def test_sampled_chains(spark):
     assert len(set(run(2, swaps=2).values())) == 14
     with pytest.raises(Exception, match="outside the feasible set"):
         chains.sampled(spark.createDataFrame([(1, [4, 5])], "chain_id long, members array<long>"), 6, 5, 3, allowed).collect()
+
+
+@pytest.mark.parametrize("states", [CODES, CODES[::2] + CODES[1::4], CODES[:4] + CODES[-1:], CODES[:1], CODES[:2]])
+def test_gap_and_mixing_time_match_numpy(spark, states):
+    found = chains.spectral_gaps(spark.createDataFrame([(s,) for s in states], "code long"), 6).first()
+    k = 3
+    q = np.array([[1 / (k * 3) if bin(a ^ b).count("1") == 2 else 0.0 for b in states] for a in states])
+    q += np.diag(1 - q.sum(1))
+    values = np.delete(np.linalg.eigvalsh(q), -1)
+    want = 1 - np.abs(values).max() if len(states) > 1 else 1.0
+    assert (found["k"], found["n_states"]) == (3, len(states)) and abs(found["gap"] - max(want, 0)) < 1e-8
+    starts = [(a, b, float(a == b)) for a in states for b in states]
+    times = chains.mixing_times(spark.createDataFrame(starts, "start long, code long, p double"), 6, ["start"], 0.25, 12)
+    for r in times.collect():
+        law, at, t = np.eye(len(states))[states.index(r["start"])], None, 0
+        while at is None and t <= 12:
+            at = t if np.abs(law - 1 / len(states)).sum() / 2 <= 0.25 + 1e-12 else None
+            law, t = law @ q, t + 1
+        assert r["steps"] == at
+
+
+def test_gaps_of_all_sizes_at_once(spark):
+    rng = np.random.default_rng(1)
+    codes = sorted({int(c) for c in rng.integers(0, 1 << 8, 170)})
+    got = {r["k"]: r["gap"] for r in chains.spectral_gaps(spark.createDataFrame([(c,) for c in codes], "code long"), 8).collect()}
+    for k in got:
+        mine = [c for c in codes if bin(c).count("1") == k]
+        if 0 < k < 8 and len(mine) > 1:
+            q = np.array([[1 / (k * (8 - k)) if bin(a ^ b).count("1") == 2 else 0.0 for b in mine] for a in mine])
+            q += np.diag(1 - q.sum(1))
+            assert abs(got[k] - max(1 - np.abs(np.linalg.eigvalsh(q)[:-1]).max(), 0)) < 1e-8, k
+    assert chains.spectral_gaps(spark.createDataFrame([], "code long"), 8).count() == 0
