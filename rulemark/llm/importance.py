@@ -75,8 +75,14 @@ def _counted(gram: np.ndarray, text_of: np.ndarray, distinct: int, n_texts: int)
     return (found % max(1, distinct)).astype(np.int32), count.astype(np.int32), np.searchsorted(of, np.arange(n_texts), "right")
 
 
+def _lists(made: list[np.ndarray]) -> pa.ListArray:
+    """The rows of matrices of several widths as one list column."""
+    sizes = np.concatenate([np.full(len(m), m.shape[1]) for m in made])
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate([m.reshape(-1) for m in made])))
+
+
 def blocks(docs: DataFrame, text: str, n: int, keep: Sequence[str]) -> DataFrame:
-    """A row a block of texts: its words, its distinct runs of 1 to n words with their totals, and each document's sparse counts.
+    """A row a block of texts: its distinct words, its distinct runs of 1 to n words (left out for n = 1, where a run is a word) with their totals, and each document's sparse counts.
 
     Block numbers hold only once the result is written: partitions number their own.
     """
@@ -84,7 +90,8 @@ def blocks(docs: DataFrame, text: str, n: int, keep: Sequence[str]) -> DataFrame
     schema = T.StructType(
         [T.StructField(f"kept{k}", T.ArrayType(f.dataType)) for k, f in enumerate(kept)]
         + [T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))]
-        + [T.StructField("runs", T.ArrayType(T.StructType([T.StructField("w", T.ArrayType(T.IntegerType())), T.StructField("total", T.LongType())])))]
+        + [T.StructField("totals", T.ArrayType(T.LongType()))]
+        + ([T.StructField("runs", T.ArrayType(T.ArrayType(T.IntegerType())))] if n > 1 else [])
         + [T.StructField(c, T.BinaryType()) for c in ("of", "count", "ends", "n_words")]
     )
     order = [f.name for f in schema]
@@ -103,14 +110,12 @@ def blocks(docs: DataFrame, text: str, n: int, keep: Sequence[str]) -> DataFrame
                 of, count, to = _counted(gram, at, distinct, piece.num_rows)
                 raw = data.tobytes()
                 spoken = pa.array([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                sizes = np.concatenate([np.full(len(m), m.shape[1], np.int32) for m in made])
-                tuples = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate([m.reshape(-1) for m in made])))
-                runs = pa.StructArray.from_arrays([tuples, pa.array(np.bincount(gram, minlength=distinct).astype(np.int64))], names=["w", "total"])
+                totals = pa.array(np.bincount(gram, minlength=distinct).astype(np.int64))
                 one = lambda values: pa.ListArray.from_arrays([0, len(values)], values)
                 binary = lambda values: pa.array([values.tobytes()], pa.binary())
                 kept_here = [one(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in (piece.column(f"kept{k}") for k in range(len(kept)))]
                 n_words = np.bincount(text_of, minlength=piece.num_rows).astype(np.int64)
-                columns = [*kept_here, pa.array([number]), one(spoken), one(runs), binary(of), binary(count), binary(to.astype(np.int64)), binary(n_words)]
+                columns = [*kept_here, pa.array([number]), one(spoken), one(totals), *([one(_lists(made))] if n > 1 else []), binary(of), binary(count), binary(to.astype(np.int64)), binary(n_words)]
                 number += 1
                 yield pa.RecordBatch.from_arrays(columns, names=order)
 
@@ -129,16 +134,21 @@ def weigh(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
     store = Store(docs.sparkSession)
     source, wanted = store.put(blocks(docs, text, n, keep)), store.put(blocks(target, target_text, n, []))
     each = lambda *cols: source.select(F.lit(False).alias("wanted"), "block", *cols).unionByName(wanted.select(F.lit(True).alias("wanted"), "block", *cols))
+    spoken = each(F.posexplode(F.arrays_zip("words", "totals") if n == 1 else F.col("words")).alias("no", "word"))
+    if n == 1:
+        spoken = spoken.select("wanted", "block", "no", "word.words", "word.totals").toDF("wanted", "block", "no", "word", "total")
     # Every distinct word once, with its id. Written, as ids would not come out the same again.
-    spoken = each(F.posexplode("words").alias("no", "word"))
     dictionary = store.put(spoken.select("word").distinct().select("word", F.monotonically_increasing_id().alias("id")))
-    ids = spoken.join(dictionary, "word").groupBy("wanted", "block").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("ids"))
-    ids = ids.select("wanted", "block", F.col("ids.id").alias("ids"))
     # Runs as tuples of ids: one row a block and distinct run.
-    tuples = F.transform("runs", lambda r: F.struct(F.transform(r["w"], lambda w: F.get("ids", w)).alias("ids"), r["total"].alias("total")))
-    runs = each("runs").join(ids, ["wanted", "block"]).select("wanted", "block", tuples.alias("runs"))
-    # Exploded from a column of its own: no row drags its block's arrays along.
-    runs = store.put(runs.select("wanted", "block", F.posexplode("runs").alias("no", "run")).select("wanted", "block", "no", "run.ids", "run.total"))
+    numbered = spoken.join(dictionary, "word")
+    if n == 1:
+        runs = store.put(numbered.select("wanted", "block", "no", F.array("id").alias("ids"), "total"))
+    else:
+        of_block = numbered.groupBy("wanted", "block").agg(F.sort_array(F.collect_list(F.struct("no", "id")))["id"].alias("ids"))
+        tuples = F.arrays_zip(F.transform("runs", lambda r: F.transform(r, lambda w: F.get("ids", w))).alias("ids"), F.col("totals").alias("total"))
+        runs = each("runs", "totals").join(of_block, ["wanted", "block"]).select("wanted", "block", tuples.alias("runs"))
+        # Exploded from a column of its own: no row drags its block's arrays along.
+        runs = store.put(runs.select("wanted", "block", F.posexplode("runs").alias("no", "run")).select("wanted", "block", "no", "run.ids", "run.total"))
     seen = lambda wanted: F.coalesce(F.sum(F.when(F.col("wanted") == wanted, F.col("total"))), F.lit(0))
     distinct = runs.groupBy("ids").agg(seen(False).alias("s"), seen(True).alias("t"))
     # Each distinct tuple's bytes, put together and hashed once.
@@ -153,7 +163,7 @@ def weigh(docs: DataFrame, target: DataFrame, text: str = "text", target_text: s
     gains = by_bucket.crossJoin(F.broadcast(total)).select("bucket", gain(F.col("t"), F.col("total_t"), F.col("s"), F.col("total_s"), buckets).alias("gain"))
     of_tuple = hashed.join(F.broadcast(gains), "bucket").select("ids", "gain")
     back = runs.where("NOT wanted").join(of_tuple, "ids").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("no", "gain"))).alias("gains")).select("block", F.col("gains.gain").alias("gains"))
-    rows = source.drop("words", "runs").join(back, "block", "left").drop("block")
+    rows = source.drop("words", "runs", "totals").join(back, "block", "left").drop("block")
     return _weights(rows, docs, keep)
 
 
