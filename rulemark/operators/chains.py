@@ -69,7 +69,7 @@ def _ends(alpha: list[float], beta: list[float]) -> tuple[tuple[float, float], f
     return (values[0], values[-1]), beta[-1] * max(abs(vectors[-1, 0]), abs(vectors[-1, -1]))
 
 
-def spectral_gaps(states: DataFrame, bits: int, tol: float = 1e-8, max_steps: int = 200, code: str = "code") -> DataFrame:
+def spectral_gaps(states: DataFrame, bits: int, tol: float = 1e-6, max_steps: int = 200, code: str = "code") -> DataFrame:
     """(k, n_states, gap, steps): for states of each size k, 1 less the greatest modulus of the swap kernel's eigenvalues besides that of the uniform law.
 
     0 where swaps leave islands or the chain alternates, 1 for a single state. The

@@ -1,4 +1,4 @@
-"""Weight lattices, states under single swaps, and exact counts of subsets by score."""
+"""Weight lattices and states under single swaps."""
 
 from __future__ import annotations
 
@@ -137,32 +137,3 @@ def swap_degrees(states: DataFrame, bits: int, code: str = "code", out: str = "d
     others = by_rest.groupBy("_rest").agg((F.count("*") - 1).alias("_others"))
     degree = by_rest.join(others, "_rest").groupBy(code).agg(F.sum("_others").alias(out))
     return states.join(degree, code, "left").withColumn(out, F.coalesce(out, F.lit(0)))
-
-
-def subset_score_counts(assets: DataFrame, k: int, cap: int, sector: str = "sector", score: str = "score") -> list[tuple[int, int]]:
-    """(total score, number of k-subsets with it) with at most ``cap`` assets of a sector; exact integers.
-
-    Scores are whole numbers from 0. Assets become counts by (sector, score), which
-    is all that the driver sees: sectors times scores, whatever the number of
-    assets. Choosing j of c equal ones is a binomial; sectors are then convolved.
-    """
-    cells = assets.where(F.col(score).isNotNull()).groupBy(sector, score).count().collect()
-    of: dict = {}
-    for r in cells:
-        of.setdefault(r[sector], []).append((int(r[score]), r["count"]))
-
-    def times(a: dict, b: dict, most: int) -> dict:
-        out: dict = {}
-        for (n, s), x in a.items():
-            for (m, t), y in b.items():
-                if n + m <= most:
-                    out[n + m, s + t] = out.get((n + m, s + t), 0) + x * y
-        return out
-
-    total = {(0, 0): 1}
-    for group in of.values():
-        inside = {(0, 0): 1}
-        for value, count in group:
-            inside = times(inside, {(j, j * value): comb(count, j) for j in range(min(cap, k, count) + 1)}, min(cap, k))
-        total = times(total, inside, k)
-    return sorted((s, ways) for (n, s), ways in total.items() if n == k)

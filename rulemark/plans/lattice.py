@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rulemark.functions import estimates
-from rulemark.operators import lattice
+from rulemark.operators import counts, lattice
 from rulemark.plans.registry import query
 from rulemark.sources.tables import assets, read, sql
 
@@ -98,9 +97,54 @@ CELLS_SQL = sql(f""", c AS (SELECT sector, CAST(esg AS BIGINT) % {SCORES} AS sco
 @query("subset_count_exact", CELLS_SQL + """ SELECT x.score + y.score + z.score AS total, CAST(CAST(sum(x.n * y.n * z.n) AS HUGEINT) AS VARCHAR) AS ways FROM c x JOIN c y ON x.sector < y.sector JOIN c z ON y.sector < z.sector GROUP BY 1""")
 def subset_count_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sets of three assets of different sectors have each total score: exact, without listing any."""
-    scored = assets(spark, sf_dir).select("sector", (F.col("esg").cast("long") % SCORES).alias("score"))
-    ways = lattice.subset_score_counts(scored, COUNTED, 1)
-    return spark.createDataFrame([(total, str(n)) for total, n in ways], T.StructType([T.StructField("total", T.LongType()), T.StructField("ways", T.StringType())]))
+    scored = assets(spark, sf_dir).where("esg IS NOT NULL").select("sector", (F.col("esg").cast("long") % SCORES).alias("score"))
+    return counts.score_counts(scored, COUNTED, F.col("score"), F.col("sector"), 1)
+
+
+#: Four names, two of a sector at most; one or two of high score, and a mean carbon no worse than the universe's, in fifths of its range.
+PICKED, CAP, BINS, TOP = 4, 2, 5, 40
+WALK_SQL = f"""s AS (
+        SELECT 0::BIGINT AS i, '' AS sector, 0 AS taken, 0 AS n, 0::BIGINT AS a, 0::BIGINT AS b, 1::HUGEINT AS ways
+        UNION ALL
+        (WITH t AS (SELECT c.i, c.sector, CASE WHEN c.sector = s.sector THEN taken ELSE 0 END + j AS taken, s.n + j AS n, s.a + j * c.a AS a, s.b + j * c.b AS b, ways * CASE j WHEN 0 THEN 1 WHEN 1 THEN m ELSE m * (m - 1) // 2 END AS ways
+            FROM s JOIN c ON c.i = s.i + 1 JOIN (SELECT unnest(range({CAP + 1})) AS j) ON j <= m)
+        SELECT i, sector, taken, n, @a AS a, @b AS b, CAST(sum(ways) AS HUGEINT) FROM t, l WHERE taken <= {CAP} AND n <= {PICKED} @where GROUP BY ALL)
+    ), f AS (SELECT a, b, CAST(sum(ways) AS HUGEINT) AS ways FROM s WHERE i = (SELECT count(*) FROM c) AND n = {PICKED} GROUP BY 1, 2)"""
+RANGE_SQL = """r AS (SELECT min(carbon) AS lo, max(carbon) AS hi, min(esg) AS elo, max(esg) AS ehi, round(avg(carbon), 2) AS most FROM assets)"""
+CELL_SQL = """c AS (SELECT *, row_number() OVER (ORDER BY sector, a, b) AS i FROM (SELECT sector, a, b, count(*)::HUGEINT AS m FROM w GROUP BY 1, 2, 3))"""
+
+
+@query("subset_count_rules", sql(f""", {RANGE_SQL}, w AS (SELECT sector, (esg > {TOP})::INT AS a, CAST(round({BINS - 1} / (hi - lo) * (hi - carbon)) AS BIGINT) AS b FROM assets, r), {CELL_SQL},
+    l AS (SELECT CAST(ceil({BINS - 1} / (hi - lo) * {PICKED} * (hi - most) - 1e-9) AS BIGINT) AS t FROM r), {WALK_SQL.replace("@a", "a").replace("@b", "least(b, t)").replace("@where", "AND a <= 2")}
+    SELECT CAST(CAST(coalesce(sum(ways), 0) AS HUGEINT) AS VARCHAR) AS ways FROM f, l WHERE a >= 1 AND b >= t""", "assets").replace("WITH ", "WITH RECURSIVE ", 1))
+def subset_count_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sets of four assets obey sector caps, a count bound and a rounded average at once."""
+    a = assets(spark, sf_dir)
+    lo, hi, most = a.agg(F.min("carbon"), F.max("carbon"), F.round(F.avg("carbon"), 2)).first()
+    scale = (BINS - 1) / (hi - lo)
+    axes = [counts.Axis((F.col("esg") > TOP).cast("int"), 1, 2), counts.Axis(F.round(scale * (hi - F.col("carbon"))), counts.thresholds(scale * PICKED * (hi - most), PICKED, False)[1])]
+    return counts.subset_count(a, PICKED, axes, F.col("sector"), CAP)
+
+
+FUND_ESG = 24.5
+_AT = lambda need, k: f"CAST(ceil({need} {k} - 1e-9) AS BIGINT)"
+_PAST = lambda need, k: f"CAST(floor({need} {k} + 1e-9) AS BIGINT) + 1"
+_MODES = (f"- {PICKED / 2}", "", f"+ {PICKED / 2}")
+
+
+@query("percentile_bounds", sql(f""", {RANGE_SQL}, w AS (SELECT sector, CAST(round({BINS - 1} / (hi - lo) * (hi - carbon)) AS BIGINT) AS a, CAST(round({BINS - 1} / (ehi - elo) * (ehi - esg)) AS BIGINT) AS b FROM assets, r), {CELL_SQL},
+    x AS (SELECT {BINS - 1} / (hi - lo) * {PICKED} * (hi - most) AS na, {BINS - 1} / (ehi - elo) * {PICKED} * (ehi - {FUND_ESG}::DOUBLE) AS nb FROM r),
+    l AS (SELECT {", ".join(f"{_AT('na', m)} AS a{i}, {_PAST('nb', m)} AS b{i}" for i, m in enumerate(_MODES))} FROM x), {WALK_SQL.replace("@a", "least(a, a2)").replace("@b", "least(b, b2)").replace("@where", "")},
+    g AS (SELECT {", ".join(f"coalesce(sum(ways) FILTER (a >= a{i}), 0) AS f{i}, coalesce(sum(ways) FILTER (a >= a{i} AND b >= b{i}), 0) AS g{i}" for i in range(3))} FROM f, l)
+    SELECT CAST(CAST(f1 AS HUGEINT) AS VARCHAR) AS ruled, CAST(CAST(g1 AS HUGEINT) AS VARCHAR) AS below, round(CASE WHEN f0 > 0 THEN least(g2::DOUBLE / f0::DOUBLE, 1) ELSE 0 END, 9) AS low,
+        round(CASE WHEN f1 > 0 THEN g1::DOUBLE / f1::DOUBLE END, 9) AS share, round(CASE WHEN f2 > 0 THEN least(g0::DOUBLE / f2::DOUBLE, 1) ELSE 1 END, 9) AS high FROM g""", "assets").replace("WITH ", "WITH RECURSIVE ", 1))
+def percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all sets of four assets under caps and a carbon rule, the share whose mean score lies below a fund's, between exact bounds."""
+    a = assets(spark, sf_dir)
+    most = a.agg(F.round(F.avg("carbon"), 2)).first()[0]
+    below = counts.Mean("esg", FUND_ESG, at_least=False, strict=True)
+    found = counts.share_below(a, PICKED, [counts.Mean("carbon", most, at_least=False)], below, BINS, F.col("sector"), CAP)
+    return found.select("ruled", "below", R("low", 9).alias("low"), R("share", 9).alias("share"), R("high", 9).alias("high"))
 
 
 @query("isotonic_price", """WITH g AS (SELECT l_returnflag AS flag, l_quantity AS x, sum(l_discount) AS s, count(*)::DOUBLE AS w FROM lineitem GROUP BY 1, 2),

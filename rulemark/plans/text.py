@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rulemark.functions import numbers
 from rulemark.functions import text as words
-from rulemark.operators import documents
+from rulemark.operators import documents, folding
 from rulemark.plans.registry import query
 from rulemark.sources import readers
 from rulemark.sources.tables import read
@@ -95,6 +95,17 @@ def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.quoted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@query("quote_located", """WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s', ' ', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '\\s', ' ', 'g') AS q FROM benchmark)
+    SELECT doc_id, item_id, CAST(instr(t, q) - 1 AS INT) AS char_start, CAST(instr(t, q) - 1 + length(q) AS INT) AS char_end, CAST((length(t) - length(replace(t, q, ''))) // length(q) AS INT) AS n FROM d JOIN b ON contains(t, q)""")
+def quote_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as a careless typist gives them (capitals, hard blanks, soft hyphens, dashes), found in the documents."""
+    typed = F.upper("text")
+    for plain, other in ((" ", "\u00a0 "), ("-", "\u2013"), ("'", "\u2019"), ("E", "E\u00ad")):
+        typed = F.replace(typed, F.lit(plain), F.lit(other))
+    quotes = read(spark, sf_dir, "benchmark").select("item_id", typed.alias("typed"))
+    return folding.located(read(spark, sf_dir, "documents"), quotes, "doc_id", "text", "item_id", "typed")
+
+
 @query("paragraphs_split", r"""
     WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     s AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 1 AS s FROM p)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulemark.functions import estimates
-from rulemark.operators import lattice
+from rulemark.operators import counts, lattice
 from rulemark.sources import readers
 
 
@@ -57,8 +57,9 @@ def test_subset_counts(spark):
             total = sum(v for _, v in chosen)
             want[total] = want.get(total, 0) + 1
     df = spark.createDataFrame([*rows, ("s0", None)], "sector string, score long")
-    assert dict(lattice.subset_score_counts(df, 4, 2)) == want
-    assert lattice.subset_score_counts(df, 7, 2) == []
+    found = counts.score_counts(df, 4, F.col("score"), F.col("sector"), 2).collect()
+    assert {r["total"]: int(r["ways"]) for r in found} == want
+    assert counts.score_counts(df, 7, F.col("score"), F.col("sector"), 2).count() == 0
 
 
 def test_clopper_pearson(spark):
