@@ -2,8 +2,9 @@
 
 Base patterns find assignments, access keys and hexadecimal strings. Beyond
 them, every value standing in a credential context (``password: ...``,
-``client_secret=...``, ``dbPassword = ...``: any identifier that contains a
-credential word, whatever joins it) is priced: a dynamic program splits it into dictionary
+``client_secret=...``, ``dbPassword = ...``: an identifier one of whose parts is
+or ends in a credential word, so not ``author`` or ``tokenizer``; tags
+``<password>``; in prose "the password is ...", for values of mixed characters) is priced: a dynamic program splits it into dictionary
 words, dates, repeats, keyboard walks and brute-force characters at the lowest
 total cost, the decimal logarithm of the guesses an attacker needs. Values that
 cost ``threshold`` or more and lie in no base span are reported as ``guess``.
@@ -40,11 +41,31 @@ HINTS = ("passw", "secret", "token", "api")
 
 #: A credential context: a name and a separator. A name starts only where no other goes on, so a text is read once.
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]+)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:(?:basic|bearer)[\x20\t]+)?["']?""", re.IGNORECASE | re.ASCII)
-#: What makes a name a credential's, wherever it stands in it: dbPassword, authtoken, SECRET_KEY_BASE.
-CREDENTIAL = re.compile(r"pass|pwd|secret|token|credential|bearer|auth|(?:api|access|private|client)[_\-]?key", re.IGNORECASE | re.ASCII)
+#: A name's parts: runs of capitals, words with a capital in front, runs of small letters; digits and joints part them.
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Parts that make a name a credential's, whole or at the end of a part (DBPASSWORD, authtoken), never at its beginning (tokenizer, secretary).
+CREDENTIALS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials", "apikey")
+#: Parts that do so before a part ``key``.
+KEYS = ("api", "access", "private", "client", "auth", "secret")
+#: In prose and in tags: "the password is ...", "<password>...</password>".
+SPOKEN = re.compile(r"""\b(?:password|passwd|passphrase|passcode|secret|token)[\x20\t]+is:?[\x20\t]+["']?""", re.IGNORECASE | re.ASCII)
+TAGGED = re.compile(r"<([A-Za-z0-9_\-]+)>[\x20\t]*", re.ASCII)
+
+
+def is_credential(name: str) -> bool:
+    """Whether an identifier names a credential by one of its parts."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    return any(p.endswith(CREDENTIALS) for p in parts) or any(a in KEYS and b == "key" for a, b in zip(parts, parts[1:], strict=False))
+
+
+def _mixed(value: str) -> bool:
+    """Whether a value is not just a word or number of prose."""
+    return sum((any(c.islower() for c in value), any(c.isupper() for c in value[1:]), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))) > 1
+
+
 #: Its value: up to a blank, quote or bracket.
 VALUE = re.compile(r"[!#-&(-;=?-~]{6,}")
-CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key")
+CONTEXT_HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "key")
 
 # Words that attackers try first, commonest first.
 COMMON_WORDS = (
@@ -151,12 +172,16 @@ def scan(text: str | None, threshold: float = 10.0) -> list[tuple[str, int, int,
         base = sorted((a, b) for _, a, b, _ in spans)
         begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
         to = 0  # where the last value's run ends: one that begins within it is a part of it
-        for m in CONTEXT.finditer(text):
-            if m.end() < to or not CREDENTIAL.search(m[1]) or not (v := VALUE.match(text, m.end())):
+        contexts = [(m.start(), m.end(), False) for m in CONTEXT.finditer(text) if is_credential(m[1])]
+        contexts += [(m.start(), m.end(), False) for m in TAGGED.finditer(text) if is_credential(m[1])]
+        contexts += [(m.start(), m.end(), True) for m in SPOKEN.finditer(text)]
+        for _, end, spoken in sorted(contexts):
+            if end < to or not (v := VALUE.match(text, end)):
                 continue
             a, to = v.span()
             b = a + len(v[0].rstrip(".,;:)]}"))
-            if b - a >= ASSIGN_LENGTH and not ((k := bisect.bisect_right(begins, a)) and reach[k - 1] >= b) and (cost := guess_cost(text[a:b])) >= threshold:
+            inside = (k := bisect.bisect_right(begins, a)) and reach[k - 1] >= b
+            if b - a >= ASSIGN_LENGTH and not inside and (not spoken or _mixed(text[a:b])) and (cost := guess_cost(text[a:b])) >= threshold:
                 spans.append(("guess", a, b, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

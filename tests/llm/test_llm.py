@@ -323,6 +323,19 @@ def test_secrets_under_joined_names(name):
     assert [s for s in secrets.scan(f"{name}: letmein! monkey: x9$K!mQ2zz@L") if s[0] == "guess"] == []
 
 
+@pytest.mark.parametrize("text", [
+    "author: Shakespeare", "passage: international", "compass = northwestern", "tokenizer = sentencepiece", "authority: municipality", "bypass: Umgehungsstrasse", "authors: https://example.org/papers/list",
+    "secretary: Featherstonehaugh", "The password is confidential.", "tokens: sentencepiece", "<passage>international</passage>", "keyboard: mechanical-layout", "authentication = kerberos-realm",
+])
+def test_everyday_names_are_no_credentials(text):
+    assert [s for s in secrets.scan(text) if s[0] == "guess"] == []
+
+
+@pytest.mark.parametrize("text", ["my password is x9$K!mQ2zz@L", "<password>x9$K!mQ2zz@L</password>", "The Secret is: 'x9$K!mQ2zz@L'.", "<db_passwd> x9$K!mQ2zz@L</db_passwd>", "client-key: x9$K!mQ2zz@L"])
+def test_secrets_in_prose_and_tags(text):
+    assert [text[a:b] for k, a, b, _ in secrets.scan(text) if k == "guess"] == ["x9$K!mQ2zz@L"]
+
+
 def test_guess_cost_is_minimal_over_plain_splits():
     """Against all splits of a short value into words and single characters."""
     def slow(v):
