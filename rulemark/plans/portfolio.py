@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rulemark.operators import prices, sampling
+from rulemark.operators.cuts import cut
 from rulemark.plans.registry import query
 from rulemark.sources.tables import assets, holdings, index_holdings, read, report_dates, sql
 
@@ -24,14 +25,16 @@ DRAWN_SQL = UNIVERSE_SQL + f""", ord AS (
 
 def universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(priced names of the first period with their return, funds' k and frozen return in it)."""
-    dates = report_dates(spark, sf_dir).orderBy("report_date").limit(2)  # distinct dates, a row a quarter
+    dates = cut(report_dates(spark, sf_dir).orderBy("report_date").limit(2))  # distinct dates, a row a quarter
     span = dates.agg(F.min("report_date").alias("t0"), F.max("report_date").alias("t1"))
     at = lambda t, c: F.max(F.when(F.col("report_date") == F.col(t), F.col(c)))  # noqa: E731  a row an asset and date
     sides = index_holdings(spark, sf_dir, dates).crossJoin(F.broadcast(span)).groupBy("asset_id", "t0").agg(*(at(t, c).alias(f"{c}{t[1]}") for t in ("t0", "t1") for c in ("value", "balance")))  # one row
     gross = (F.col("value1") / F.col("balance1")) / (F.col("value0") / F.col("balance0"))
+    # Written once, as the draws read the universe several times over, and in as many parts as there are cores: each name is drawn in many samples.
     uni = sides.where("value0 IS NOT NULL AND value1 IS NOT NULL").select("asset_id", "t0", F.col("value0").alias("value"), (gross - 1).alias("ret"))
+    uni = cut(uni.repartition(spark.sparkContext.defaultParallelism, "asset_id"))
     held = holdings(spark, sf_dir, dates).select("fund_id", "asset_id", F.col("report_date").alias("t0"), F.col("value").alias("held")).join(uni.select("asset_id", "t0", "ret"), ["asset_id", "t0"])
-    fund = held.groupBy("fund_id").agg(F.count("*").alias("k"), (F.sum(F.col("held") * F.col("ret")) / F.sum("held")).alias("ret"))
+    fund = cut(held.groupBy("fund_id").agg(F.count("*").alias("k"), (F.sum(F.col("held") * F.col("ret")) / F.sum("held")).alias("ret")))
     return uni.select("asset_id", "value", "ret"), fund
 
 
