@@ -119,7 +119,9 @@ def universe_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.k_subsets(universe_assets(spark, sf_dir), K, M, 1)
+    # Written once in as many parts as there are cores: the table is small, its draws are many.
+    universe = cut(universe_assets(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "asset_id"))
+    return sampling.k_subsets(universe, K, M, 1)
 
 
 @query("random_k_subsets", sql(SAMPLES_SQL + " SELECT sample_id, asset_id FROM s", "assets"))
