@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
 
 # Number words and denominators that are understood.
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
@@ -29,16 +28,11 @@ _UNIT = {word: value for value, word in enumerate(SMALL[1:10], 1)}
 _PART = {word: d for d, words in DENOMINATORS.items() for word in words}
 _RUN = re.compile(r"(?:\w|[.,](?=\d))+")
 _GROUPED = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?\Z|\d*(?:\.\d+)?\Z")
-_PERCENT = re.compile(r"\s*\)?\s*(?:%|percent(?:age)?\b|per\s?cent\b)", re.IGNORECASE)
+#: Words that make the number before them a percentage, alone or as two.
+_HUNDREDTHS = {"percent", "percentage"}
 
-
-@dataclass(frozen=True)
-class Seen:
-    value: float
-    #: Written as a percentage: 80% also reads as 0.8.
-    percent: bool = False
-    #: Written as a fraction below one: a quarter also reads as 25.
-    fraction: bool = False
+#: A number of a text: all values that it may be read as, what is written first.
+Readings = tuple[float, ...]
 
 
 def _proper(n: int, d: int) -> bool:
@@ -46,34 +40,47 @@ def _proper(n: int, d: int) -> bool:
 
 
 class _Reader:
+    """A text as runs and the gaps around them: gap k lies before run k, the last one after all."""
+
     def __init__(self, text: str):
-        self.text = text
-        self.runs = [(m[0], m.start(), m.end()) for m in _RUN.finditer(text)]
+        found = list(_RUN.finditer(text))
+        self.runs = [m[0] for m in found]
+        edges = [0, *(x for m in found for x in m.span()), len(text)]
+        self.gaps = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
     def word(self, k: int) -> str:
-        return self.runs[k][0].lower() if 0 <= k < len(self.runs) else ""
+        return self.runs[k].lower() if 0 <= k < len(self.runs) else ""
 
     def between(self, k: int) -> str:
-        """What stands between run k and the next."""
-        return self.text[self.runs[k][2] : self.runs[k + 1][1]] if k + 1 < len(self.runs) else ""
+        """What stands between run k and the next, or the text's end."""
+        return self.gaps[k + 1]
 
     def follows(self, k: int) -> str:
         """The next run's word, where only blanks and hyphens lie between."""
-        return self.word(k + 1) if k + 1 < len(self.runs) and re.fullmatch(r"[\s-]+", self.between(k)) else ""
+        gap = self.between(k)
+        return self.word(k + 1) if gap and not gap.strip("- \t\n\r\f\v\xa0") else ""
 
-    def seen(self, value: float, last: int, fraction: bool = False) -> Seen:
-        return Seen(value, bool(_PERCENT.match(self.text, self.runs[last][2])), fraction)
+    def percent(self, last: int) -> bool:
+        """Whether run ``last`` is followed by a percent sign or word, perhaps after a closing bracket."""
+        gap = self.between(last).strip().removeprefix(")").lstrip()
+        if gap:
+            return gap.startswith("%")
+        return self.word(last + 1) in _HUNDREDTHS or (self.word(last + 1) == "per" and self.word(last + 2) == "cent" and not self.between(last + 1).strip())
+
+    def seen(self, value: float, last: int, fraction: bool = False) -> Readings:
+        """A percentage is also its share, a written fraction also its percentage."""
+        return (value, *[value / 100] * self.percent(last), *[value * 100] * fraction)
 
     def plain(self, k: int, digits: int) -> bool:
-        run = self.runs[k][0]
+        run = self.runs[k]
         return run.isascii() and run.isdigit() and len(run) <= digits
 
     def slashed(self, k: int, digits: int) -> bool:
         """Whether runs k and k + 1 are whole numbers parted by a slash alone, with no third."""
-        return k + 1 < len(self.runs) and self.plain(k, digits) and self.between(k) == "/" and self.plain(k + 1, digits) and not self.text.startswith("/", self.runs[k + 1][2])
+        return k + 1 < len(self.runs) and self.plain(k, digits) and self.between(k) == "/" and self.plain(k + 1, digits) and not self.between(k + 1).startswith("/")
 
-    def read(self) -> list[Seen]:
-        out: list[Seen] = []
+    def read(self) -> list[Readings]:
+        out: list[Readings] = []
         k = 0
         while k < len(self.runs):
             found, used = self.at(k)
@@ -81,32 +88,37 @@ class _Reader:
             k += used
         return out
 
-    def at(self, k: int) -> tuple[list[Seen], int]:
+    def at(self, k: int) -> tuple[list[Readings], int]:
         """The numbers that begin at run k, and how many runs they take."""
-        run, start, end = self.runs[k]
-        if self.plain(k, 99) and self.slashed(k + 1, 2) and re.fullmatch(r"[\s-]", self.between(k)) and self.text[start - 1 : start] != "/":
-            whole, n, d = (int(self.runs[k + i][0]) for i in range(3))
+        run, begins = self.runs[k], not self.gaps[k].endswith("/")
+        if begins and self.plain(k, 99) and self.slashed(k + 1, 2) and len(self.between(k)) == 1 and self.follows(k):
+            whole, n, d = (int(self.runs[k + i]) for i in range(3))
             if _proper(n, d):
                 return [self.seen(whole + n / d, k + 2)], 3
-            return [Seen(float(whole)), Seen(float(n)), self.seen(float(d), k + 2)], 3
-        if self.slashed(k, 3) and self.text[start - 1 : start] != "/":
-            n, d = int(run), int(self.runs[k + 1][0])
+            return [(float(whole),), (float(n),), self.seen(float(d), k + 2)], 3
+        if begins and self.slashed(k, 3):
+            n, d = int(run), int(self.runs[k + 1])
             if _proper(n, d):
                 return [self.seen(n / d, k + 1, fraction=True)], 2
-            return [Seen(float(n)), self.seen(float(d), k + 1)], 2
+            return [(float(n),), self.seen(float(d), k + 1)], 2
         if run[0].isdigit() or run[0] in ".,":
             return self.digits(k), 1
         return self.words(k)
 
-    def digits(self, k: int) -> list[Seen]:
-        run, start, end = self.runs[k]
-        named = re.search(r"[A-Za-z]-\Z", self.text[max(0, start - 2) : start]) or re.match(r"-[A-Z]", self.text[end : end + 2])
+    def identifier(self, k: int) -> bool:
+        """Whether a run of digits is hyphened to a letter before it or a capital after it, as in N-14 and 10-K."""
+        after = self.runs[k + 1][:1] if k + 1 < len(self.runs) and self.between(k) == "-" else ""
+        before = self.runs[k - 1][-1:] if k and self.gaps[k] == "-" else ""
+        return before.isalpha() or after.isupper()
+
+    def digits(self, k: int) -> list[Readings]:
+        run = self.runs[k]
         parts = [run] if _GROUPED.match(run) else run.split(",")
-        if named or not all(_GROUPED.match(p) and p for p in parts):
+        if self.identifier(k) or not all(_GROUPED.match(p) and p for p in parts):
             return []
-        return [self.seen(float(p.replace(",", "")), k) if p is parts[-1] else Seen(float(p)) for p in parts]
+        return [self.seen(float(p.replace(",", "")), k) if p is parts[-1] else (float(p),) for p in parts]
 
-    def words(self, k: int) -> tuple[list[Seen], int]:
+    def words(self, k: int) -> tuple[list[Readings], int]:
         word, after = self.word(k), self.follows(k)
         if word in _UNIT and after in _PART:
             # Only one over a denominator, and three quarters, are read; others are passed over whole.
@@ -123,27 +135,20 @@ class _Reader:
         return [], 1
 
     def pronoun(self, k: int) -> bool:
-        _, start, end = self.runs[k]
-        if self.text[end : end + 1] == "-" or self.text[start - 1 : start] == "-":
-            return True
-        before = re.search(r"([A-Za-z]+)\W*\Z", self.text[max(0, start - 24) : start])
-        after = re.match(r"\s+([A-Za-z]+)", self.text[end : end + 24])
-        return bool((before and before[1].lower() in PRONOUN_AFTER) or (after and after[1].lower() in PRONOUN_BEFORE))
+        """Whether a "one" stands for a thing: joined by a hyphen, after a word like "any" or before one like "of"."""
+        hyphened = self.gaps[k].endswith("-") or self.between(k).startswith("-")
+        return hyphened or self.word(k - 1) in PRONOUN_AFTER or (self.between(k).isspace() and self.word(k + 1) in PRONOUN_BEFORE)
 
 
-def read_numbers(text: str | None) -> list[Seen]:
+def read_numbers(text: str | None) -> list[Readings]:
     return _Reader(text or "").read()
 
 
 def numbers_in(text: str | None) -> list[float]:
     """The numbers of a text in order: digits, percentages as written, number words, and fractions by their value."""
-    return [s.value for s in read_numbers(text)]
+    return [readings[0] for readings in read_numbers(text)]
 
 
 def number_appears(value: float, text: str | None) -> bool:
     """Whether a value stands in a text as it is, as a percentage for its share, or as a fraction for its percentage."""
-    for s in read_numbers(text):
-        also = [s.value] + [s.value / 100] * s.percent + [s.value * 100] * s.fraction
-        if any(math.isclose(value, v, rel_tol=1e-9) for v in also):
-            return True
-    return False
+    return any(math.isclose(value, v, rel_tol=1e-9) for readings in read_numbers(text) for v in readings)
