@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rulemark.functions import numbers
 from rulemark.functions import text as words
-from rulemark.operators import documents, folding
+from rulemark.operators import documents, evidence, folding
 from rulemark.plans.registry import query
 from rulemark.sources import readers
 from rulemark.sources.tables import read
@@ -95,6 +95,25 @@ def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.quoted(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+#: The numbers of each clause; every fifth rule also claims INVENTED, every eleventh cites what no text says.
+VALUES, INVENTED = ((80,), (), (7,), (1250,), (), (2, 4.5), ()), 33
+
+
+@query("evidence_status", CLAUSES_SQL + f""", r AS (SELECT o_orderkey AS rule_id, c[o_orderkey % {len(CLAUSES)} + 1] AS clause, text, o_orderkey % 5 = 0 AS invented, o_orderkey % 11 = 0 AS misquoted FROM t JOIN orders USING (o_orderkey), l)
+    SELECT rule_id, CASE WHEN misquoted OR invented THEN 'unknown' ELSE 'disclosed' END AS status, CASE WHEN misquoted THEN NULL ELSE clause END AS evidence, CASE WHEN misquoted THEN 0 ELSE CAST((length(text) - length(replace(text, clause, ''))) // length(clause) AS INT) END AS occurrences,
+        CASE WHEN misquoted THEN 'quote not found' WHEN invented THEN 'not in the quote: {INVENTED}.000000' ELSE '' END AS why, NOT misquoted AND NOT invented AND rule_id % 3 <> 0 AS compiles FROM r""")
+def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a policy, checked against it: planted inventions and misquotes are found, the rest may compile."""
+    k = F.col("doc_id")
+    docs = clauses(spark, sf_dir).toDF("doc_id", "text")
+    pick = lambda of: F.element_at(F.array(*of), (k % len(CLAUSES) + 1).cast("int"))
+    numbers_of = pick([F.array(*(F.lit(float(v)) for v in vs)).cast("array<double>") for vs in VALUES])
+    quote = F.when(k % 11 == 0, "The fund must never sleep").otherwise(F.replace(F.upper(pick([F.lit(c) for c in CLAUSES])), F.lit(" "), F.lit(" \u00a0")))
+    values = F.when(k % 5 == 0, F.concat(numbers_of, F.array(F.lit(float(INVENTED))))).otherwise(numbers_of)
+    rules = docs.select(k.alias("rule_id"), "doc_id", F.when(k % 3 == 0, "unmapped").otherwise("bound").alias("kind"), quote.alias("quote"), values.alias("values"))
+    return evidence.constraints(rules, docs).select("rule_id", "status", "evidence", "occurrences", "why", "compiles")
+
+
 @query("quote_located", """WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\\s', ' ', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '\\s', ' ', 'g') AS q FROM benchmark)
     SELECT doc_id, item_id, CAST(instr(t, q) - 1 AS INT) AS char_start, CAST(instr(t, q) - 1 + length(q) AS INT) AS char_end, CAST((length(t) - length(replace(t, q, ''))) // length(q) AS INT) AS n FROM d JOIN b ON contains(t, q)""")
 def quote_located(spark: SparkSession, sf_dir: str) -> DataFrame:
