@@ -6,6 +6,8 @@ run, so a draw survives lost executors and repartitioning unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,11 +63,14 @@ def k_subsets(assets: DataFrame, k: int, n_samples: int, seed: int, asset: str =
     return first_draws(assets, size, n_samples, seed, asset).drop("rank")
 
 
-def combinations(assets: DataFrame, k: int, asset: str = "asset_id") -> DataFrame:
-    """All k-subsets of a small universe, as arrays in lexicographic order of members."""
-    out = assets.select(F.array(asset).alias("members"))
+def combinations(assets: DataFrame, k: int, asset: str = "asset_id", by: Sequence[str] = ()) -> DataFrame:
+    """All k-subsets of a small universe, or of each group of ``by``, as arrays in lexicographic order of members."""
+    by = list(by)
+    out = assets.select(*by, F.array(asset).alias("members"))
+    more = assets.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(asset).alias("_n"))
     for _ in range(k - 1):
-        out = out.join(assets.select(F.col(asset).alias("_n")), F.element_at("members", -1) < F.col("_n")).select(F.concat("members", F.array("_n")).alias("members"))
+        same = [F.col(c) == F.col(f"_{c}") for c in by]
+        out = out.join(more, [*same, F.element_at("members", -1) < F.col("_n")]).select(*by, F.concat("members", F.array("_n")).alias("members"))
     return out
 
 

@@ -130,7 +130,12 @@ def value_counts_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("l_suppkey").agg(F.min_by("l_linenumber", F.struct(-F.col("k"), F.col("l_linenumber"))).alias("mode"), F.max("k").alias("n"))
 
 
-@query("quarter_ends", """SELECT last_day(CAST(d AS DATE)) AS quarter_end FROM (SELECT unnest(generate_series(DATE '1995-03-01', DATE '2001-12-01', INTERVAL 3 MONTH)) AS d)""")
+@query("quarter_ends", """WITH s AS (SELECT date_trunc('quarter', min(l_shipdate)) AS a, date_trunc('quarter', max(l_shipdate)) AS b FROM lineitem), q AS (SELECT unnest(generate_series(a, b, INTERVAL 3 MONTH)) AS d FROM s),
+    n AS (SELECT date_trunc('quarter', l_shipdate) AS d, count(*) AS n FROM lineitem GROUP BY 1) SELECT last_day(CAST(q.d + INTERVAL 2 MONTH AS DATE)) AS quarter_end, coalesce(n, 0) AS n FROM q LEFT JOIN n ON n.d = q.d""")
 def quarter_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = F.sequence(F.to_date(F.lit("1995-03-01")), F.to_date(F.lit("2001-12-01")), F.expr("interval 3 months"))
-    return spark.range(1).select(F.explode(days).alias("d")).select(F.last_day("d").alias("quarter_end"))
+    """Every quarter's end from the first to the last shipment, and its line items, none left out where nothing was shipped."""
+    items = read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "quarter").alias("d"))
+    span = items.agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("d"))
+    return days.join(items.groupBy("d").agg(F.count("*").alias("n")), "d", "left").select(F.last_day(F.add_months("d", 2)).alias("quarter_end"), F.coalesce("n", F.lit(0)).alias("n"))
+

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from rulemark.operators import joins, prices
 from rulemark.plans.registry import query
-from rulemark.sources.tables import assets, filings, holdings, index_holdings, read, sql
+from rulemark.sources.tables import assets, filings, holdings, index_holdings, quarter_end, read, sql
 
 R = F.round
 
@@ -55,11 +55,13 @@ def implied_price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_holdings(spark, sf_dir).where("balance > 0 AND value > 0").select("report_date", "asset_id", (F.col("value") / F.col("balance")).alias("price"), F.col("balance").alias("shares"))
 
 
-@query("wide_price_pivot", sql("""
-    SELECT report_date, round(max(CASE WHEN asset_id = 1 THEN value / balance END), 6) AS "1", round(max(CASE WHEN asset_id = 2 THEN value / balance END), 6) AS "2",
-           round(max(CASE WHEN asset_id = 3 THEN value / balance END), 6) AS "3" FROM idx GROUP BY 1""", "holdings", "idx"))
+@query("wide_price_pivot", """WITH p AS (SELECT last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS report_date, l_returnflag AS f, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1, 2)
+    SELECT report_date, round(max(price) FILTER (f = 'A'), 6) AS "A", round(max(price) FILTER (f = 'N'), 6) AS "N", round(max(price) FILTER (f = 'R'), 6) AS "R" FROM p GROUP BY 1""")
 def wide_price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_holdings(spark, sf_dir).groupBy("report_date").pivot("asset_id", [1, 2, 3]).agg(R(F.max(F.col("value") / F.col("balance")), 6))
+    """Mean prices by quarter, a column a return flag."""
+    price = F.sum("l_extendedprice") / F.sum("l_quantity")
+    p = read(spark, sf_dir, "lineitem").groupBy(quarter_end(F.col("l_shipdate")).alias("report_date"), "l_returnflag").agg(price.alias("price"))
+    return p.groupBy("report_date").pivot("l_returnflag", ["A", "N", "R"]).agg(R(F.max("price"), 6))
 
 
 @query("consecutive_returns", sql(PAIRS_SQL + """

@@ -23,10 +23,20 @@ def _text(point: str):
     return F.concat_ws("-", F.col(point).cast("array<string>"))
 
 
-@query("grid_points", f"WITH {GRID_SQL} SELECT array_to_string(point, '-') AS point FROM p")
+def _worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point, value): every lattice portfolio of the regions at their mean balance."""
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    value = read(spark, sf_dir, "customer").join(nation, "c_nationkey").groupBy("region").agg(F.avg("c_acctbal").alias("value"))
+    values = value.agg(F.transform(F.sort_array(F.collect_list(F.struct("region", "value"))), lambda s: s["value"]).alias("values"))  # five values
+    worth = F.aggregate(F.zip_with("point", "values", lambda q, v: q * v), F.lit(0.0), lambda a, x: a + x) / GRID.units
+    return lattice.points(spark, GRID).where(GRID.contains(F.col("point"))).crossJoin(F.broadcast(values)).select("point", worth.alias("value"))  # one row
+
+
+@query("grid_points", f"""WITH {GRID_SQL}, r AS (SELECT n_regionkey AS region, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), l AS (SELECT list(value ORDER BY region) AS l FROM r)
+    SELECT array_to_string(point, '-') AS point, round(list_sum(list_transform(list_zip(point, l), lambda z: z[1] * z[2])) / {GRID.units}, 4) AS value FROM p, l""")
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lattice portfolios of five names."""
-    return lattice.points(spark, GRID).where(GRID.contains(F.col("point"))).select(_text("point").alias("point"))
+    """All lattice portfolios of the five regions, with their value."""
+    return _worth(spark, sf_dir).select(_text("point").alias("point"), R("value", 4).alias("value"))
 
 
 @query("grid_draws", f"""WITH {GRID_SQL}, o AS (SELECT o_orderkey, CAST('0x' || md5('7|' || o_orderkey)[1:13] AS BIGINT) % (SELECT count(*) FROM p) AS nth FROM orders)
@@ -43,12 +53,7 @@ def grid_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS n, round(min(value), 4) AS lowest, round(max(value), 4) AS highest FROM s""")
 def grid_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least and greatest value that a lattice portfolio of the regions reaches."""
-    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
-    value = read(spark, sf_dir, "customer").join(nation, "c_nationkey").groupBy("region").agg(F.avg("c_acctbal").alias("value"))
-    values = value.agg(F.transform(F.sort_array(F.collect_list(F.struct("region", "value"))), lambda s: s["value"]).alias("values"))
-    worth = F.aggregate(F.zip_with("point", "values", lambda q, v: q * v), F.lit(0.0), lambda a, x: a + x) / GRID.units
-    reached = lattice.points(spark, GRID).crossJoin(F.broadcast(values)).select(worth.alias("value"))  # one row
-    return reached.agg(F.count("*").alias("n"), R(F.min("value"), 4).alias("lowest"), R(F.max("value"), 4).alias("highest"))
+    return _worth(spark, sf_dir).agg(F.count("*").alias("n"), R(F.min("value"), 4).alias("lowest"), R(F.max("value"), 4).alias("highest"))
 
 
 # The groups that an order holds, of twelve, are its state; states of large mean quantity are feasible.

@@ -157,13 +157,14 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_quantile(samples(spark, sf_dir), "carbon", "bench", 0.25, ["sample_id"])
 
 
-@query("enumerate_k_subsets", sql("""
-    SELECT a.asset_id || '|' || b.asset_id || '|' || c.asset_id AS members, round((a.esg + b.esg + c.esg) / 3, 6) AS esg FROM assets a JOIN assets b ON a.asset_id < b.asset_id JOIN assets c ON b.asset_id < c.asset_id
-    WHERE c.asset_id <= 20 AND b.asset_id <= 20 AND a.asset_id <= 20""", "assets"))
+@query("enumerate_k_subsets", """WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS a FROM lineitem), u AS (SELECT o, a, CAST(p_size AS DOUBLE) AS esg FROM i JOIN part ON p_partkey = a)
+    SELECT x.o AS order_id, x.a || '|' || y.a || '|' || z.a AS members, round((x.esg + y.esg + z.esg) / 3, 6) AS esg FROM u x JOIN u y ON x.o = y.o AND x.a < y.a JOIN u z ON y.o = z.o AND y.a < z.a""")
 def enumerate_k_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = assets(spark, sf_dir).where("asset_id <= 20")
-    held = sampling.combinations(u.select("asset_id"), 3).withColumn("members_id", F.concat_ws("|", F.col("members").cast("array<string>"))).withColumn("asset_id", F.explode("members"))
-    return held.join(u.select("asset_id", "esg"), "asset_id").groupBy(F.col("members_id").alias("members")).agg(R(F.avg("esg"), 6).alias("esg"))
+    """All sets of three assets of every order, with their mean score."""
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("asset_id")).distinct()
+    held = sampling.combinations(items, 3, by=["order_id"]).withColumn("asset_id", F.explode("members"))
+    scored = held.join(assets(spark, sf_dir).select("asset_id", "esg"), "asset_id").groupBy("order_id", F.concat_ws("|", F.col("members").cast("array<string>")).alias("members"))
+    return scored.agg(R(F.avg("esg"), 6).alias("esg"))
 
 
 INC_SQL = SAMPLES_SQL + f""", p AS (SELECT asset_id, count(s.asset_id) / {M}.0::DOUBLE AS freq FROM small LEFT JOIN s USING (asset_id) GROUP BY 1)"""
