@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from rulemark.plans import chains, extremes, filings, history, identity, lattice, more, noise, portfolio, regions, repair, reports, rules, spec, text  # noqa: E402, F401  registers their queries
+from rulemark.plans import chains, events, extremes, filings, history, identity, lattice, more, noise, portfolio, regions, repair, reports, rules, spec, text  # noqa: E402, F401  registers their queries
