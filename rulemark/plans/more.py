@@ -201,7 +201,13 @@ def heading_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.section(documents.html_paragraphs(read(spark, sf_dir, "pages")), r"(?i)[a-m]")
 
 
-@query("cusip_isin_conversion", None)
+_LUHN = lambda digits: f"CAST((10 - list_sum(list_transform(range(1, len({digits}) + 1), lambda i: (CAST(substr(reverse({digits}), i, 1) AS INT) * (1 + i % 2)) // 10 + (CAST(substr(reverse({digits}), i, 1) AS INT) * (1 + i % 2)) % 10)) % 10) % 10 AS VARCHAR)"
+
+
+@query("cusip_isin_conversion", f"""WITH b AS (SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS body FROM part),
+    c AS (SELECT id, body || CAST((10 - list_sum(list_transform(range(1, 9), lambda i: (CAST(substr(body, i, 1) AS INT) * (2 - i % 2)) // 10 + (CAST(substr(body, i, 1) AS INT) * (2 - i % 2)) % 10)) % 10) % 10 AS VARCHAR) AS cusip FROM b),
+    d AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'DE' ELSE 'US' END AS country, CASE WHEN id % 5 = 0 THEN '1314' ELSE '3028' END || cusip AS digits FROM c)
+    SELECT id, cusip, CASE WHEN real THEN country || cusip || {_LUHN("digits")} END AS isin, real AS valid, CASE WHEN real AND country = 'US' THEN cusip END AS back FROM (SELECT *, cusip <> '000000000' AS real FROM d)""")
 def cusip_isin_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.lpad(F.col("p_partkey").cast("string"), 8, "0")
     cusip = F.concat(body, ids.cusip_digit(body).cast("string"))

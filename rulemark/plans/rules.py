@@ -155,7 +155,17 @@ def share_bounds_to_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_size").alias("k")).distinct().select("k", F.floor(0.3 * k + 1e-9).alias("max_count"), F.ceil(0.3 * k - 1e-9).alias("min_count"))
 
 
-@query("hold_to_end", None)
+@query("hold_to_end", sql(""", d AS (SELECT report_date, lead(report_date) OVER (ORDER BY report_date) AS nxt FROM (SELECT DISTINCT report_date FROM idx)),
+    r AS (SELECT a.report_date AS start, a.asset_id, (b.value / b.balance) / (a.value / a.balance) AS g FROM idx a JOIN d USING (report_date) JOIN idx b ON b.report_date = d.nxt AND b.asset_id = a.asset_id),
+    f AS (SELECT fund_id, asset_id, report_date AS d, value FROM holdings QUALIFY report_date = min(report_date) OVER (PARTITION BY fund_id)),
+    s AS (SELECT fund_id, start, row_number() OVER (PARTITION BY fund_id ORDER BY start) AS i FROM (SELECT DISTINCT fund_id, start FROM f JOIN r USING (asset_id) WHERE start >= d)),
+    w AS (
+        SELECT fund_id, 0::BIGINT AS i, asset_id, CAST(value AS DOUBLE) AS w, 1.0::DOUBLE AS v FROM f SEMI JOIN s USING (fund_id)
+        UNION ALL
+        (WITH n AS (SELECT w.fund_id, s.i, w.asset_id, w, v, r.g FROM w JOIN s ON s.fund_id = w.fund_id AND s.i = w.i + 1 LEFT JOIN r ON r.asset_id = w.asset_id AND r.start = s.start),
+        k AS (SELECT *, count(g) OVER p AS known, sum(w * g) OVER p AS grown, sum(CASE WHEN g IS NOT NULL THEN w END) OVER p AS held FROM n WINDOW p AS (PARTITION BY fund_id))
+        SELECT fund_id, i, asset_id, CASE WHEN known > 0 THEN w * g ELSE w END, CASE WHEN known > 0 THEN v * grown / held ELSE v END FROM k WHERE known = 0 OR g IS NOT NULL)
+    ) SELECT fund_id, CAST(i AS INT) AS n_periods, round(any_value(v) - 1, 6) AS path_return FROM (SELECT * FROM w QUALIFY i = max(i) OVER (PARTITION BY fund_id)) GROUP BY 1, 2""", "holdings", "idx").replace("WITH ", "WITH RECURSIVE ", 1))
 def hold_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fund's first holdings carried to the end: names without a return leave, weights renormalise.
 
