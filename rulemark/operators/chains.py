@@ -156,3 +156,60 @@ def sampled(starts: DataFrame, n: int, steps: int, seed: int, accept: Accept, bu
                 yield pd.DataFrame(one(chain_id, np.asarray(members, int)), columns=["chain_id", "step", "members", "accepted"])
 
     return starts.select("chain_id", "members").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")
+
+
+def _uniform(seed: int, chain: np.ndarray, step: int, which: int) -> np.ndarray:
+    """A number in [0, 1) for each chain, from seed, chain, step and purpose alone (the splitmix finaliser, twice)."""
+    x = chain.astype(np.int64).view(np.uint64)
+    for salt in (seed * 0x9E3779B97F4A7C15, (2 * step + which + 1) * 0xD1B54A32D192ED03):
+        x = x + np.uint64(salt & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)) / float(1 << 53)
+
+
+def checkpoints(halves: int) -> list[int]:
+    """The steps 1, 2, 3, 4, 6, 8, 12, ...: 2 to the power of j / 2, rounded up, for j up to ``halves``."""
+    return sorted({int(np.ceil(2 ** (j / 2) - 1e-9)) for j in range(halves + 1)})
+
+
+def bank(starts: DataFrame, n: int, halves: int, seed: int, accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(chain_id, step, members, accepted): many swap chains walked in step with each other, seen at ``checkpoints(halves)``.
+
+    starts: (chain_id, members), distinct asset numbers below n. All chains of a
+    batch and size take a step as a few array operations; ``accept`` gets their new
+    members as a matrix, a row a chain, and says which may be taken. A chain's
+    random numbers depend on seed, chain_id and step only, so batches, tasks and
+    repeated runs do not matter. A start that is not accepted raises; an empty or
+    full portfolio stays as it is; ``accepted`` is the share of steps taken so far.
+    """
+    at = checkpoints(halves)
+
+    def walk_all(ids: np.ndarray, held: np.ndarray) -> Iterator[pd.DataFrame]:
+        rows, k = np.arange(len(ids)), held.shape[1]
+        inside = np.zeros((len(ids), n), bool)
+        inside[rows[:, None], held] = True
+        if (inside.sum(1) != k).any() or not np.all(accept(held)):
+            raise ValueError("a chain starts outside the feasible set")
+        free = np.nonzero(~inside)[1].reshape(len(ids), n - k)
+        taken = np.zeros(len(ids), np.int64)
+        for t in range(1, at[-1] + 1):
+            if 0 < k < n:
+                out, into = ((_uniform(seed, ids, t, which) * size).astype(np.int64) for which, size in ((0, k), (1, n - k)))
+                new = held.copy()
+                new[rows, out] = free[rows, into]
+                ok = np.flatnonzero(accept(new))
+                free[ok, into[ok]] = held[ok, out[ok]]
+                held[ok] = new[ok]
+                taken[ok] += 1
+            if t in at:
+                yield pd.DataFrame({"chain_id": ids, "step": t, "members": list(np.sort(held, axis=1)), "accepted": taken / t})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["members"].map(len)
+            for _, same in batch.groupby(sizes):
+                yield from walk_all(same["chain_id"].to_numpy(np.int64), np.stack([np.asarray(m, np.int64) for m in same["members"]]).reshape(len(same), -1))
+
+    return starts.select("chain_id", "members").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")

@@ -55,3 +55,17 @@ def swap_chain_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").cast("long").alias("one")).agg(F.array_sort(F.collect_list("one")).alias("members"))
     starts = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chain_id")).crossJoin(F.broadcast(first))  # one row
     return chains.sampled(starts, len(region), 60, 7, lambda held: np.bincount(region[held]).max() <= 2, burn_in=40, thin=20)
+
+
+@query("swap_chain_bank", None)
+def swap_chain_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain for every customer over the nations, two of a region at most: the share of chains that hold each nation, as the walk goes on."""
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = np.array([r[0] for r in nations.orderBy("n_nationkey").select("n_regionkey").collect()])  # 25 rows
+    first = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").cast("long").alias("one")).agg(F.array_sort(F.collect_list("one")).alias("members"))
+    starts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chain_id")).crossJoin(F.broadcast(first))  # one row
+    fits = lambda held: (region[held][:, :, None] == np.arange(5)).sum(1).max(1) <= 2
+    seen = chains.bank(starts, len(region), 10, 7, fits)
+    held = seen.select("step", "accepted", F.explode("members").alias("nation")).groupBy("step", "nation").agg(F.count("*").alias("n"))
+    total = seen.groupBy("step").agg(F.count("*").alias("chains"))
+    return held.join(total, "step").select("step", "nation", F.round(F.col("n") / F.col("chains"), 6).alias("share"))

@@ -81,3 +81,31 @@ def test_gaps_of_all_sizes_at_once(spark):
             q += np.diag(1 - q.sum(1))
             assert abs(got[k] - max(1 - np.abs(np.linalg.eigvalsh(q)[:-1]).max(), 0)) < 1e-8, k
     assert chains.spectral_gaps(spark.createDataFrame([], "code long"), 8).count() == 0
+
+
+def test_bank_follows_the_law(spark):
+    states = CODES[::2] + CODES[1::4]
+    known = np.array(states)
+    fits = lambda held: np.isin((1 << held).sum(1), known)
+    first = [b for b in range(6) if states[0] >> b & 1]
+    n = 20000
+    starts = spark.range(n).selectExpr("id AS chain_id", f"array({', '.join(map(str, first))}) AS members")
+    got = chains.bank(starts.repartition(3), 6, 5, 1, fits)
+    assert chains.checkpoints(6) == [1, 2, 3, 4, 6, 8]
+    counts = {(r["step"], sum(1 << b for b in r["members"])): r["count"] for r in got.groupBy("step", "members").count().collect()}
+    for t in chains.checkpoints(5):
+        law = brute(states, 6, np.eye(len(states))[0], t)
+        seen = np.array([counts.get((t, s), 0) for s in states]) / n
+        assert sum(counts.get((t, s), 0) for s in states) == n
+        assert np.abs(seen - law).max() < 5 * np.sqrt(0.25 / n)
+    again = chains.bank(starts.repartition(1), 6, 5, 1, fits)
+    assert got.exceptAll(again).count() == 0
+
+
+def test_bank_edges(spark):
+    df = spark.createDataFrame([(1, []), (2, [0, 1, 2]), (3, [1])], "chain_id long, members array<long>")
+    got = {(r["chain_id"], r["step"]): r for r in chains.bank(df, 3, 2, 1, lambda held: np.ones(len(held), bool)).collect()}
+    assert got[1, 2]["members"] == [] and got[2, 2]["members"] == [0, 1, 2] and len(got[3, 1]["members"]) == 1
+    assert chains.bank(df.limit(0), 3, 2, 1, lambda held: np.ones(len(held), bool)).count() == 0
+    with pytest.raises(Exception, match="outside"):
+        chains.bank(df, 3, 2, 1, lambda held: np.zeros(len(held), bool)).collect()
