@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rulemark.operators import prices, sampling
+from rulemark.operators import ordering, prices, sampling
 from rulemark.operators.cuts import cut
 from rulemark.plans.registry import query
 from rulemark.sources.tables import assets, holdings, index_holdings, read, report_dates, sql
@@ -212,15 +212,16 @@ def collision_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ks_w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_ = lambda s: F.sum((F.col("o_orderstatus") == s).cast("double"))
     g = read(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')").groupBy(R("o_totalprice", 0).alias("x")).agg(is_("F").alias("a"), is_("O").alias("b"))
-    w, whole = Window.orderBy("x"), Window.partitionBy()
-    c = g.select(F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole)).alias("d"), (F.lead("x").over(w) - F.col("x")).alias("step"))
+    c = ordering.running(g, "x", ["a", "b"])
+    gap = F.abs(F.try_divide("a_run", F.col("a_all")) - F.try_divide("b_run", F.col("b_all")))
+    c = c.select(gap.alias("d"), (F.col("next") - F.col("x")).alias("step"))
     return c.agg(R(F.max("d"), 8).alias("ks"), R(F.sum(F.col("d") * F.coalesce("step", F.lit(0.0))), 4).alias("w1"))
 
 
 @query("rank_bins", """SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) * 16 / count(*) OVER ()) AS BIGINT) AS bin FROM orders""")
 def rank_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy("o_totalprice", "o_orderkey")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.floor((F.row_number().over(w) - 1) * 16 / F.count("*").over(Window.partitionBy())).alias("bin"))
+    ranks = ordering.ranked(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+    return ranks.select("o_orderkey", F.floor(F.col("rank") * 16 / F.col("rank_total")).alias("bin"))
 
 
 @query("cvar", sql(RUNNING_SQL + """, tail AS (SELECT DISTINCT k, sample_id, ret FROM nul), q AS (SELECT k, quantile_disc(ret, 0.1) AS q FROM tail GROUP BY 1)
