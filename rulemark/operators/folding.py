@@ -10,7 +10,8 @@ are folded one by one.
 Documents and quotes meet by equality. A quote may not begin or end inside a
 word or number, so each of its words is a whole word of the text around it: its
 first words, up to four, are a key that the documents' runs of words are joined
-on, and only such pairs are searched.
+on, and only such pairs are searched. With ``inside`` it may begin and end inside
+a word; the key then leaves out words that touch the quote's ends.
 """
 
 from __future__ import annotations
@@ -102,10 +103,10 @@ def whole(quote: str) -> re.Pattern:
     return re.compile(before + re.escape(quote) + after)
 
 
-def spans(text: tuple[str, np.ndarray, np.ndarray], quote: str) -> Iterator[tuple[int, int]]:
+def spans(text: tuple[str, np.ndarray, np.ndarray], quote: str, inside: bool = False) -> Iterator[tuple[int, int]]:
     """Original (start, end) of each place where a folded quote stands in a folded text; places do not overlap nor cut a character."""
     body, starts, ends = text
-    pattern, at = whole(quote), 0
+    pattern, at = re.compile(re.escape(quote)) if inside else whole(quote), 0
     while hit := pattern.search(body, at):
         a, b = hit.span()
         if (a == 0 or starts[a] != starts[a - 1]) and (b == len(body) or starts[b] != starts[b - 1]):
@@ -121,15 +122,21 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: folded(x)[0])
 
 
-def located(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str, words: int = 4) -> DataFrame:
+def located(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str, quote: str, words: int = 4, inside: bool = False) -> DataFrame:
     """(doc, item, char_start, char_end, n): where a quote first stands in a document, and how often.
 
     Null and empty texts hold nothing, null and empty quotes are not looked for.
     Quotes without a letter or digit have no words to meet by: those alone are
-    searched for in every document. Repeated ids give repeated rows.
+    searched for in every document. With ``inside``, where a quote may begin and
+    end inside a word, so are those without a word between their first and last.
+    Repeated ids give repeated rows.
     """
     tokens = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), 1)
-    q = quotes.select(F.col(item).alias("_item"), fold(F.col(quote)).alias("_q")).where("_q <> ''").withColumn("_w", F.slice(tokens(F.col("_q")), 1, words))
+    q = quotes.select(F.col(item).alias("_item"), fold(F.col(quote)).alias("_q")).where("_q <> ''").withColumn("_w", tokens(F.col("_q")))
+    if inside:
+        at_start, at_end = (F.col("_q").rlike(r).cast("int") for r in (r"\A[\p{L}\p{N}]", r"[\p{L}\p{N}]\z"))
+        q = q.withColumn("_w", F.slice("_w", at_start + 1, F.greatest(F.size("_w") - at_start - at_end, F.lit(0))))
+    q = q.withColumn("_w", F.slice("_w", 1, words))
     q = q.select("_item", "_q", F.size("_w").alias("_size"), F.array_join("_w", " ").alias("_key"))
     sizes = sorted(r[0] for r in q.where("_size > 0").select("_size").distinct().collect())  # ``words`` rows at most
     t = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc).alias("_doc"), F.col(text).alias("_t"))
@@ -148,7 +155,7 @@ def located(docs: DataFrame, quotes: DataFrame, doc: str, text: str, item: str,
             for d, body, items, looked_for in zip(frame["_doc"], frame["_t"], frame["_items"], frame["_quotes"], strict=True):
                 form = folded(body)
                 for i, one in zip(items, looked_for, strict=True):
-                    found = list(spans(form, one))
+                    found = list(spans(form, one, inside))
                     if found:
                         rows.append((d, i, *found[0], len(found)))
             yield pd.DataFrame(rows, columns=[doc, item, "char_start", "char_end", "n"])

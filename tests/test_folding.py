@@ -65,3 +65,20 @@ def test_located_matches_a_search_of_all_pairs(spark):
             if found:
                 want.append((d, i, *found[0], len(found)))
     assert got == sorted(want) and len(want) > 20
+
+
+def test_quote_located_gives_what_its_sql_gives(spark, tmp_path):
+    """Passages inside words, with white space of other kinds and lengths, letters that only folding makes alike, blanks and repeated ids."""
+    import duckdb
+
+    from rulemark.plans import registry
+
+    texts = ["so the red fox ran away", "xthe red fox ranx, The\nRed Fox Ran1", "the  red fox ran", "the red fox ran", "straße hin und her", "strasse hin und her", "one", None, "", "a  b a  b"]
+    quotes = ["the red fox ran", "straße hin und her", "the  red fox ran", "e", " ", None, "fox", "a  b"]
+    spark.createDataFrame([(min(i, 8), t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(min(i, 6), t) for i, t in enumerate(quotes)], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = registry.QUERIES["quote_located"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.execute(registry.ORACLE_SQL["quote_located"]).fetchall()))
