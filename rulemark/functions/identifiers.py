@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,54 +21,68 @@ def clean(raw: Column) -> Column:
     return F.when(~c.isin(*PLACEHOLDERS) & ~c.rlike(r"^0+$"), c)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is worked out once however often f names it: an argument of a lambda is not copied into its body."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _char_value(c: Column) -> Column:
+    return F.instr(F.lit(ALPHABET), c) - 1
+
+
 def _value(text: Column, i: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1))) - 1
+    return _char_value(F.substring(text, i, F.lit(1)))
+
+
+def _digit_sum(total: Column, v: Column) -> Column:
+    return total + F.floor(v / 10).cast("int") + v % 10
 
 
 def cusip_digit(body: Column) -> Column:
     """The check digit of eight characters: every second doubled, digits of the products added."""
-    def add(total: Column, i: Column) -> Column:
-        v = _value(body, i) * F.when(i % 2 == 0, 2).otherwise(1)
-        return total + F.floor(v / 10).cast("int") + v % 10
+    def digit(b: Column) -> Column:
+        products = F.array(*(_value(b, F.lit(i)) * (2 if i % 2 == 0 else 1) for i in range(1, 9)))
+        return (10 - F.aggregate(products, F.lit(0), _digit_sum) % 10) % 10
 
-    return (10 - F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0), add) % 10) % 10
+    return _once(body, digit)
 
 
 def cusip_valid(raw: Column) -> Column:
-    c = clean(raw)
-    shape = (F.length(c) == 9) & c.rlike(r"^[0-9A-Z*@#]{8}[0-9]$")
-    return F.coalesce(F.when(shape, cusip_digit(F.substring(c, 1, 8)) == F.substring(c, 9, 1).cast("int")), F.lit(False))
+    shape = r"^[0-9A-Z*@#]{8}[0-9]$"
+    valid = lambda c: (F.length(c) == 9) & c.rlike(shape) & (cusip_digit(F.substring(c, 1, 8)) == F.substring(c, 9, 1).try_cast("int"))
+    return F.coalesce(_once(clean(raw), valid), F.lit(False))
 
 
 def isin_digit(body: Column) -> Column:
     """Luhn digit of eleven characters, letters counting as two digits."""
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: _value(body, i).cast("string")), "")
-    back = F.reverse(digits)
+    # From the right: (sum of digits, whether the next digit is doubled). A letter's two digits leave that as it is.
+    start = F.struct(F.lit(0).alias("total"), F.lit(True).alias("twice"))
+    doubled = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
 
-    def add(total: Column, i: Column) -> Column:
-        v = F.substring(back, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-        return total + F.floor(v / 10).cast("int") + v % 10
+    def add(s: Column, v: Column) -> Column:
+        tens, ones = F.floor(v / 10).cast("int"), v % 10
+        more = F.when(v < 10, F.when(s["twice"], doubled(ones)).otherwise(ones)).otherwise(F.when(s["twice"], doubled(ones) + tens).otherwise(ones + doubled(tens)))
+        return F.struct((s["total"] + more).alias("total"), (s["twice"] == (v > 9)).alias("twice"))
 
-    return (10 - F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), add) % 10) % 10
+    values = F.transform(F.split(F.reverse(body), ""), _char_value)
+    return F.aggregate(values, start, add, lambda s: (10 - s["total"] % 10) % 10)
 
 
 def isin_valid(raw: Column) -> Column:
-    c = clean(raw)
-    return F.coalesce(F.when(c.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"), isin_digit(F.substring(c, 1, 11)) == F.substring(c, 12, 1).cast("int")), F.lit(False))
+    valid = lambda c: c.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$") & (isin_digit(F.substring(c, 1, 11)) == F.substring(c, 12, 1).try_cast("int"))
+    return F.coalesce(_once(clean(raw), valid), F.lit(False))
 
 
 def mod97(text: Column) -> Column:
     """The number that a text's characters spell (letters as two digits), modulo 97, digit by digit."""
-    def add(rest: Column, i: Column) -> Column:
-        v = _value(text, i)
+    def add(rest: Column, v: Column) -> Column:
         return (rest * F.when(v > 9, 100).otherwise(10) + v) % 97
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
+    return _once(text, lambda t: F.aggregate(F.sequence(F.lit(1), F.length(t)), F.lit(0), lambda rest, i: add(rest, _value(t, i))))
 
 
 def lei_valid(raw: Column) -> Column:
-    c = clean(raw)
-    return F.coalesce(F.when(c.rlike(r"^[0-9A-Z]{20}$"), mod97(c) == 1), F.lit(False))
+    return F.coalesce(_once(clean(raw), lambda c: F.when(c.rlike(r"^[0-9A-Z]{20}$"), mod97(c) == 1)), F.lit(False))
 
 
 def normalise(raw: Column) -> Column:
@@ -116,10 +132,9 @@ def accession(raw: Column) -> Column:
 def cusip_to_isin(cusip: Column, country: Column) -> Column:
     """The ISIN of a valid CUSIP in a country."""
     body = F.concat(F.upper(country), clean(cusip))
-    return F.when(cusip_valid(cusip), F.concat(body, isin_digit(body).cast("string")))
+    return F.when(cusip_valid(cusip), _once(body, lambda b: F.concat(b, isin_digit(b).cast("string"))))
 
 
 def isin_to_cusip(isin: Column) -> Column:
     """The CUSIP inside a valid ISIN of the United States or Canada."""
-    c = clean(isin)
-    return F.when(isin_valid(isin) & F.substring(c, 1, 2).isin("US", "CA"), F.substring(c, 3, 9))
+    return _once(clean(isin), lambda c: F.when(F.substring(c, 1, 2).isin("US", "CA") & isin_valid(c), F.substring(c, 3, 9)))

@@ -270,3 +270,22 @@ def test_mandates_against_region_rules(spark):
     assert got["b", "eu_excl_tobacco"] == ("at least as strict", "k7") and got["b", "eu_excl_coal_1pct"] == ("silent", None) and got["b", "eu_pab_intensity_50"] == ("at least as strict", "k8") and len(got) == 16
     with pytest.raises(Exception):
         regions.applicable(fund.withColumn("region", F.lit("UK"))).collect()
+
+
+def test_check_digits_work_out_their_text_once(spark):
+    """A text is worked out once, not once a character; the digits are those of a plain reading."""
+    rows = spark.range(300).select(F.substring(F.upper(F.md5(F.col("id").cast("string"))), 1, 11).alias("b"))
+
+    def luhn(b):
+        back = "".join(str(ids.ALPHABET.index(c)) for c in b)[::-1]
+        return -sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(back)) % 10
+
+    def products(b):
+        return -sum(sum(divmod(ids.ALPHABET.index(c) * (1 + i % 2), 10)) for i, c in enumerate(b[:8])) % 10
+
+    got = rows.select("b", ids.isin_digit(F.col("b")), ids.cusip_digit(F.substring("b", 1, 8))).collect()
+    assert [tuple(r) for r in got] == [(r["b"], luhn(r["b"]), products(r["b"])) for r in got]
+    body = F.reverse(F.sha1(F.col("id").cast("string").cast("binary")))
+    for digit in (ids.isin_digit, ids.cusip_digit, ids.mod97):
+        assert spark.range(5).select(digit(body).alias("x"))._jdf.queryExecution().analyzed().toString().count("sha1(") == 1
+    assert spark.range(5).select(ids.cusip_to_isin(body, F.lit("US")).alias("x"))._jdf.queryExecution().analyzed().toString().count("sha1(") <= 12
