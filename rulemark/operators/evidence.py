@@ -26,6 +26,16 @@ from rulemark.functions.numbers import number_appears
 from rulemark.operators.folding import folded, spans
 
 
+def _judged(body: str | None, form: tuple, one: str | None, numbers: tuple[float, ...]) -> tuple:
+    """(passage, start, end, occurrences, numbers that it does not hold) of a quote in a text with its folded form."""
+    q = folded(one)[0]
+    hits = list(spans(form, q)) if q and body else []
+    if not hits:
+        return None, None, None, 0, []
+    a, b = hits[0]
+    return body[a:b], a, b, len(hits), [v for v in numbers if not number_appears(v, body[a:b])]
+
+
 def checked(rules: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", quote: str = "quote", values: str = "values") -> DataFrame:
     """rules with found, evidence (the passage as the document has it), char_start, char_end, occurrences and ungrounded (numbers that the passage does not hold)."""
     there = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
@@ -37,18 +47,15 @@ def checked(rules: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str =
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, form = None, folded("")
         for frame in frames:
-            out = []
+            out, known = [], {}
             for body, one, numbers in zip(frame["_text"], frame[quote], frame[values], strict=True):
-                if body != last:
-                    last, form = body, folded(body)
-                q = folded(one)[0]
-                hits = list(spans(form, q)) if q and body else []
-                if not hits:
-                    out.append((None, None, None, 0, []))
-                    continue
-                a, b = hits[0]
-                numbers = [float(v) for v in numbers if v is not None and v == v] if numbers is not None else []
-                out.append((body[a:b], a, b, len(hits), [v for v in numbers if not number_appears(v, body[a:b])]))
+                numbers = tuple(float(v) for v in numbers if v is not None and v == v) if numbers is not None else ()
+                case = (body, one, numbers)
+                if case not in known:  # what repeats in a frame is checked once
+                    if body != last:
+                        last, form = body, folded(body)
+                    known[case] = _judged(body, form, one, numbers)
+                out.append(known[case])
             found = pd.DataFrame(out, columns=["evidence", "char_start", "char_end", "occurrences", "ungrounded"])
             found[["char_start", "char_end"]] = found[["char_start", "char_end"]].astype("Int32")
             yield pd.concat([frame.drop(columns="_text").reset_index(drop=True), found], axis=1)
