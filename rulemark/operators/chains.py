@@ -133,29 +133,45 @@ def sampled(starts: DataFrame, n: int, steps: int, seed: int, accept: Accept, bu
     portfolio stays as it is.
     """
 
-    def one(chain_id: int, first: np.ndarray) -> Iterator[tuple]:
-        rng = np.random.default_rng([seed, int(chain_id)])
-        held = np.zeros(n, bool)
-        held[first] = True
-        if held.sum() != len(first) or not accept(np.flatnonzero(held)):
-            raise ValueError(f"chain {chain_id} starts outside the feasible set")
-        taken = 0
+    def walk_all(ids: np.ndarray, held: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Chains of one size in step; members and free assets stay sorted, as the drawn places count along them."""
+        rows, k = np.arange(len(ids)), held.shape[1]
+        inside = np.zeros((len(ids), n), bool)
+        inside[rows[:, None], held] = True
+        held = np.sort(held, axis=1)
+        for i in rows:
+            if inside[i].sum() != k or not accept(held[i]):
+                raise ValueError(f"chain {ids[i]} starts outside the feasible set")
+        free = np.nonzero(~inside)[1].reshape(len(ids), n - k)
+        moves = swaps if 0 < k < n else 0
+        bounds = np.tile([k, n - k], (burn_in + steps) * moves)
+        drawn = np.stack([np.random.default_rng([seed, int(i)]).integers(0, bounds) for i in ids]) if moves else None
+        taken = np.zeros(len(ids), np.int64)
         for t in range(1, burn_in + steps + 1):
-            new = held.copy()
-            for _ in range(swaps if 0 < len(first) < n else 0):
-                out, into = rng.choice(np.flatnonzero(new)), rng.choice(np.flatnonzero(~new))
-                new[out], new[into] = False, True
-            if (new != held).any() and accept(np.flatnonzero(new)):
-                held, taken = new, taken + 1
+            new, rest = held.copy(), free.copy()
+            for m in range(moves):
+                at = 2 * ((t - 1) * moves + m)
+                out, into = drawn[:, at], drawn[:, at + 1]
+                new[rows, out], rest[rows, into] = rest[rows, into], new[rows, out]
+                new.sort(axis=1)
+                rest.sort(axis=1)
+            moved = np.flatnonzero((new != held).any(axis=1))
+            ok = moved[np.array([bool(accept(new[i])) for i in moved], bool)] if len(moved) else moved
+            held[ok], free[ok] = new[ok], rest[ok]
+            taken[ok] += 1
             if t > burn_in and (t - burn_in) % thin == 0:
-                yield chain_id, t, np.flatnonzero(held).tolist(), taken / t
+                yield pd.DataFrame({"chain_id": ids, "step": t, "members": list(held.copy()), "accepted": taken / t})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chain_id, members in zip(batch["chain_id"], batch["members"], strict=True):
-                yield pd.DataFrame(one(chain_id, np.asarray(members, int)), columns=["chain_id", "step", "members", "accepted"])
-
-    return starts.select("chain_id", "members").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024]
+                for _, same in some.groupby(some["members"].map(len)):
+                    yield from walk_all(same["chain_id"].to_numpy(np.int64), np.stack([np.asarray(m, np.int64) for m in same["members"]]).reshape(len(same), -1))
+
+    # A chain takes much longer to walk than to read, so chains are spread however few files hold them.
+    parts = max(starts.sparkSession.sparkContext.defaultParallelism, int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return starts.select("chain_id", "members").repartition(parts, "chain_id").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")
 
 
 def _uniform(seed: int, chain: np.ndarray, step: int, which: int) -> np.ndarray:

@@ -109,3 +109,9 @@ def test_bank_edges(spark):
     assert chains.bank(df.limit(0), 3, 2, 1, lambda held: np.ones(len(held), bool)).count() == 0
     with pytest.raises(Exception, match="outside"):
         chains.bank(df, 3, 2, 1, lambda held: np.zeros(len(held), bool)).collect()
+
+
+def test_chains_of_one_file_are_spread(spark):
+    starts = spark.createDataFrame([(i, [0, 1]) for i in range(50)], "chain_id long, members array<long>").coalesce(1)
+    seen = chains.sampled(starts, 6, 10, 3, lambda held: True)
+    assert seen.rdd.getNumPartitions() > 1 and seen.count() == 500
