@@ -53,3 +53,26 @@ def running(df: DataFrame, order: str, sums: Sequence[str]) -> DataFrame:
     runs |= {f"{c}_all": F.lit(t) for c, t in zip(sums, total, strict=True)}
     last = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_place").desc())) == 1
     return rows.withColumns({**runs, "next": F.when(last, F.col("_after")).otherwise(F.lead(order).over(w))}).drop("_part", "_place", "_after", *(f"_{c}" for c in sums))
+
+
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, a column a share): exact quantiles of each group's known values, between two of them by how near the place is.
+
+    Meant for few groups of any size: values are counted, the counts dealt to ranges
+    of (by, value) and added up along them, and a row is kept only where a place
+    falls, so no group is gathered. Groups without a known value give no row.
+    """
+    counted = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    order = [by, value]
+    rows = cut(counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # A row a range and group: what comes before the range in the group.
+    w = Window.partitionBy(by).orderBy("_part")
+    whole = Window.partitionBy(by)
+    parts = rows.groupBy(by, "_part").agg(F.sum("_c").alias("_s")).withColumns({"_before": F.sum("_s").over(w) - F.col("_s"), "n": F.sum("_s").over(whole)}).drop("_s")
+    run = Window.partitionBy(by, "_part").orderBy(value)
+    rows = rows.join(F.broadcast(parts), [by, "_part"]).withColumn("_last", F.col("_before") + F.sum("_c").over(run) - 1)
+    place = {c: F.lit(p) * (F.col("n") - 1) for c, p in shares.items()}
+    at = lambda k: F.max(F.when((F.col("_last") - F.col("_c") < k) & (k <= F.col("_last")), F.col(value)))
+    ends = rows.groupBy(by, "n").agg(*(at(f(x).cast("long")).alias(f"_{name}_{c}") for c, x in place.items() for name, f in (("low", F.floor), ("high", F.ceil))))
+    between = lambda c, x: F.when(F.col(f"_low_{c}") == F.col(f"_high_{c}"), F.col(f"_low_{c}")).otherwise((F.ceil(x) - x) * F.col(f"_low_{c}") + (x - F.floor(x)) * F.col(f"_high_{c}"))
+    return ends.select(by, "n", *(between(c, x).alias(c) for c, x in place.items()))
