@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = {"p", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "br", "title", "header", "footer"}
+#: Characters of paragraphs that are handed back at a time.
+OUT_CHARS = 2 << 20
 HIDDEN = {"script", "style", "noscript", "template"}
 
 
@@ -51,10 +53,14 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
     """(key, idx, kind, heading, text): a page's paragraphs under the heading that they follow."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [key, "idx", "kind", "heading", "text"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, body in zip(batch[key], batch[html], strict=True):
+            # Pages are taken up one by one and given back a few megabytes at a time, so that no batch is held twice over.
+            rows, size = [], 0
+            for at in range(batch.num_rows):
+                k, body = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
                 parser = _Paragraphs()
                 parser.feed(body or "")
                 parser.close()
@@ -64,9 +70,17 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
                     if what == "heading":
                         heading = text
                     rows.append((k, i, what, heading, text))
-            yield pd.DataFrame(rows, columns=[key, "idx", "kind", "heading", "text"])
+                    size += len(text) + len(heading or "") + 100
+                    if size > OUT_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds(batch), strict=True)], names=names)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds(batch), strict=True)], names=names)
+
+    def kinds(batch: pa.RecordBatch) -> list[pa.DataType]:
+        return [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string()]
 
-    return pages.select(key, html).mapInPandas(work, f"{key} {kind}, idx int, kind string, heading string, text string")
+    return pages.select(key, html).mapInArrow(work, f"{key} {kind}, idx int, kind string, heading string, text string")
 
 
 def occurrences(text: Column, quote: Column) -> Column:
