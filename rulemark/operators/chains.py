@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulemark.operators.cuts import cut
+from rulemark.operators.cuts import cut, spread
 from rulemark.operators.lattice import _without_one
 
 Accept = Callable[[np.ndarray], bool]
@@ -170,8 +170,7 @@ def sampled(starts: DataFrame, n: int, steps: int, seed: int, accept: Accept, bu
                     yield from walk_all(same["chain_id"].to_numpy(np.int64), np.stack([np.asarray(m, np.int64) for m in same["members"]]).reshape(len(same), -1))
 
     # A chain takes much longer to walk than to read, so chains are spread however few files hold them.
-    parts = max(starts.sparkSession.sparkContext.defaultParallelism, int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return starts.select("chain_id", "members").repartition(parts, "chain_id").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")
+    return spread(starts.select("chain_id", "members"), "chain_id").mapInPandas(work, "chain_id long, step long, members array<long>, accepted double")
 
 
 def _uniform(seed: int, chain: np.ndarray, step: int, which: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Cutting the lineage of frames that rounds build on."""
+"""Cutting the lineage of frames that rounds build on, and spreading rows over tasks."""
 
 from __future__ import annotations
 
@@ -17,3 +17,9 @@ def cut(df: DataFrame) -> DataFrame:
             folder = session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys over all shuffle partitions, which adaptive execution leaves apart however well their bytes compress."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)

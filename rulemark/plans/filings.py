@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulemark.operators import ordering, quality, store
-from rulemark.operators.cuts import cut
+from rulemark.operators.cuts import cut, spread
 from rulemark.plans.registry import query
 from rulemark.sources import readers
 from rulemark.sources.tables import filings, holdings, read, sql
@@ -78,7 +78,7 @@ def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each distinct count on its own: values are dealt out before they are told apart, so no task holds a file's values.
     for c, name in (("l_orderkey", "n_filings"), ("l_partkey", "n_assets"), ("l_returnflag", "n_flags"), ("day", "n_dates")):
         told = items.select(F.col("l_suppkey").alias("_k"), c).where(F.col(c).isNotNull())
-        told = told.repartition("_k", c) if name in ("n_filings", "n_assets") else told
+        told = spread(told, "_k", c) if name in ("n_filings", "n_assets") else told
         out = out.join(told.distinct().groupBy("_k").agg(F.count("*").alias(name)), F.col("fund_id") == F.col("_k"), "left").drop("_k")
     times = lambda c: F.coalesce(F.col(c) * F.col("times"), F.lit(0)).alias(c)
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -131,7 +131,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem")
     # A row a fund and asset, with whether it and whether the next fund holds it: one pass in place of three set operations.
     of = lambda k: items.select((F.col("l_suppkey") - k).alias("fund"), F.col("l_partkey").alias("asset"), F.lit(k).alias("k"))
-    held = of(0).union(of(1)).repartition("fund", "asset").groupBy("fund", "asset").agg((F.min("k") == 0).alias("first"), (F.max("k") == 1).alias("next"))
+    held = spread(of(0).union(of(1)), "fund", "asset").groupBy("fund", "asset").agg((F.min("k") == 0).alias("first"), (F.max("k") == 1).alias("next"))
     n = held.groupBy("fund").agg(F.count_if(F.col("first") & F.col("next")).alias("both"), F.count_if(F.col("first") & ~F.col("next")).alias("first only"), F.count("*").alias("either"))
     return n.unpivot("fund", ["both", "first only", "either"], "kind", "n").where("n > 0")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from rulemark.operators import ordering, prices, sampling
 from rulemark.operators.cuts import cut
+from rulemark.operators.cuts import spread
 from rulemark.plans.registry import query
 from rulemark.sources.tables import assets, holdings, index_holdings, read, report_dates, sql
 
@@ -161,10 +162,12 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x.o AS order_id, x.a || '|' || y.a || '|' || z.a AS members, round((x.esg + y.esg + z.esg) / 3, 6) AS esg FROM u x JOIN u y ON x.o = y.o AND x.a < y.a JOIN u z ON y.o = z.o AND y.a < z.a""")
 def enumerate_k_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sets of three assets of every order, with their mean score."""
-    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("asset_id")).distinct()
-    held = sampling.combinations(items, 3, by=["order_id"]).withColumn("asset_id", F.explode("members"))
-    scored = held.join(assets(spark, sf_dir).select("asset_id", "esg"), "asset_id").groupBy("order_id", F.concat_ws("|", F.col("members").cast("array<string>")).alias("members"))
-    return scored.agg(R(F.avg("esg"), 6).alias("esg"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("asset_id"))
+    # Scores come before the sets, so that nothing is shuffled once there are sets; an order's assets meet where its lines are.
+    u = spread(items.join(assets(spark, sf_dir).select("asset_id", "esg"), "asset_id"), "order_id").groupBy("order_id", "asset_id").agg(F.first("esg").alias("esg"))
+    x, y, z = (u.select("order_id", F.col("asset_id").alias(f"a{i}"), F.col("esg").alias(f"e{i}")) for i in range(3))
+    held = x.join(y, "order_id").where("a0 < a1").join(z, "order_id").where("a1 < a2")
+    return held.select("order_id", F.concat_ws("|", "a0", "a1", "a2").alias("members"), R((F.col("e0") + F.col("e1") + F.col("e2")) / 3, 6).alias("esg"))
 
 
 INC_SQL = SAMPLES_SQL + f""", p AS (SELECT asset_id, count(s.asset_id) / {M}.0::DOUBLE AS freq FROM small LEFT JOIN s USING (asset_id) GROUP BY 1)"""
