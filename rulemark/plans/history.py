@@ -55,13 +55,13 @@ def implied_price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_holdings(spark, sf_dir).where("balance > 0 AND value > 0").select("report_date", "asset_id", (F.col("value") / F.col("balance")).alias("price"), F.col("balance").alias("shares"))
 
 
-@query("wide_price_pivot", """WITH p AS (SELECT last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS report_date, l_returnflag AS f, sum(l_extendedprice) / sum(l_quantity) AS price FROM lineitem GROUP BY 1, 2)
-    SELECT report_date, round(max(price) FILTER (f = 'A'), 6) AS "A", round(max(price) FILTER (f = 'N'), 6) AS "N", round(max(price) FILTER (f = 'R'), 6) AS "R" FROM p GROUP BY 1""")
+@query("wide_price_pivot", sql("""
+    SELECT asset_id, CAST(year(report_date) AS INT) AS year, max(value / balance) FILTER (quarter(report_date) = 1) AS q1, max(value / balance) FILTER (quarter(report_date) = 2) AS q2,
+           max(value / balance) FILTER (quarter(report_date) = 3) AS q3, max(value / balance) FILTER (quarter(report_date) = 4) AS q4 FROM idx GROUP BY 1, 2""", "holdings", "idx"))
 def wide_price_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean prices by quarter, a column a return flag."""
-    price = F.sum("l_extendedprice") / F.sum("l_quantity")
-    p = read(spark, sf_dir, "lineitem").groupBy(quarter_end(F.col("l_shipdate")).alias("report_date"), "l_returnflag").agg(price.alias("price"))
-    return p.groupBy("report_date").pivot("l_returnflag", ["A", "N", "R"]).agg(R(F.max("price"), 6))
+    """Implied prices of every asset: a row an asset and year, a column a quarter, since assets grow with the tables and columns may not."""
+    p = index_holdings(spark, sf_dir).select("asset_id", F.year("report_date").alias("year"), F.concat(F.lit("q"), F.quarter("report_date")).alias("quarter"), (F.col("value") / F.col("balance")).alias("price"))
+    return p.groupBy("asset_id", "year").pivot("quarter", ["q1", "q2", "q3", "q4"]).agg(F.max("price"))
 
 
 @query("consecutive_returns", sql(PAIRS_SQL + """

@@ -44,3 +44,14 @@ def test_runs(spark, name):
 
 def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.QUERIES and registry.FLAGSHIP in registry.ORACLE_SQL
+
+
+def test_wide_price_pivot_holds_every_price(spark):
+    """As many prices as the parent index has, whatever their assets and quarters."""
+    from pyspark.sql import functions as F
+
+    from rulemark.plans import registry
+
+    where = "/root/testdata/sf0.001"
+    wide = registry.QUERIES["wide_price_pivot"](spark, where)
+    assert wide.select(F.explode(F.array("q1", "q2", "q3", "q4")).alias("p")).where("p IS NOT NULL").count() == registry.QUERIES["implied_price_panel"](spark, where).count()
