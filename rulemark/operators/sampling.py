@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rulemark.operators.cuts import cut
+
+#: Keys that ``first_draws_by`` sorts beyond the first k: so many times the root of k, and so many more.
+SPARE = (6, 20)
+
 
 def key(seed: int, sample: Column, asset: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), sample, asset))
@@ -57,6 +62,32 @@ def first_draws(assets: DataFrame, k: DataFrame, n_samples: int, seed: int, asse
     return kept.where(F.col("rank") <= F.col("_k")).select(*assets.columns, "sample_id", "rank")
 
 
+def first_draws_by(assets: DataFrame, k: DataFrame, by: list[str], n_samples: int, seed: int, asset: str = "asset_id") -> DataFrame:
+    """First draws of every group of ``by``: (by, sample_id, rank from 1, asset columns) up to the group's k in ``k`` (by, k).
+
+    Keys are md5 of (seed, sample, by, asset). As in ``first_draws`` only keys below a
+    bound a little above k / n are sorted, and a group's sample with fewer than k of
+    them is drawn again without a bound. Groups are periods or the like: few, of any size.
+    """
+    size = cut(assets.groupBy(*by).agg(F.count("*").alias("_n")).join(k.select(*by, F.col("k").alias("_k")), by))  # a row a group
+    share = (F.col("_k") + SPARE[0] * F.sqrt("_k") + SPARE[1]) / F.col("_n")
+    # Keys are compared as text: "g" comes after every hexadecimal digit.
+    bound = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * (1 << 52)).cast("long")), 13, "0")))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "sample_id", *by, asset))
+    near = assets.join(F.broadcast(size.withColumn("_bound", bound)), by)  # a row a group
+    drawn = near.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_samples - 1).cast("long")))).withColumn("_key", digest)
+    low = cut(drawn.where(F.col("_key") < F.col("_bound")))
+    full = low.groupBy(*by, "sample_id", "_n", "_k").agg(F.count("*").alias("_low")).where(F.col("_low") >= F.least("_k", "_n"))
+    every = size.select(*by).crossJoin(assets.sparkSession.range(n_samples).select(F.col("id").alias("sample_id")))
+    short = cut(every.join(full, [*by, "sample_id"], "left_anti"))
+    if not short.isEmpty():
+        rest = near.join(F.broadcast(short), by).withColumn("_key", digest)  # a row a group and sample, none as a rule
+        low = low.join(F.broadcast(short), [*by, "sample_id"], "left_anti").unionByName(rest.select(*low.columns))
+    order = Window.partitionBy(*by, "sample_id").orderBy("_key", asset)
+    ranked = low.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("_k"))
+    return ranked.select(*by, "sample_id", "rank", *(c for c in assets.columns if c not in by))
+
+
 def k_subsets(assets: DataFrame, k: int, n_samples: int, seed: int, asset: str = "asset_id") -> DataFrame:
     """(sample_id, asset columns): n_samples uniform k-subsets."""
     size = assets.sparkSession.range(1).select(F.lit(k).alias("k"))
@@ -123,6 +154,12 @@ def mid_rank(value: Column, x: Column, ties: str = "half") -> Column:
     return 100 * F.avg(F.when(same, 0.5).when(value < x, 1.0).otherwise(0.0))
 
 
+def mid_rank_of(values: Column, x: Column) -> Column:
+    """``mid_rank`` of an array of structs with a field ret, ties counted half: one value a row."""
+    score = lambda v: F.when(v["ret"] == x, 0.5).when(v["ret"] < x, 1.0).otherwise(0.0)
+    return 100 * (F.aggregate(values, F.lit(0.0), lambda a, v: a + score(v)) / F.size(values))
+
+
 def weighted_quantile(rows: DataFrame, value: str, weight: str, q: float, by: list[str]) -> DataFrame:
     """The least value at which the running weight reaches q of the total (left-continuous inverse)."""
     order = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)

@@ -11,10 +11,11 @@ from rulemark.functions import identifiers as ids
 from rulemark.functions import numbers
 from rulemark.functions import text as words
 from rulemark.operators import documents, prices, sampling
+from rulemark.operators.cuts import cut
 from rulemark.plans.portfolio import K, SAMPLES_SQL, samples, universe_assets
 from rulemark.plans.registry import query
 from rulemark.plans.text import clauses
-from rulemark.sources.tables import assets, filings, holdings, index_holdings, read, sql
+from rulemark.sources.tables import assets, filings, holdings, index_holdings, read, report_dates, sql
 
 R = F.round
 
@@ -139,17 +140,29 @@ SEED, DRAWS = 20260101, 25
     n AS (SELECT start, sample_id, k, avg(ret) OVER (PARTITION BY start, sample_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS ret FROM o)
     SELECT fund_id, start, k, round(fund_ret, 6) AS fund_return, round(100 * avg(CASE WHEN round(ret, 12) = round(fund_ret, 12) THEN 0.5 WHEN ret < fund_ret THEN 1 ELSE 0 END), 4) AS percentile FROM f JOIN n USING (start, k) GROUP BY ALL""", "holdings", "idx"))
 def fund_percentile_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fund in every period among random portfolios of as many names: one grouped query over all periods."""
+    """Each fund in every period among random portfolios of as many names: one grouped query over all periods.
+
+    Line items are shuffled once, by asset: the parent index at a holding's date and
+    the next is a sum over the asset's holdings there. Of the random orders only the
+    first names are sorted, as many as the period's largest fund has.
+    """
+    dates = report_dates(spark, sf_dir)
+    dates = dates.select("report_date", F.row_number().over(Window.orderBy("report_date")).alias("no"))  # a row a quarter
+    h = holdings(spark, sf_dir, dealt="l_partkey").where("asset_id IS NOT NULL").join(F.broadcast(dates), "report_date")  # a row a quarter
+    along = Window.partitionBy("asset_id").orderBy("no")
+    at = {c: along.rangeBetween(c, c) for c in (0, 1)}
+    total = {f"{c}{k}": R(F.sum(c).over(w), 2) for c in ("balance", "value") for k, w in at.items()}
+    h = h.withColumn("place", F.row_number().over(along)).withColumns({**total, "met": F.count("*").over(at[1]), "first": F.col("place") == F.min("place").over(at[0])})
     gross = (F.col("value1") / F.col("balance1")) / (F.col("value0") / F.col("balance0"))
-    r = prices.paired(index_holdings(spark, sf_dir).withColumn("one", F.lit(1)), ["one"]).select("start", "asset_id", (gross - 1).alias("ret"))
-    h = holdings(spark, sf_dir).select("fund_id", F.col("report_date").alias("start"), "asset_id", "value")
-    f = h.join(r, ["start", "asset_id"]).groupBy("fund_id", "start").agg(F.count("*").alias("k"), (F.sum(F.col("value") * F.col("ret")) / F.sum("value")).alias("fund_ret"))
-    drawn = r.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
-    drawn = drawn.withColumn("key", F.md5(F.concat_ws("|", F.lit(SEED), "sample_id", "start", "asset_id")))
-    order = Window.partitionBy("start", "sample_id").orderBy("key", "asset_id")
-    null = drawn.select("start", F.row_number().over(order).cast("long").alias("k"), F.avg("ret").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("ret"))
-    rank = sampling.mid_rank(R("ret", 12), R("fund_ret", 12))
-    return f.join(null, ["start", "k"]).groupBy("fund_id", "start", "k", R("fund_ret", 6).alias("fund_return")).agg(R(rank, 4).alias("percentile"))
+    h = cut(h.where("met > 0").select("fund_id", F.col("report_date").alias("start"), "asset_id", "value", (gross - 1).alias("ret"), "first"))
+    f = cut(h.groupBy("fund_id", "start").agg(F.count("*").alias("k"), (F.sum(F.col("value") * F.col("ret")) / F.sum("value")).alias("fund_ret")))
+    most = f.groupBy("start").agg(F.max("k").alias("k"))
+    drawn = sampling.first_draws_by(h.where("first").select("start", "asset_id", "ret"), most, ["start"], DRAWS, SEED)
+    order = Window.partitionBy("start", "sample_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    null = drawn.select("start", F.col("rank").cast("long").alias("k"), F.avg("ret").over(order).alias("ret"))
+    null = null.groupBy("start", "k").agg(F.collect_list(F.struct(R("ret", 12).alias("ret"))).alias("rets"))  # DRAWS of each
+    rank = sampling.mid_rank_of(F.col("rets"), R("fund_ret", 12))
+    return f.join(null, ["start", "k"]).select("fund_id", "start", "k", R("fund_ret", 6).alias("fund_return"), R(rank, 4).alias("percentile"))
 
 
 TAU, MARKET_VARIANCE = 0.05, 0.04

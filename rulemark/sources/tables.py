@@ -24,11 +24,16 @@ def report_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(quarter_end(F.col("l_shipdate")).alias("report_date")).distinct()
 
 
-def holdings(spark: SparkSession, sf_dir: str, dates: DataFrame | None = None) -> DataFrame:
-    """(fund_id, report_date, asset_id, balance, value): one row a holding; with ``dates`` only theirs, cut before the shuffle."""
+def holdings(spark: SparkSession, sf_dir: str, dates: DataFrame | None = None, dealt: str | None = None) -> DataFrame:
+    """(fund_id, report_date, asset_id, balance, value): one row a holding; with ``dates`` only theirs, cut before the shuffle.
+
+    Line items are dealt by ``dealt`` (l_partkey: an asset's holdings meet in one task), by the holding if None.
+    """
     items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", quarter_end(F.col("l_shipdate")).alias("report_date"), "l_quantity", "l_extendedprice")
     if dates is not None:
         items = items.join(F.broadcast(dates.select("report_date")), "report_date", "left_semi")  # a row a quarter
+    if dealt is not None:
+        items = items.repartition(dealt)
     return items.groupBy(F.col("l_suppkey").alias("fund_id"), "report_date", F.col("l_partkey").alias("asset_id")).agg(F.round(F.sum("l_quantity"), 2).alias("balance"), F.round(F.sum("l_extendedprice"), 2).alias("value"))
 
 

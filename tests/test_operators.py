@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import itertools
 
 import pytest
@@ -289,3 +290,29 @@ def test_check_digits_work_out_their_text_once(spark):
     for digit in (ids.isin_digit, ids.cusip_digit, ids.mod97):
         assert spark.range(5).select(digit(body).alias("x"))._jdf.queryExecution().analyzed().toString().count("sha1(") == 1
     assert spark.range(5).select(ids.cusip_to_isin(body, F.lit("US")).alias("x"))._jdf.queryExecution().analyzed().toString().count("sha1(") <= 12
+
+
+@pytest.mark.parametrize("spare", [(6, 20), (-1, 0)])  # with the second, most samples are drawn again
+def test_first_draws_of_groups_are_the_first_of_the_whole_order(spark, monkeypatch, spare):
+    monkeypatch.setattr(sampling, "SPARE", spare)
+    assets = spark.range(400).select(F.when(F.col("id") < 300, "a").when(F.col("id") < 395, "b").otherwise("c").alias("g"), F.col("id").alias("asset_id"))
+    k = {"a": 9, "b": 40, "c": 5}
+    got = sampling.first_draws_by(assets, spark.createDataFrame(list(k.items()), "g string, k long"), ["g"], 6, 1).collect()
+    want = set()
+    for g, ids in (("a", range(300)), ("b", range(300, 395)), ("c", range(395, 400))):
+        for s in range(6):
+            order = sorted(ids, key=lambda i: hashlib.md5(f"1|{s}|{g}|{i}".encode()).hexdigest())  # noqa: B023
+            want |= {(g, s, n + 1, i) for n, i in enumerate(order[: k[g]])}
+    assert {(r.g, r.sample_id, r["rank"], r.asset_id) for r in got} == want and len(got) == len(want)
+
+
+def test_percentile_history_shuffles_only_first_names(spark, monkeypatch):
+    """Draws that are sorted are of the largest fund's size, not of the whole universe."""
+    from rulemark.plans import registry
+
+    where = "/root/testdata/sf0.01"
+    seen, cut = [], sampling.cut
+    monkeypatch.setattr(sampling, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    registry.QUERIES["fund_percentile_history"](spark, where)
+    (low,) = [df for df in seen if "_key" in df.columns]
+    assert low.count() < 25 * 23625 / 2
