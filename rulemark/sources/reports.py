@@ -22,27 +22,30 @@ _HOLDING = (
 )
 _FLOW = "struct<_sales: string, _reinvestment: string, _redemption: string>"
 _GAIN = "struct<_netRealizedGain: string, _netUnrealizedAppr: string>"
-REPORT = (
+_REPORT = (
     "headerData struct<submissionType: string, filerInfo: struct<seriesClassInfo: array<struct<classId: array<string>>>>>, "
     "formData struct<genInfo: struct<regName: string, regCik: string, regLei: string, regFileNumber: string, seriesName: string, seriesId: string, seriesLei: string, repPdEnd: string, repPdDate: string, isFinalFiling: string>, "
     "fundInfo: struct<totAssets: string, totLiabs: string, netAssets: string, assetsAttrMiscSec: string, cshNotRptdInCorD: string, "
     f"returnInfo: struct<monthlyTotReturns: struct<monthlyTotReturn: array<struct<_classId: string, _rtn1: string, _rtn2: string, _rtn3: string>>>, othMon1: {_GAIN}, othMon2: {_GAIN}, othMon3: {_GAIN}>, "
-    f"mon1Flow: {_FLOW}, mon2Flow: {_FLOW}, mon3Flow: {_FLOW}>, invstOrSecs: struct<invstOrSec: array<struct<{_HOLDING}>>>>"
+    f"mon1Flow: {_FLOW}, mon2Flow: {_FLOW}, mon3Flow: {_FLOW}>"
 )
+#: A report, with its positions and without them.
+REPORT, SHORT_REPORT = f"{_REPORT}, invstOrSecs: struct<invstOrSec: array<struct<{_HOLDING}>>>>", f"{_REPORT}>"
 FEED = "`company-info` struct<cik: string, `conformed-name`: string, `fiscal-year-end`: string>, entry array<struct<content: struct<`accession-number`: string, `filing-type`: string, `filing-date`: string, `filing-href`: string>>>"
 
 
 def clean(raw: Column) -> Column:
     """Text trimmed; null where it is blank or N/A."""
     text = F.trim(raw, F.lit(" \t\r\n"))
-    return F.when((text != "") & (F.upper(text) != "N/A"), text)
+    return F.when(~text.isin("", "N/A", "n/a", "N/a", "n/A"), text)  # these are all: upper casing each value costs more than reading it
 
 
 def _read(raw: Column, kind: str, what: str, shape: str | None = None) -> Column:
     """The cleaned text as a value of a type; text that is none raises."""
     text = clean(raw)
-    value = text.try_cast(kind) if shape is None else F.when(text.rlike(shape), text.try_cast(kind))
-    return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: no {kind}: "), text)).cast(kind))
+    value = lambda t: t.try_cast(kind) if shape is None else F.when(t.rlike(shape), t.try_cast(kind))
+    # Text that is a value as it stands is not trimmed first.
+    return F.coalesce(value(raw), value(text), F.when(text.isNotNull(), F.raise_error(F.concat(F.lit(f"{what}: no {kind}: "), text)).cast(kind)))
 
 
 def number(raw: Column, what: str) -> Column:
@@ -54,7 +57,7 @@ def day(raw: Column, what: str) -> Column:
 
 
 def flag(raw: Column, what: str) -> Column:
-    return _read(F.upper(clean(raw)), "boolean", what, "^[YN]$")
+    return F.coalesce(F.when(raw == "Y", True).when(raw == "N", False), _read(F.upper(clean(raw)), "boolean", what, "^[YN]$"))
 
 
 def cik(raw: Column, what: str) -> Column:
@@ -64,16 +67,22 @@ def cik(raw: Column, what: str) -> Column:
 
 def _document(rows: DataFrame, xml: str, schema: str, root: str) -> Column:
     """The parsed document; text with another root element, or that is not well-formed, raises."""
+    # Mostly the root stands first, or after the declaration alone; else it is what follows comments, instructions and the document type.
+    plain = F.regexp_extract(F.col(xml), r"^\s*(?:<\?[^>]*\?>\s*)?<(?:[\w.-]+:)?([\w.-]+)", 1)
     bare = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
-    first = F.regexp_extract(bare, r"<(?:[\w.-]+:)?([\w.-]+)", 1)
+    first = F.when(plain != "", plain).otherwise(F.regexp_extract(bare, r"<(?:[\w.-]+:)?([\w.-]+)", 1))
     checked = F.when(first == root, F.col(xml)).otherwise(F.raise_error(F.concat(F.lit(f"root element is not {root}: "), first)).cast("string"))
     return F.from_xml(checked, schema, {"mode": "FAILFAST", "ignoreNamespace": "true"})
 
 
-def reports(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """rows with the parsed ``report`` and its ``report_date`` in place of the XML; null text gives no row."""
+def reports(rows: DataFrame, xml: str = "xml", positions: bool = True) -> DataFrame:
+    """rows with the parsed ``report`` and its ``report_date`` in place of the XML; null text gives no row.
+
+    Without ``positions`` the whole document is read as well, and raises where it is
+    malformed, but its positions, most of its text, are not made into columns.
+    """
     # Exploded from an array of one, so that the optimizer does not parse once a field.
-    a = rows.where(F.col(xml).isNotNull()).withColumn("report", F.explode(F.array(_document(rows, xml, REPORT, "edgarSubmission")))).drop(xml)
+    a = rows.where(F.col(xml).isNotNull()).withColumn("report", F.explode(F.array(_document(rows, xml, REPORT if positions else SHORT_REPORT, "edgarSubmission")))).drop(xml)
     kind = clean(F.col("report.headerData.submissionType"))
     date = day(F.col("report.formData.genInfo.repPdDate"), "repPdDate")
     known = F.when(kind.isNotNull() & ~F.upper(kind).startswith("NPORT"), F.raise_error(F.concat(F.lit("submissionType: "), kind)).cast("date")).otherwise(date)

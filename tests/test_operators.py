@@ -238,6 +238,30 @@ def test_malformed_reports_raise(spark, old, new):
         reports.header(reports.reports(doc)).collect()
 
 
+@pytest.mark.parametrize("old, new", [("<units>NS</units>", "<units>NS</unit>"), ("</invstOrSecs>", ""), ("110.5", "many"), ("edgarSubmission", "other")])
+def test_reports_without_positions_raise_as_well(spark, old, new):
+    short = lambda text: reports.reports(spark.createDataFrame([(text,)], "xml string"), positions=False)
+    assert "invstOrSecs" not in short(REPORT).schema["report"].simpleString() and reports.header(short(REPORT)).collect() == reports.header(reports.reports(spark.createDataFrame([(REPORT,)], "xml string"))).collect()
+    with pytest.raises(Exception):
+        reports.header(short(REPORT.replace(old, new))).collect()
+
+
+def test_report_values_as_they_stand_or_trimmed(spark):
+    """The short ways read what the long ones read; no upper casing of each value, no search of the whole text for comments."""
+    c = F.col("t")
+    rows = [(" 1.5 ", 1.5), ("1.5", 1.5), ("n/A", None), (" N/a\t", None), ("", None), (None, None), ("1e3", 1000.0)]
+    df = spark.createDataFrame(rows, "t string, want double")
+    assert df.select("want", reports.number(c, "x").alias("got")).where("want IS DISTINCT FROM got").count() == 0
+    flags = spark.createDataFrame([("Y", True), ("N", False), (" y\n", True), ("n", False), ("n/a", None), (None, None)], "t string, want boolean")
+    assert flags.select("want", reports.flag(c, "x").alias("got")).where("want IS DISTINCT FROM got").count() == 0
+    days = spark.createDataFrame([("2025-03-31", "2025-03-31"), (" 2025-03-31\n", "2025-03-31"), ("N/A", None)], "t string, want string")
+    assert days.select("want", reports.day(c, "x").cast("string").alias("got")).where("want IS DISTINCT FROM got").count() == 0
+    assert "upper(" not in str(reports.clean(c)).lower()
+    for bad in ("2025-3-1", "2025-03-31x"):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(bad,)], "t string").select(reports.day(c, "x")).collect()
+
+
 def test_report_files_keep_the_last_of_a_date(spark, tmp_path):
     (tmp_path / "a.xml").write_text(REPORT)
     (tmp_path / "b.xml").write_text(REPORT.replace("Made Up", "Later"))
