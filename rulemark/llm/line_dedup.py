@@ -81,7 +81,7 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, ...]:
     starts = np.unique(np.concatenate([offsets[:-1], newline + 1]))
     data = tb.lower_ascii(data)
     s, e, text_of = tb.words(data, offsets)
-    line = np.searchsorted(starts, s, "right") - 1
+    line = np.repeat(np.arange(len(starts)), np.diff(np.append(np.searchsorted(s, starts), len(s))))
     # A line's number: newlines between its text's start and its own.
     own = np.searchsorted(offsets, starts, "right") - 1
     number = np.searchsorted(newline, starts, "left") - np.searchsorted(newline, offsets[np.minimum(own, len(offsets) - 2)], "left")
@@ -126,11 +126,17 @@ def _levels(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in tb.pieces(batch):
                 data, offsets = tb.buffers(part.column("text"))
                 data = tb.lower_ascii(data)
-                total += np.bincount(_bucket(tb.word_hashes(data, *tb.words(data, offsets)[:2])), minlength=BUCKETS)
+                held.append(_bucket(tb.word_hashes(data, *tb.words(data, offsets)[:2])).astype(np.int32))
+                if sum(map(len, held)) >= BUCKETS:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
         for block in range(BLOCKS):
             own = total[block * BLOCK : (block + 1) * BLOCK]
             at = np.flatnonzero(own)

@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 #: Base of a second, independent hash.
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
@@ -56,7 +55,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _LOWER[data]
+    return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
 
 
 #: All bytes but ASCII letters and those of non-ASCII characters.
@@ -68,20 +67,17 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP)
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~separators[data]
+    inside = np.frombuffer(data.tobytes().translate((~separators).tobytes()), bool)
+    # Words start and end in turn where bytes change between separators and others, or where one text follows another within a word.
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    turns = np.concatenate([[0] if inside[0] else [], turns, [len(data)] if inside[-1] else []]).astype(np.int64)
+    starts, ends = turns[::2], turns[1::2]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < len(data))]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[edge] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[edge - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    edge = np.unique(edge[inside[edge] & inside[edge - 1]])
+    if len(edge):
+        starts, ends = np.sort(np.append(starts, edge), kind="stable"), np.sort(np.append(ends, edge), kind="stable")
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -175,3 +175,41 @@ def test_quality_pooling_in_blocks(monkeypatch):
     whole = model.pooled(column)
     monkeypatch.setattr(quality_model, "PAIRS", 37)
     assert np.allclose(model.pooled(column), whole, atol=1e-5)
+
+
+def test_words_of_adjoining_texts(monkeypatch):
+    """Words end where their text ends, with or without a separator there; counts are added up once for many pieces of text."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from rulemark.llm import textbatch as tb
+
+    for texts in (["ab", "cd", "", "", "e f", " g", "h ", "", "ij\tk"], ["", ""], ["a"], [" "], ["", "é è", "x"], []):
+        data, offsets = tb.buffers(pa.array(texts, pa.string()))
+        s, e, of = tb.words(data, offsets)
+        assert [(int(t), data[a:b].tobytes().decode()) for a, b, t in zip(s, e, of, strict=True)] == [(t, w) for t, x in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", x)]
+
+    class Rows:
+        work = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, _):
+            self.work = self.work or work
+            return self
+
+        def repartition(self, _):
+            return self
+
+        def collect(self):
+            return []
+
+    rows, calls, bincount = Rows(), [], np.bincount
+    line_dedup._levels(rows)
+    monkeypatch.setattr(line_dedup.np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", "b c"])], names=["text"])
+    out = list(rows.work(iter([batch] * 5)))
+    assert len(calls) == 1 and sum(int(np.frombuffer(x, np.int64).sum()) for b in out for x in b.column("n").to_pylist()) == 20
